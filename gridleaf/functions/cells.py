@@ -25,32 +25,33 @@ def _leading_zero(text: Column) -> Column:
 
 def _number(text: Column) -> Column:
     """Whole or pointed decimal notation as double, else null."""
-    return F.when(text.rlike(WHOLE) | text.rlike(POINTED), text.try_cast("double"))
+    return F.when(text.rlike(f"{WHOLE}|{POINTED}"), text.try_cast("double"))
 
 
 def parse_cell(raw: Column) -> Column:
-    """``struct(num, text, fmt)``: a number with the format that shows it as written, or the text."""
+    """``struct(num, text, fmt)``: a number with the format that shows it as written, or the text.
+
+    Every step refers to the one before only once, so the expression stays small.
+    """
     text = strip(raw)
     symbol = F.lit(None).cast("string")
     for sign in reversed(CURRENCY):
         symbol = F.when(F.contains(text, F.lit(sign)), F.lit(sign)).otherwise(symbol)
-    bare = strip(F.when(symbol.isNotNull(), F.replace(text, symbol, F.lit(""))).otherwise(text))
-    percent = bare.endswith("%")
-    bare = F.when(percent, strip(F.substring(bare, 1, F.length(bare) - 1))).otherwise(bare)
-    bracketed = bare.startswith("(") & bare.endswith(")")
-    bare = F.when(bracketed, strip(F.substring(bare, 2, F.length(bare) - 2))).otherwise(bare)
-
-    grouped = F.contains(bare, F.lit(","))
-    plain = F.replace(bare, F.lit(","), F.lit(""))
-    keep = _leading_zero(text) | (grouped & ~bare.rlike(THOUSANDS))
+    amount = strip(F.replace(text, F.coalesce(symbol, F.lit("")), F.lit("")))
+    inner = strip(F.regexp_replace(amount, "%$", ""))
+    body = strip(F.regexp_replace(inner, r"(?s)^\((.*)\)$", "$1"))
+    plain = F.replace(body, F.lit(","), F.lit(""))
+    percent = amount.endswith("%")
+    bracketed = inner.rlike(r"(?s)^\(.*\)$")
+    grouped = F.contains(body, F.lit(","))
+
+    keep = text.rlike("^0" + DIGIT) | ~body.rlike(f"^[^,]*$|{THOUSANDS}")
     value = F.when(~keep, _number(plain))
-    value = F.when(bracketed, -F.abs(value)).otherwise(value)
-    value = F.when(percent, value / 100).otherwise(value)
+    value = F.when(bracketed, 0 - F.abs(value)).otherwise(value) / F.when(percent, 100).otherwise(1)
 
-    places = F.length(F.coalesce(F.get(F.split(plain, r"\."), F.lit(1)), F.lit("")))
-    zeros = F.when(places > 0, F.concat(F.lit("."), F.repeat(F.lit("0"), places))).otherwise("")
+    zeros = F.regexp_replace(F.regexp_extract(plain, r"^[^.]*(\.[^.]+)", 1), r"[^.]", "0")
     fmt = F.concat(
-        F.when(symbol.isNotNull(), F.concat(F.lit('"'), symbol, F.lit('"'))).otherwise(""),
+        F.coalesce(F.concat(F.lit('"'), symbol, F.lit('"')), F.lit("")),
         F.when(grouped, GROUPED).otherwise("0"),
         zeros,
         F.when(percent, "%").otherwise(""),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cells import display_matches, value_key
-from ..functions.text import normalize_text
+from ..functions.text import nfkc, normalize_text
 
 # --- fixed values ---------------------------------------------------------
 TOP = 8
@@ -23,14 +23,26 @@ def paired_cells(expected: DataFrame, actual: DataFrame, unicode_forms: bool = T
     want = expected.select(*spot, F.col("text").alias("want"), F.lit(True).alias("has_want"))
     got = actual.select(*spot, F.col("value").alias("got"), F.col("fmt"), F.lit(True).alias("has_got"))
     both = want.join(got, spot, "full_outer")
-    same = value_key(F.col("want"), unicode_forms) == value_key(F.col("got"), unicode_forms)
-    shown = display_matches(F.col("want"), F.col("fmt"), unicode_forms)
-    blank = F.length(normalize_text(F.col("got"), unicode_forms)) == 0
-    other = normalize_text(F.col("want"), unicode_forms) != normalize_text(F.col("got"), unicode_forms)
+    # The NFKC forms once, then plain native expressions on them.
+    form = nfkc if unicode_forms else (lambda c: c)
+    both = both.withColumns({f"__{c}": form(F.coalesce(c, F.lit(""))) for c in ("want", "got")})
+    same = value_key(F.col("__want"), False) == value_key(F.col("__got"), False)
+    keyed = both.withColumns(
+        {
+            "__same": same,
+            "__shown": display_matches(F.col("__want"), F.col("fmt"), False),
+            "__nwant": normalize_text(F.col("__want"), False),
+            "__ngot": normalize_text(F.col("__got"), False),
+        }
+    )
     verdict = (
-        F.when(same & shown, "exact").when(same & other, "format").when(same, "value").when(blank, "missing").otherwise("wrong")
+        F.when(F.col("__same") & F.col("__shown"), "exact")
+        .when(F.col("__same") & (F.col("__nwant") != F.col("__ngot")), "format")
+        .when(F.col("__same"), "value")
+        .when(F.length("__ngot") == 0, "missing")
+        .otherwise("wrong")
     )
-    return both.withColumn("verdict", verdict)
+    return keyed.withColumn("verdict", verdict).drop("__want", "__got", "__same", "__shown", "__nwant", "__ngot")
 
 
 def compare_grids(expected: DataFrame, actual: DataFrame, unicode_forms: bool = True) -> DataFrame:
@@ -47,7 +59,7 @@ def compare_grids(expected: DataFrame, actual: DataFrame, unicode_forms: bool =
         F.count_if(F.col("has_want")).alias("listed"),
         F.count_if(F.col("has_want") & (F.col("verdict") == "missing")).alias("missing"),
         F.count_if(F.col("has_want") & (F.col("verdict") == "wrong")).alias("wrong"),
-    ).withColumns({"exp_rows": F.col("exp_rows"), "exp_cols": F.col("exp_cols")})
+    )
     # Actual cells inside the expected frame without an expected cell: compared with blank.
     stray = (
         pairs.where(F.col("has_want").isNull())

@@ -208,115 +208,102 @@ def mark_header(cells: DataFrame, key: str = KEY, mode: str = "auto") -> DataFra
 
 
 def merge_fragments(fragments: DataFrame, key: str = KEY, unicode_forms: bool = True) -> DataFrame:
-    """Rows of tables that came in pieces: ``key, table_no, frag_no, row_no, cells, title, headers``.
-
-    ``fragments`` is long: ``key, frag_no, title, headers array, row_no (from 0, null for none), cells array``.
-    Fragments that follow each other with the same header are one table; a seam of up to five rows
-    that repeats the rows before it is dropped, and blank rows of later fragments too. Only the first
-    and last five rows of a fragment are put in sequence (an image has at most 64 tiles, each with a
-    few tables); the rows themselves never leave their place.
+    """Tables that came in pieces, put together: ``key, table_no, frag_no, title, headers, rows, first_row``.
+
+    ``fragments`` has one row per piece: ``key, frag_no, title, headers array, rows array<array>`` (one
+    value of a model answer, so bounded by it). Pieces that follow each other with the same header
+    are one table; a seam of up to five rows that repeats the rows before it is dropped, and so are the
+    blank rows of later pieces. Result rows are the pieces with their remaining rows; ``first_row`` is
+    the place of the first one in the table. Only row keys of both ends of a piece are put in sequence
+    (an image has at most 64 tiles, each with a few tables); the rows stay where they are.
     """
-    row_key = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), "\x01")
+    cell, line = "\x01", "\x02"  # neither is white space nor touched by NFKC
+    blank_free = F.transform("rows", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), cell))
     keyed = fragments.withColumns(
         {
-            "__key": F.when(F.col("row_no").isNotNull(), _joined_key(row_key, unicode_forms)),
-            "__head": _joined_key(F.array_join(F.transform("headers", lambda c: F.coalesce(c, F.lit(""))), "\x01"), unicode_forms),
+            "__keys": F.when(
+                F.size("rows") > 0, F.split(cell_key(F.array_join(blank_free, line), unicode_forms), line)
+            ).otherwise(F.array().cast("array<string>")),
+            "__head": cell_key(F.array_join(F.transform("headers", lambda c: F.coalesce(c, F.lit(""))), cell), unicode_forms),
         }
     )
-    solid = F.length(F.replace(F.col("__key"), F.lit("\x01"), F.lit(""))) > 0
-    sizes = keyed.groupBy(key, "frag_no").agg(
-        F.coalesce(F.max("row_no") + 1, F.lit(0)).alias("__rows"),
-        F.coalesce(F.sum(solid.cast("int")), F.lit(0)).alias("__solid"),
-    )
-    # Number of solid rows after a row decides whether it is among the last five of its fragment.
-    ranked = number_rows(
-        keyed.where(solid).select(key, "frag_no", "row_no", "__key"),
-        [key, "frag_no"], [F.floor(F.col("row_no") / CHUNK)], ["row_no"], "__rank",
-    )
-    ranked = null_safe_join(ranked, sizes.select(key, "frag_no", "__solid"), [key, "frag_no"])
-    # Ten are kept, since up to five may still be cut off as a seam.
-    ends = (
-        ranked.where(F.col("__rank") >= F.col("__solid") - 2 * SEAM_ROWS)
-        .groupBy(key, "frag_no")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("row_no").alias("n"), F.col("__key").alias("k")))).alias("__tail"))
-    )
-    heads = keyed.groupBy(key, "frag_no").agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("row_no") < SEAM_ROWS, F.struct(F.col("row_no").alias("n"), F.col("__key").alias("k"))))
-        ).alias("__first"),
-        F.first("__head").alias("__head"),
-        F.first(F.size("headers")).alias("__width"),
-    )
-    frags = null_safe_join(null_safe_join(heads, sizes, [key, "frag_no"]), ends, [key, "frag_no"], "left")
+
+    def solid(row_key: Column) -> Column:
+        return F.length(F.replace(row_key, F.lit(cell), F.lit(""))) > 0
+
+    # Ten keys of the end are kept, since up to five may still be cut off as a seam.
+    numbered = F.filter(F.transform("__keys", lambda k, i: F.struct(i.alias("n"), k.alias("k"))), lambda e: solid(e["k"]))
+    ends = keyed.select(
+        key, "frag_no", "__head", F.size("headers").alias("__width"), F.slice("__keys", 1, SEAM_ROWS).alias("first"), numbered.alias("__solid")
+    ).withColumn("tail", _last(F.col("__solid"), 2 * SEAM_ROWS))
     seq = W.partitionBy(key).orderBy("frag_no")
     same = (F.col("__width") > 0) & (F.lag("__head").over(seq) == F.col("__head")) & (F.lag("__width").over(seq) == F.col("__width"))
-    frags = frags.withColumn("__new", (~F.coalesce(same, F.lit(False))).cast("int"))
-    frags = frags.withColumn("table_no", F.sum("__new").over(seq.rowsBetween(W.unboundedPreceding, 0)) - 1)
-
-    none = F.array().cast("array<string>")
-    packed = frags.groupBy(key, "table_no").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("frag_no"),
-                    F.transform("__first", lambda e: e["k"]).alias("first"),
-                    F.coalesce("__tail", F.array().cast("array<struct<n:int,k:string>>")).alias("tail"),
-                )
-            )
-        ).alias("items")
+    ends = ends.withColumn("__new", (~F.coalesce(same, F.lit(False))).cast("int"))
+    ends = ends.withColumn("table_no", F.sum("__new").over(seq.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    packed = ends.groupBy(key, "table_no").agg(
+        F.array_sort(F.collect_list(F.struct("frag_no", "first", "tail"))).alias("items")
     )
     state = "struct<tail:array<string>,cuts:array<int>>"
-    empty = F.struct(none.alias("tail"), F.array().cast("array<int>").alias("cuts")).cast(state)
-
-    def last(rows: Column) -> Column:
-        n = F.least(F.size(rows), F.lit(SEAM_ROWS))
-        return F.when(F.size(rows) == 0, rows).otherwise(F.slice(rows, F.size(rows) - n + 1, F.greatest(n, F.lit(1))))
+    empty = F.struct(F.array().cast("array<string>").alias("tail"), F.array().cast("array<int>").alias("cuts")).cast(state)
 
     def append(acc: Column, item: Column) -> Column:
         cut = F.lit(0)
         for size in range(1, SEAM_ROWS + 1):
             known = (F.size(acc["tail"]) >= size) & (F.size(item["first"]) >= size)
-            tail = F.slice(acc["tail"], F.greatest(F.size(acc["tail"]) - size + 1, F.lit(1)), size)
-            cut = F.when(known & (tail == F.slice(item["first"], 1, size)), size).otherwise(cut)
+            cut = F.when(known & (_last(acc["tail"], size) == F.slice(item["first"], 1, size)), size).otherwise(cut)
         left = F.transform(F.filter(item["tail"], lambda e: e["n"] >= cut), lambda e: e["k"])
         return F.struct(
-            last(F.concat(acc["tail"], left)).alias("tail"), F.concat(acc["cuts"], F.array(cut)).alias("cuts")
+            _last(F.concat(acc["tail"], left), SEAM_ROWS).alias("tail"), F.concat(acc["cuts"], F.array(cut)).alias("cuts")
         ).cast(state)
 
-    cuts = packed.withColumn("cuts", F.aggregate("items", empty, append, lambda acc: acc["cuts"])).select(
+    folded = F.when(F.size("items") == 1, F.array(F.lit(0))).otherwise(F.aggregate("items", empty, append, lambda acc: acc["cuts"]))
+    cuts = packed.withColumn("cuts", folded).select(
         key, "table_no", F.posexplode(F.arrays_zip("items", "cuts")).alias("__nth", "e")
     ).select(key, "table_no", "__nth", F.col("e.items.frag_no").alias("frag_no"), F.col("e.cuts").alias("__cut"))
     joined = null_safe_join(keyed, cuts, [key, "frag_no"])
-    first_frag = F.col("__nth") == 0
-    keep = F.col("row_no").isNull() & first_frag | (
-        F.col("row_no").isNotNull() & (first_frag | ((F.col("row_no") >= F.col("__cut")) & solid))
-    )
-    return joined.where(keep).select(
-        key, F.col("table_no").cast("int").alias("table_no"), "frag_no", "row_no", "cells", "title", "headers"
+    later = F.filter("rows", lambda _, i: (i >= F.col("__cut")) & solid(F.get("__keys", i)))
+    kept = joined.withColumn("rows", F.when(F.col("__nth") == 0, F.col("rows")).otherwise(later))
+    before = W.partitionBy(key, "table_no").orderBy("frag_no").rowsBetween(W.unboundedPreceding, -1)
+    return kept.select(
+        key, F.col("table_no").cast("int").alias("table_no"), "frag_no", "title", "headers", "rows",
+        F.coalesce(F.sum(F.size("rows")).over(before), F.lit(0)).cast("int").alias("first_row"), (F.col("__nth") == 0).alias("opens"),
     )
 
 
-def _joined_key(text: Column, unicode_forms: bool) -> Column:
-    # U+0001 is no white space, so it survives as the separator of cells.
-    return cell_key(text, unicode_forms)
+def _last(items: Column, n: int) -> Column:
+    """The last ``n`` elements, or all."""
+    return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)
 
 
-def parse_json_lenient(text: Column) -> Column:
-    """``struct(value variant, error)``: strips a code fence, else takes the outermost braces."""
-    bare = strip(text)
-    unfenced = F.when(F.contains(bare, F.lit("\n")), F.substring(bare, F.instr(bare, "\n") + 1, F.length(bare))).otherwise(bare)
-    unfenced = F.when(unfenced.endswith("```"), F.substring(unfenced, 1, F.length(unfenced) - 3)).otherwise(unfenced)
-    clean = F.when(bare.startswith("```"), strip(unfenced)).otherwise(bare)
-    start = F.instr(clean, "{")
-    end = F.length(clean) - F.instr(F.reverse(clean), "}") + 1
-    inner = F.when((start > 0) & F.contains(clean, F.lit("}")) & (end > start), F.substring(clean, start, end - start + 1))
-    whole = F.coalesce(
-        F.when(F.try_parse_json(clean).isNotNull(), clean), F.when(F.try_parse_json(inner).isNotNull(), inner)
+def parse_json_lenient(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``value`` (an object as variant) and ``error``: strips a code fence, else takes the outermost braces.
+
+    A value that is no object comes as ``{"data": value}``.
+    """
+    fence = "```"
+    bare = strip(F.col(text))
+    opened = rows.withColumn("__bare", bare).withColumn(
+        "__clean",
+        F.when(
+            F.col("__bare").startswith(fence),
+            strip(F.regexp_replace(F.regexp_replace("__bare", f"(?s)^{fence}[^\n]*\n", ""), fence + "$", "")),
+        ).otherwise(F.col("__bare")),
+    )
+    start = F.instr("__clean", "{")
+    end = F.length("__clean") - F.instr(F.reverse("__clean"), "}") + 1
+    inner = F.when((start > 0) & (end > start), F.substring(F.col("__clean"), start, end - start + 1))
+    tried = opened.withColumn("__a", F.try_parse_json("__clean")).withColumn(
+        "__text", F.when(F.col("__a").isNotNull(), F.col("__clean")).otherwise(inner)
     )
-    value = F.try_parse_json(whole)
-    is_object = F.schema_of_variant(value).startswith("OBJECT")
-    wrapped = F.when(is_object, value).otherwise(F.try_parse_json(F.concat(F.lit('{"data":'), whole, F.lit("}"))))
-    return F.struct(wrapped.alias("value"), F.when(whole.isNull(), F.lit("not valid JSON")).alias("error"))
+    tried = tried.withColumn("__v", F.coalesce("__a", F.try_parse_json("__text")))
+    wrapped = F.try_parse_json(F.concat(F.lit('{"data":'), F.col("__text"), F.lit("}")))
+    is_object = F.schema_of_variant("__v").startswith("OBJECT")
+    return tried.withColumns(
+        {
+            "value": F.when(is_object, F.col("__v")).when(F.col("__v").isNotNull(), wrapped),
+            "error": F.when(F.col("__v").isNull(), F.lit("not valid JSON")),
+        }
+    ).drop("__bare", "__clean", "__a", "__text", "__v")
 
 
 def _cell_text(value: Column) -> Column:
@@ -324,39 +311,46 @@ def _cell_text(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
-def normalize_table(table: Column) -> Column:
-    """``struct(title, headers, rows)`` of a model table: null to empty, object rows in header order,
+def normalize_table(rows: DataFrame, table: str) -> DataFrame:
+    """Adds ``title, headers, rows`` of a model table: null to empty, object rows in header order,
     scalar rows as one cell."""
-    headers = F.transform(
-        F.coalesce(F.try_variant_get(table, "$.headers", "array<variant>"), F.array().cast("array<variant>")), _cell_text
+    none = F.array().cast("array<variant>")
+    opened = rows.withColumns(
+        {
+            "title": F.coalesce(F.try_variant_get(table, "$.title", "string"), F.lit("")),
+            "headers": F.transform(F.coalesce(F.try_variant_get(table, "$.headers", "array<variant>"), none), _cell_text),
+            "__rows": F.coalesce(F.try_variant_get(table, "$.rows", "array<variant>"), none),
+        }
+    )
+    shapes = F.transform(
+        "__rows",
+        lambda r: F.struct(
+            r.alias("v"), F.try_variant_get(r, "$", "map<string,variant>").alias("m"), F.try_variant_get(r, "$", "array<variant>").alias("a")
+        ),
     )
-    rows = F.coalesce(F.try_variant_get(table, "$.rows", "array<variant>"), F.array().cast("array<variant>"))
 
     def one(row: Column) -> Column:
-        kind = F.schema_of_variant(row)
-        members = F.try_variant_get(row, "$", "map<string,variant>")
-        names = F.when(F.size(headers) > 0, headers).otherwise(F.map_keys(members))
-        by_name = F.transform(names, lambda n: F.coalesce(_cell_text(F.try_element_at(members, n)), F.lit("")))
-        items = F.transform(F.try_variant_get(row, "$", "array<variant>"), _cell_text)
-        return F.when(kind.startswith("OBJECT"), by_name).when(kind.startswith("ARRAY"), items).otherwise(F.array(_cell_text(row)))
-
-    return F.struct(
-        F.coalesce(F.try_variant_get(table, "$.title", "string"), F.lit("")).alias("title"),
-        headers.alias("headers"), F.transform(rows, one).alias("rows"),
-    )
+        names = F.when(F.size("headers") > 0, F.col("headers")).otherwise(F.map_keys(row["m"]))
+        by_name = F.transform(names, lambda n: F.coalesce(_cell_text(F.try_element_at(row["m"], n)), F.lit("")))
+        return (
+            F.when(row["m"].isNotNull(), by_name)
+            .when(row["a"].isNotNull(), F.transform(row["a"], _cell_text))
+            .otherwise(F.array(_cell_text(row["v"])))
+        )
+
+    shaped = opened.withColumn("__shapes", shapes)
+    return shaped.withColumn("rows", F.transform("__shapes", one)).drop("__rows", "__shapes")
 
 
 def model_tables(answers: DataFrame, key: str = KEY) -> DataFrame:
-    """Fragments in long form from model answers (``key, tile_id, answer``)."""
-    parsed = answers.select(key, "tile_id", parse_json_lenient(F.col("answer")).alias("p"))
+    """Table pieces from model answers (``key, tile_id, answer``), in tile order."""
+    parsed = parse_json_lenient(answers.select(key, "tile_id", "answer"), "answer")
     tables = parsed.select(
-        key, "tile_id", F.posexplode(F.try_variant_get(F.col("p.value"), "$.tables", "array<variant>")).alias("nth", "t")
+        key, "tile_id", F.posexplode(F.try_variant_get("value", "$.tables", "array<variant>")).alias("nth", "t")
     ).where(F.schema_of_variant("t").startswith("OBJECT"))
-    shaped = tables.select(key, (F.col("tile_id") * 1000 + F.col("nth")).alias("frag_no"), normalize_table(F.col("t")).alias("n"))
-    return shaped.select(
-        key, "frag_no", F.col("n.title").alias("title"), F.col("n.headers").alias("headers"),
-        F.posexplode_outer("n.rows").alias("row_no", "cells"),
-    )
+    order = F.struct("tile_id", "nth").alias("frag_no")
+    shaped = normalize_table(tables.select(key, order, "t"), "t").drop("t")
+    return shaped.where((F.size("headers") > 0) | (F.size("rows") > 0))
 
 
 def column_width(cells: DataFrame, key: str) -> DataFrame:
@@ -379,26 +373,18 @@ def image_to_table(blocks: DataFrame, answers: DataFrame | None = None, header_m
     if answers is None:
         grid = mark_header(blocks_to_grid(blocks), mode=header_mode)
         return grid.select(KEY, F.lit(0).alias("table_no"), "row", "col", "text", "is_header", F.lit("grid").alias("source"))
-    rows = merge_fragments(model_tables(answers))
+    pieces = model_tables(answers)
+    merged = merge_fragments(pieces)
     titled = F.exists("headers", lambda h: ~is_blank(h))
-    body = rows.where(F.col("row_no").isNotNull()).select(
-        KEY, "table_no", F.lit(1).alias("__kind"), "frag_no", "row_no", "cells", F.lit(False).alias("is_header")
-    )
-    head = rows.where(titled).groupBy(KEY, "table_no").agg(F.min_by("headers", "frag_no").alias("cells")).select(
-        KEY, "table_no", F.lit(0).alias("__kind"), F.lit(-1).cast("bigint").alias("frag_no"), F.lit(-1).alias("row_no"),
-        "cells", F.lit(header_mode == "auto").alias("is_header"),
-    )
-    lines = body.withColumn("frag_no", F.col("frag_no").cast("bigint")).unionByName(head)
-    lines = number_rows(
-        lines, [KEY, "table_no"],
-        [F.col("__kind"), F.col("frag_no"), F.floor(F.col("row_no") / CHUNK)], ["row_no"], "row",
-    )
-    model = lines.select(
-        KEY, "table_no", F.col("row").cast("int").alias("row"), F.posexplode("cells").alias("col", "text"), "is_header",
-        F.lit("model").alias("source"),
+    # A titled table opens with its header row; the other pieces move down by one.
+    lines = F.when(titled & F.col("opens"), F.concat(F.array("headers"), F.col("rows"))).otherwise(F.col("rows"))
+    start = F.col("first_row") + F.when(titled & ~F.col("opens"), 1).otherwise(0)
+    spread = merged.select(KEY, "table_no", start.alias("__start"), (titled & F.col("opens")).alias("__top"), F.posexplode(lines).alias("__i", "cells"))
+    model = spread.select(
+        KEY, "table_no", (F.col("__start") + F.col("__i")).alias("row"), F.posexplode("cells").alias("col", "text"),
+        (F.col("__top") & (F.col("__i") == 0) & F.lit(header_mode == "auto")).alias("is_header"), F.lit("model").alias("source"),
     )
-    served = model.select(KEY).distinct()
-    left_over = blocks.join(served, KEY, "left_anti")
+    left_over = blocks.join(pieces.select(KEY).distinct(), KEY, "left_anti")
     return model.unionByName(image_to_table(left_over, None, header_mode))
 
 

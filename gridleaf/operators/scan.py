@@ -49,13 +49,13 @@ def running_total(df: DataFrame, keys: list[str], seq: str, value: str, name: st
     before = (
         marked.groupBy(*keys, "__cell")
         .agg(F.sum(value).alias("__sum"))
-        .select(*keys, "__cell", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+        .select(*keys, "__cell", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__ahead"))
     )
     inside = W.partitionBy(*keys, "__cell").orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
     return (
         null_safe_join(marked, before, keys + ["__cell"])
-        .withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("__cell", "__before")
+        .withColumn(name, F.col("__ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .drop("__cell", "__ahead")
     )
 
 

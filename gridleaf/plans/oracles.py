@@ -85,17 +85,17 @@ oracle("aggregate_name", "SELECT source AS batch, 'merged_' || count(*) || '_202
 oracle("polygon_to_box", f"""{BLOCKS} SELECT image_id, block_id, text, CAST(round_even(x0 / 2, 0) AS INT) AS x0, CAST(round_even(y0 / 2, 0) AS INT) AS y0,
   CAST(round_even((x1 + 1) / 2, 0) AS INT) AS x1, CAST(round_even((y1 + 1) / 2, 0) AS INT) AS y1,
   CASE WHEN block_id % 7 = 0 THEN 1.0 ELSE confidence END AS confidence FROM blocks WHERE block_id % 13 <> 0""")
-oracle("lines_to_blocks", """WITH l AS (SELECT doc_id, n_chars, unnest(list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\\s]'))) AS text,
-    generate_subscripts(list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\\s]')), 1) - 1 AS i,
-    len(list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\\s]'))) AS n FROM documents)
+oracle("lines_to_blocks", """WITH l AS (SELECT doc_id, n_chars, unnest(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\\s]'))) AS text,
+    generate_subscripts(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\\s]')), 1) - 1 AS i,
+    len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\\s]'))) AS n FROM documents)
   SELECT doc_id AS image_id, i AS block_id, text, CAST(i * greatest(1, n_chars // n) AS INT) AS y0, CAST((i + 1) * greatest(1, n_chars // n) AS INT) AS y1 FROM l""")
 oracle("estimate_line_height", f"""{BLOCKS}, h AS (SELECT image_id, list_sort(list(CASE WHEN block_id % 3 = 0 THEN 78 ELSE 28 + block_id % 4 END)) AS hs FROM blocks GROUP BY 1)
   SELECT image_id, CAST(CASE WHEN hs[len(hs) // 2 + 1] > 2 * hs[CAST(floor(len(hs) * 0.1) AS INT) + 1] THEN hs[CAST(floor(len(hs) * 0.1) AS INT) + 1]
     ELSE hs[len(hs) // 2 + 1] END AS DOUBLE) AS line_height FROM h""")
 SCALE = "least(1.0, 1300.0 / greatest(width, height), sqrt(1690000.0 / (CAST(width AS DOUBLE) * height)))"
 oracle("line_scaling", f"""WITH {IMG4} SELECT image_id, round({SCALE}, 6) AS scale, round(28 * {SCALE}, 6) AS readable, 3033 AS side,
-  round(least(0.2 * height, greatest(2.0, 0.004 * height, 0.012 * height)), 6) AS guess,
-  round(least(greatest(2.0, 0.2 * height), greatest(2.0, 0.004 * height, 2800.0)), 6) AS capped FROM images""")
+  round(least(CAST(0.2 AS DOUBLE) * height, greatest(2.0, 0.004 * height, 0.012 * height)), 6) AS guess,
+  round(least(greatest(2.0, CAST(0.2 AS DOUBLE) * height), greatest(2.0, 0.004 * height, 2800.0)), 6) AS capped FROM images""")
 GRID = """g AS (SELECT *, least(greatest(2.0, 0.2 * height), greatest(2.0, 0.004 * height, {line})) AS lh FROM images),
   s AS (SELECT *, greatest(64, CAST(floor(1300 * lh / 12) AS INT)) AS side FROM g),
   t AS (SELECT *, CASE WHEN width <= 1300 AND height <= 1300 OR side >= greatest(width, height) THEN 1 ELSE CAST(ceil(width / side) AS INT) END AS cols,
@@ -137,7 +137,7 @@ oracle("guess_header_row", "SELECT DISTINCT l_orderkey AS image_id, 0 AS header
 oracle("merge_fragments", f"""WITH {LINES}, n AS (SELECT *, max(rn) OVER (PARTITION BY l_orderkey) AS last FROM lines),
   t AS (SELECT l_orderkey AS image_id, rn, 'P' || l_partkey || '-' || rn || '|' || format('{{:,.2f}}', l_extendedprice) AS cells, l_orderkey % 9 = 0 AND rn >= 7 AS late,
     l_orderkey % 9 = 0 AND rn = 6 AND last > 6 AS twice FROM n)
-  SELECT image_id, CASE WHEN late THEN 1 ELSE 0 END AS table_no, cells FROM t UNION ALL SELECT image_id, 1, cells FROM t WHERE twice""")
+  SELECT image_id, CASE WHEN late THEN 1 ELSE 0 END AS table_no, CAST(CASE WHEN late THEN rn - 6 ELSE rn - 1 END AS INT) AS row, cells FROM t UNION ALL SELECT image_id, 1, 0, cells FROM t WHERE twice""")
 oracle("parse_json_lenient", """SELECT DISTINCT l_orderkey AS image_id, CASE WHEN l_orderkey % 4 < 3 THEN 'Invoice' END AS title,
   CASE WHEN l_orderkey % 4 = 3 THEN 'not valid JSON' END AS error FROM lineitem""")
 oracle("normalize_table", f"""WITH {LINES} SELECT l_orderkey, CAST(rn AS INT) AS rn, '' AS title, 'a|b' AS headers,
@@ -174,7 +174,7 @@ oracle("language_hint", f"""WITH n AS (SELECT doc_id, {CJK} AS c, {LATIN} AS a,
 oracle("needs_cjk", "SELECT doc_id, regexp_matches(text, '[\\x{2e80}-\\x{9fff}\\x{f900}-\\x{faff}\\x{ff00}-\\x{ffef}]') AS cjk FROM documents")
 oracle("normalize_text", "SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM documents")
 oracle("cell_key", "SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS key FROM documents")
-oracle("structure_lines", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')), s -> s <> '') AS ls FROM documents),
+oracle("structure_lines", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ls FROM documents),
   e AS (SELECT doc_id, unnest(ls) AS t, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS line_no FROM l)
   SELECT doc_id, line_no, CASE WHEN t[1] = '#' THEN 'heading' ELSE 'paragraph' END AS kind, CAST(least(6, length(t) - length(ltrim(t, '#'))) AS INT) AS level,
   regexp_replace(ltrim(t, '#'), '^\\s+', '') AS text FROM e""")
@@ -184,7 +184,7 @@ oracle("hex_color", """WITH h AS (SELECT p_partkey, p_size % 5 AS k, p_partkey *
   q AS (SELECT p_partkey, k, CASE WHEN k = 2 THEN NULL WHEN k = 0 THEN t[1] || t[1] || t[2] || t[2] || t[3] || t[3] ELSE t END AS t FROM h)
   SELECT p_partkey, coalesce(CAST('0x' || t[1:2] AS INT), 255) AS r, coalesce(CAST('0x' || t[3:4] AS INT), 255) AS g, coalesce(CAST('0x' || t[5:6] AS INT), 255) AS b,
   CASE WHEN k = 1 THEN 128 ELSE 255 END AS a FROM q""")
-oracle("warning_summary", """WITH w AS (SELECT doc_id, list_distinct(list_filter([source, text, lang], x -> length(x) <> 3)) AS u, list_filter([source, text, lang], x -> length(x) <> 3) AS l FROM documents),
+oracle("warning_summary", """WITH w AS (SELECT doc_id, list_distinct(list_filter([source, text, lang], lambda x: length(x) <> 3)) AS u, list_filter([source, text, lang], lambda x: length(x) <> 3) AS l FROM documents),
   s AS (SELECT doc_id, l[1] AS h, len(u) AS n FROM w)
   SELECT doc_id, CASE WHEN n = 0 THEN 'done' ELSE 'done · ⚠ ' || CASE WHEN length(h) > 46 THEN substr(h, 1, 46) || '…' ELSE h END || CASE WHEN n > 1 THEN ' (' || n || ' in all)' ELSE '' END END AS summary FROM s""")
 oracle("typed_param", """SELECT event_id, user_id AS n, CAST(5 AS BIGINT) AS bad_n, value AS x, CAST(0.5 AS DOUBLE) AS none, event_type = 'click' AS flag, true AS no_flag,
@@ -215,7 +215,7 @@ oracle("selection_status", f"""WITH {DOCS}, {PAGES}, n AS (SELECT doc_id, count(
 oracle("rotate_pages", f"WITH {PAGES} SELECT doc_id, page_no, CASE WHEN {PICK} THEN (rotation + 270) % 360 ELSE rotation END AS rotation FROM pg")
 REBUILT = f"""WITH {PAGES}, r AS (SELECT doc_id, page_no, CASE WHEN regexp_matches(page_text, '\\S') THEN 'layer' WHEN doc_id % 7 <> 0 THEN 'ocr' ELSE 'failed' END AS origin,
     CASE WHEN regexp_matches(page_text, '\\S') THEN page_text WHEN doc_id % 7 <> 0 THEN full_text ELSE '' END AS raw FROM pg),
-  b AS (SELECT doc_id, page_no, origin, list_filter(list_transform(string_split(raw, chr(10)), s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')), s -> s <> '') AS ls FROM r),
+  b AS (SELECT doc_id, page_no, origin, list_filter(list_transform(string_split(raw, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS ls FROM r),
   rebuilt AS (SELECT doc_id, page_no, origin, array_to_string(ls, chr(10)) AS text, CAST(length(array_to_string(ls, '')) AS INT) AS chars FROM b)"""
 oracle("page_text_rebuild", f"{REBUILT} SELECT * FROM rebuilt")
 oracle("rebuild_status", f"""{REBUILT} SELECT doc_id, count(*) AS pages, count(*) FILTER (origin = 'ocr') AS recognised, count(*) FILTER (origin = 'failed') AS failed,
@@ -232,7 +232,7 @@ oracle("tile_centers", f"""WITH {PAGES}, spots AS (SELECT (595 - 2 * 243.0) / 2
     FROM range(3) a(x), range(11) b(y)), seen AS (SELECT count(*) AS n, round(sum(cx), 3) AS sx, round(sum(cy), 3) AS sy FROM spots WHERE cx BETWEEN -90 AND 685)
   SELECT doc_id, page_no, n, CAST(sx AS DOUBLE) AS sum_x, CAST(sy AS DOUBLE) AS sum_y FROM pg, seen""")
 oracle("stamp_plan", f"""WITH {PAGES}, t AS (SELECT doc_id, page_no, 'doc' || doc_id || ' ' || page_no || '/' || page_count AS text FROM pg WHERE {PICK})
-  SELECT doc_id, page_no, text, round(595 * 0.07, 4) AS font_size, round(595 - 595 * 0.05 - length(text) * 0.6 * (595 * 0.07) / 2, 4) AS cx,
+  SELECT doc_id, page_no, text, CAST(round(595 * 0.07, 4) AS DOUBLE) AS font_size, round(595 - 595 * 0.05 - length(text) * 0.6 * (595 * 0.07) / 2, 4) AS cx,
   round(842 - 595 * 0.05 - 595 * 0.07 * 1.2 / 2, 4) AS cy, CAST(1.0 AS DOUBLE) AS opacity, 255 AS r, 0 AS g, 136 AS b FROM t""")
 
 # jobs
@@ -294,16 +294,16 @@ oracle("validate_chain", f"WITH {CHAIN} SELECT doc_id, error, CASE k WHEN 0 THEN
 oracle("describe_chain", f"""WITH {CHAIN} SELECT doc_id, CASE WHEN error IS NULL THEN CASE k WHEN 0 THEN 'pdf.rotate .pdf -> .pdf; pdf.info .pdf -> .json'
   WHEN 1 THEN 'image.ocr .' || ext || ' -> .txt; doc.to_pdf .txt -> .pdf' ELSE 'doc.to_pdf .' || ext || ' -> .pdf; pdf.to_images .pdf -> .png; image.watermark .png -> .png' END
   WHEN k = 4 AND img THEN 'image.watermark .' || ext || ' -> .' || ext ELSE '' END AS flow FROM v""")
-oracle("run_chain", f"""WITH {PAGES}, n AS (SELECT *, bool_or({PICK}) OVER (PARTITION BY doc_id) AS some, {PICK} AS hit FROM pg)
-  SELECT doc_id, count(*) AS pages, CAST(sum(characters) AS BIGINT) AS characters, CASE WHEN some THEN (max(rotation) + 90) % 360 ELSE max(rotation) END AS rotation,
-  CASE WHEN NOT some THEN 'no page matches' END AS error, CASE WHEN NOT some THEN '1 pdf.extract_pages' END AS failed_step FROM n WHERE hit OR NOT some GROUP BY doc_id, some""")
+oracle("run_chain", f"""WITH {PAGES}, n AS (SELECT *, bool_or({PICK}) OVER (PARTITION BY doc_id) AS any_hit, {PICK} AS hit FROM pg)
+  SELECT doc_id, count(*) AS pages, CAST(sum(characters) AS BIGINT) AS characters, CASE WHEN any_hit THEN (max(rotation) + 90) % 360 ELSE max(rotation) END AS rotation,
+  CASE WHEN NOT any_hit THEN 'no page matches' END AS error, CASE WHEN NOT any_hit THEN '1 pdf.extract_pages' END AS failed_step FROM n WHERE hit OR NOT any_hit GROUP BY doc_id, any_hit""")
 
 # evaluation
 SHOWN = "CASE WHEN col = 1 AND row % 10 <> 0 THEN false ELSE NOT (col = 4 AND flag = 'R') END"
 PAIRS = f"""{CELLW}, cut AS (SELECT *, row % 17 = 0 AS lost, row % 10 = 0 AND row % 17 <> 0 AS bad FROM raw),
   got AS (SELECT *, CASE WHEN lost THEN NULL WHEN bad THEN text || 'x' ELSE CASE col WHEN 0 THEN CASE WHEN price = floor(price) THEN CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE CAST(price AS VARCHAR) END
     WHEN 1 THEN CASE WHEN round(disc * 100) % 100 = 0 THEN CAST(CAST(disc AS BIGINT) AS VARCHAR) ELSE CAST(round(disc * 100) / 100 AS VARCHAR) END WHEN 2 THEN text WHEN 3 THEN text
-    WHEN 4 THEN CASE WHEN flag = 'R' THEN '-' || part ELSE CAST(part AS VARCHAR) END ELSE text END END AS value FROM cut),
+    WHEN 4 THEN CASE WHEN flag = 'R' AND part > 0 THEN '-' || part ELSE CAST(part AS VARCHAR) END ELSE text END END AS value FROM cut),
   pairs AS (SELECT *, CASE WHEN lost THEN 'missing' WHEN bad OR col = 1 OR (col = 4 AND flag = 'R') THEN 'wrong' ELSE 'exact' END AS verdict FROM got)"""
 SCORES = f"""{PAIRS}, scores AS (SELECT case_id, count(*) FILTER (verdict = 'exact') AS listed, count(*) FILTER (verdict = 'missing') AS missing,
     count(*) FILTER (verdict = 'wrong') AS wrong, (max(row) + 1) * 6 AS total, max(row) + 1 - (max(row) FILTER (NOT lost) + 1) AS short FROM pairs GROUP BY 1),

@@ -305,13 +305,14 @@ def guess_header_row(spark, d):
 @query
 def merge_fragments(spark, d):
     merged = grids.merge_fragments(samples.fragments(spark, d))
-    return merged.select("image_id", "table_no", F.array_join("cells", "|").alias("cells"))
+    rows = merged.select("image_id", "table_no", "first_row", F.posexplode("rows").alias("i", "cells"))
+    return rows.select("image_id", "table_no", (F.col("first_row") + F.col("i")).alias("row"), F.array_join("cells", "|").alias("cells"))
 
 
 @query
 def parse_json_lenient(spark, d):
-    parsed = samples.model_answers(spark, d).select("image_id", grids.parse_json_lenient(F.col("answer")).alias("p"))
-    return parsed.select("image_id", F.try_variant_get("p.value", "$.tables[0].title", "string").alias("title"), F.col("p.error").alias("error"))
+    parsed = grids.parse_json_lenient(samples.model_answers(spark, d), "answer")
+    return parsed.select("image_id", F.try_variant_get("value", "$.tables[0].title", "string").alias("title"), "error")
 
 
 @query
@@ -322,9 +323,9 @@ def normalize_table(spark, d):
         F.lit('{"title":null,"headers":["a","b"],"rows":[{"b":"'), F.col("l_returnflag"), F.lit('","a":'), F.col("l_partkey").cast("string"),
         F.lit('},["'), F.col("l_linestatus"), F.lit('",null],'), F.col("rn").cast("string"), F.lit("]}"),
     )
-    n = lines.select("l_orderkey", "rn", grids.normalize_table(F.try_parse_json(json)).alias("n"))
-    rows = F.array_join(F.transform("n.rows", lambda r: F.array_join(r, "|")), "/")
-    return n.select("l_orderkey", "rn", F.col("n.title").alias("title"), F.array_join("n.headers", "|").alias("headers"), rows.alias("rows"))
+    n = grids.normalize_table(lines.select("l_orderkey", "rn", F.try_parse_json(json).alias("t")), "t")
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
+    return n.select("l_orderkey", "rn", "title", F.array_join("headers", "|").alias("headers"), rows.alias("rows"))
 
 
 @query
@@ -355,8 +356,8 @@ def table_summary(spark, d):
 
 @query
 def parse_cell(spark, d):
-    cell = C.parse_cell(F.col("text"))
-    return samples.raw_cells(spark, d).select("case_id", "row", "col", F.round(cell["num"], 6).alias("num"), cell["text"].alias("text"), cell["fmt"].alias("fmt"))
+    typed = samples.raw_cells(spark, d).withColumn("cell", C.parse_cell(F.col("text")))
+    return typed.select("case_id", "row", "col", F.round("cell.num", 6).alias("num"), F.col("cell.text").alias("text"), F.col("cell.fmt").alias("fmt"))
 
 
 @query
@@ -387,8 +388,8 @@ def format_key(spark, d):
 
 @query
 def display_matches(spark, d):
-    cell = C.parse_cell(F.col("text"))
-    return samples.raw_cells(spark, d).select("case_id", "row", "col", C.display_matches(F.col("text"), cell["fmt"]).alias("shown"))
+    typed = samples.raw_cells(spark, d).withColumn("cell", C.parse_cell(F.col("text")))
+    return typed.select("case_id", "row", "col", C.display_matches(F.col("text"), F.col("cell.fmt")).alias("shown"))
 
 
 @query
@@ -809,10 +810,10 @@ def run_chain(spark, d):
 
 def _grids(spark, d):
     expected = samples.raw_cells(spark, d)
-    cell = C.parse_cell(F.col("text"))
-    shown = F.coalesce(F.when(cell["num"].isNotNull(), F.when(cell["num"] == F.floor(cell["num"]), cell["num"].cast("bigint").cast("string")).otherwise(cell["num"].cast("string"))), F.col("text"))
-    actual = samples.damaged_cells(expected).select("case_id", "row", "col", shown.alias("value"), cell["fmt"].alias("fmt"))
-    return expected, actual
+    typed = samples.damaged_cells(expected).withColumn("cell", C.parse_cell(F.col("text")))
+    num = F.col("cell.num")
+    number = F.when(num == F.floor(num), num.cast("bigint").cast("string")).otherwise(num.cast("string"))
+    return expected, typed.select("case_id", "row", "col", F.coalesce(number, F.col("text")).alias("value"), F.col("cell.fmt").alias("fmt"))
 
 
 @query

@@ -160,13 +160,15 @@ def fragments(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.struct(piece.alias("f"), F.lit(1).alias("own")))
     )
     spread = lines.select("*", F.explode(at).alias("a"))
-    in_first = F.when(F.col("a.f") == 0, (F.col("rn") - 1) % 3).otherwise(F.when(F.col("a.own") == 0, 0).otherwise((F.col("rn") - 1) % 3 + 1))
     changed = (F.col("l_orderkey") % 9 == 0) & (F.col("a.f") >= 2)
-    return spread.select(
-        F.col("l_orderkey").alias("image_id"), F.col("a.f").cast("bigint").alias("frag_no"), F.lit("Invoice").alias("title"),
-        F.when(changed, F.array(F.lit("Item"), F.lit("Sum"))).otherwise(F.array(F.lit("Item"), F.lit("Amount"))).alias("headers"),
-        in_first.cast("int").alias("row_no"),
-        F.array(F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("rn").cast("string")), F.format_number("l_extendedprice", 2)).alias("cells"),
+    row = F.struct("rn", F.array(F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("rn").cast("string")), F.format_number("l_extendedprice", 2)).alias("cells"))
+    return (
+        spread.groupBy(
+            F.col("l_orderkey").alias("image_id"), F.col("a.f").cast("bigint").alias("frag_no"), F.lit("Invoice").alias("title"),
+            F.when(changed, F.array(F.lit("Item"), F.lit("Sum"))).otherwise(F.array(F.lit("Item"), F.lit("Amount"))).alias("headers"),
+        )
+        .agg(F.array_sort(F.collect_list(row)).alias("r"))
+        .select("image_id", "frag_no", "title", "headers", F.transform("r", lambda e: e["cells"]).alias("rows"))
     )
 
 

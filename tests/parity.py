@@ -33,7 +33,7 @@ def compare(spark, con, folder, work, sql) -> str:
     names = sorted(mine)
     def clean(v):
         return None if v is None else (repr(float(v) + 0.0) if isinstance(v, float) else v)
-    left = [tuple(clean(v) for v in r) for r in got.select(*[f"`{n}`" for n in names]).toPandas().astype(object).where(lambda f: f.notna(), None).itertuples(index=False)]
+    left = [tuple(clean(v) for v in r) for r in got.select(*[f"`{n}`" for n in names]).collect()]
     right = [tuple(clean(v) for v in r) for r in rel.select(*[f'"{n}"' for n in names]).fetchall()]
     left.sort(key=repr)
     right.sort(key=repr)
