@@ -21,9 +21,10 @@ def _piece(piece: Column, total: Column) -> Column:
     dash = F.instr(piece, "-")
     left = F.when(dash > 0, F.substring(piece, 1, dash - 1)).otherwise(piece)
     right = F.when(dash > 0, F.substring(piece, dash + 1, F.length(piece))).otherwise(piece)
-    low, high = _whole(left, F.lit(1)), _whole(right, total)
-    low = F.when(dash > 0, F.greatest(F.lit(1).cast("decimal(38,0)"), low)).otherwise(low)
-    high = F.when(dash > 0, F.least(total.cast("decimal(38,0)"), high)).otherwise(high)
+    left, right = _whole(left, F.lit(1)), _whole(right, total)
+    # greatest and least pass over nulls, and an unreadable end must stay one.
+    low = F.when((dash > 0) & (left < 1), 1).otherwise(left)
+    high = F.when((dash > 0) & (right > total), total).otherwise(right)
     inside = low.isNotNull() & high.isNotNull() & (low >= 1) & (high <= total) & (low <= high)
     return F.when(inside, F.struct(low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi")))
 

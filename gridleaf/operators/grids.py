@@ -31,27 +31,20 @@ def _overlaps(a: Column, b: Column, tolerance: float) -> Column:
 
 
 def row_levels(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
-    """``image_id, y0 -> steps array<struct<from, row>>``: the row of every box that starts at ``y0``.
-
-    Rows are greedy: by (y0, x0), a box joins the first row with a member it overlaps. Two facts make
-    this cheap and exact for images of any size.
-    * Boxes with one ``y0`` overlap fully, so along one ``y0`` the row never rises and can only change
-      at the first box of a new height. The fold therefore needs one entry per distinct (y0, y1),
-      combined on the map side; a later box takes the row of the last such entry before it.
-    * No row crosses a height that no box crosses, so the fold runs band by band.
+    """``image_id, y0 -> steps array<struct<x0, y1, row>>``: the row of every box that starts at ``y0``.
+
+    Rows are greedy: by (y0, x0, y1), a box joins the first row with a member it overlaps. Equal
+    (y0, x0, y1) follow each other and share a row, so the fold needs one entry per distinct one,
+    combined on the map side. No row crosses a height that no box crosses, so it runs band by band.
     """
-    entry = F.struct("x0", "block_id")
-    kinds = blocks.groupBy(KEY, "y0", "y1").agg(F.min(entry).alias("from"))
+    kinds = blocks.select(KEY, "y0", "x0", "y1").distinct()
     image = W.partitionBy(KEY)
-    down = image.orderBy("y0").rangeBetween(W.unboundedPreceding, -1)
-    opens = F.coalesce(F.col("y0") >= F.max("y1").over(down), F.lit(False))
-    starts = image.orderBy("y0", "y1")
-    first_here = F.coalesce(F.lag("y0").over(starts) < F.col("y0"), F.lit(False))
-    kinds = kinds.withColumn("open", (opens & first_here).cast("int"))
-    kinds = kinds.withColumn("band", F.sum("open").over(starts.rowsBetween(W.unboundedPreceding, 0)))
-    bands = kinds.groupBy(KEY, "band").agg(
-        F.array_sort(F.collect_list(F.struct("y0", "from", "y1"))).alias("items")
-    )
+    down = image.orderBy("y0", "x0", "y1")
+    opens = F.coalesce(F.col("y0") >= F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    later = F.coalesce(F.col("y0") > F.lag("y0").over(down), F.lit(False))
+    kinds = kinds.withColumn("open", (opens & later).cast("int"))
+    kinds = kinds.withColumn("band", F.sum("open").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    bands = kinds.groupBy(KEY, "band").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1"))).alias("items"))
     member = "array<array<struct<y0:int,y1:int>>>"
     state = f"struct<rows:{member},at:array<int>>"
     empty = F.struct(F.array().cast(member).alias("rows"), F.array().cast("array<int>").alias("at")).cast(state)
@@ -61,12 +54,15 @@ def row_levels(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
             F.transform(acc["rows"], lambda row: F.exists(row, lambda m: _overlaps(m, item, tolerance))), True
         ).cast("int")
         one = F.array(F.struct(item["y0"].cast("int").alias("y0"), item["y1"].cast("int").alias("y1")))
-        grown = F.transform(acc["rows"], lambda row, i: F.when(i + 1 == hit, F.concat(row, one)).otherwise(row))
+        grown = F.transform(
+            acc["rows"], lambda row, i: F.when(i + 1 == hit, F.array_union(row, one)).otherwise(row)
+        )
         return F.struct(
             F.when(hit > 0, grown).otherwise(F.concat(acc["rows"], F.array(one))).alias("rows"),
             F.concat(acc["at"], F.array(F.when(hit > 0, hit).otherwise(F.size(acc["rows"]) + 1))).alias("at"),
         ).cast(state)
 
+    # A band in which every box overlaps the first is one row; it needs no fold.
     head = F.element_at("items", 1)
     single = F.forall("items", lambda m: _overlaps(m, head, tolerance))
     folded = F.aggregate("items", empty, place, lambda acc: acc["at"])
@@ -77,16 +73,15 @@ def row_levels(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
         KEY, "first", F.explode(F.arrays_zip("items", "at")).alias("e")
     )
     step = F.struct(
-        F.col("e.items.from").alias("from"), (F.col("first") + F.col("e.at") - 1).cast("int").alias("row")
+        F.col("e.items.x0").alias("x0"), F.col("e.items.y1").alias("y1"), (F.col("first") + F.col("e.at") - 1).cast("int").alias("row")
     )
-    return flat.groupBy(KEY, F.col("e.items.y0").alias("y0")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return flat.groupBy(KEY, F.col("e.items.y0").alias("y0")).agg(F.collect_list(step).alias("steps"))
 
 
 def _row_of(steps: Column) -> Column:
-    """Row of the last step at or before the box; one step is the usual case."""
-    here = F.struct(F.col("x0").alias("x0"), F.col("block_id").alias("block_id"))
-    passed = F.filter(steps, lambda s: s["from"] <= here)
-    return F.when(F.size(steps) == 1, F.get(steps, F.lit(0))["row"]).otherwise(F.element_at(passed, -1)["row"])
+    """Row of the box among those that start at its height."""
+    same = F.filter(steps, lambda s: (s["x0"] == F.col("x0")) & (s["y1"] == F.col("y1")))
+    return F.get(same, F.lit(0))["row"]
 
 
 def group_rows(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:

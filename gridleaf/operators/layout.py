@@ -217,7 +217,7 @@ def dedupe_overlap(blocks: DataFrame) -> DataFrame:
     Greedy from the most confident block on: a block joins the first cluster whose first member has
     a compatible text at the same place; the longest text of a cluster stays. Copies (same text, same
     box) always share a cluster, so they are merged before anything is ordered. Then an image is cut
-    where neither a box nor the 6 px tolerance reaches across, first in y, then in x.
+    where neither a box nor its tolerance reaches across, first in y, then in x.
     """
     order = F.struct((-F.col("confidence")).alias("c"), F.col("block_id").alias("id"))
     merged = (
@@ -226,9 +226,9 @@ def dedupe_overlap(blocks: DataFrame) -> DataFrame:
         .groupBy("image_id", "key", *BOX)
         .agg(F.min(order).alias("ord"), F.min_by("text", order).alias("text"))
     )
-    spread = merged.withColumn("ry", F.greatest("y1", F.col("y0") + NEAR_MIN)).withColumn(
-        "rx", F.greatest("x1", F.col("x0") + NEAR_MIN)
-    )
+    # The tolerance comes from the lower of two heights, so a box's own height bounds its reach.
+    near = F.greatest(F.lit(NEAR_MIN), F.floor((F.col("y1") - F.col("y0")) * F.lit(NEAR_RATIO)).cast("int"))
+    spread = merged.withColumns({f"r{a}": F.greatest(f"{a}1", F.col(f"{a}0") + near) for a in "xy"})
     for keys, low, high, name in ((["image_id"], "y0", "ry", "zy"), (["image_id", "zy"], "x0", "rx", "zx")):
         zone = islands(spread, keys, low, high, 1).select(*keys, low, F.col("island").alias(name))
         spread = null_safe_join(spread, zone, keys + [low])

@@ -317,7 +317,7 @@ oracle("eval_summary", f"""{SCORES} SELECT count(*) AS cases, round(avg(accuracy
 # streams
 oracle("latest_task_state", f"WITH {TASKS} SELECT job_id AS task_id, arg_max(seq, seq) AS seq, arg_max(status, seq) AS status, arg_max(progress, seq) AS progress FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS k FROM tasks) WHERE k = 1 GROUP BY 1")
 oracle("throttle", """WITH RECURSIVE e AS (SELECT event_type AS task_id, event_id * 10 AS t, event_id AS seq, user_id = 7 AS forced FROM events),
-  nx AS (SELECT a.task_id, a.seq, (SELECT min(b.seq) FROM e b WHERE b.task_id = a.task_id AND b.seq > a.seq AND (b.t >= a.t + 80 OR b.forced)) AS nxt FROM e a),
+  nx AS MATERIALIZED (SELECT a.task_id, a.seq, (SELECT min(b.seq) FROM e b WHERE b.task_id = a.task_id AND b.seq > a.seq AND (b.t >= a.t + 80 OR b.forced)) AS nxt FROM e a),
   kept AS (SELECT task_id, min(seq) AS seq FROM e GROUP BY 1 UNION ALL SELECT k.task_id, nx.nxt FROM kept k JOIN nx ON nx.task_id = k.task_id AND nx.seq = k.seq WHERE nx.nxt IS NOT NULL)
   SELECT task_id, seq FROM kept""")
 oracle("log_tail", f"WITH {TASKS} SELECT task_id, status FROM tasks ORDER BY seq DESC LIMIT 500")
