@@ -194,10 +194,21 @@ def guess_header_row(cells: DataFrame, key: str = KEY) -> DataFrame:
     return rows.groupBy(key).agg(F.coalesce(first, F.lit(0)).cast("int").alias("header"))
 
 
-def mark_header(cells: DataFrame, key: str = KEY, mode: str = "auto") -> DataFrame:
-    """Adds ``is_header``. The long-form cells go straight through: one equi join, no row lost."""
+def mark_header(cells: DataFrame, key: str = KEY, mode: str = "auto", grid: bool = False) -> DataFrame:
+    """Adds ``is_header``; no row is lost.
+
+    For a ``grid`` of an image (whose cells are bounded by its size) the header row is found by windows
+    on the partitioning the grid already has. Any other table goes through a small aggregate and a join.
+    """
     if mode != "auto":
         return cells.withColumn("is_header", F.lit(False))
+    if grid:
+        solid = ~is_blank(F.col("text"))
+        plain = ~F.col("text").rlike(DIGIT) & (F.length("text") <= HEADER_CHARS)
+        fits = F.coalesce(F.bool_and(F.when(solid, plain)).over(W.partitionBy(key, "row")), F.lit(False))
+        first = F.min(F.when((F.col("row") < HEADER_ROWS) & F.col("__fits"), F.col("row"))).over(W.partitionBy(key))
+        marked = cells.withColumn("__fits", fits).withColumn("__header", F.coalesce(first, F.lit(0)))
+        return marked.withColumn("is_header", F.col("row") == F.col("__header")).drop("__fits", "__header")
     joined = null_safe_join(cells, guess_header_row(cells, key), [key])
     return joined.withColumn("is_header", F.col("row") == F.col("header")).drop("header")
 
@@ -366,7 +377,7 @@ def image_to_table(blocks: DataFrame, answers: DataFrame | None = None, header_m
     else the grid rebuilt from the boxes. No row is lost.
     """
     if answers is None:
-        grid = mark_header(blocks_to_grid(blocks), mode=header_mode)
+        grid = mark_header(blocks_to_grid(blocks), mode=header_mode, grid=True)
         return grid.select(KEY, F.lit(0).alias("table_no"), "row", "col", "text", "is_header", F.lit("grid").alias("source"))
     pieces = model_tables(answers)
     merged = merge_fragments(pieces)

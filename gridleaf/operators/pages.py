@@ -92,7 +92,7 @@ def merge_docs(pages: DataFrame, docs: DataFrame) -> DataFrame:
     usable = merge_status(docs).where(F.col("error").isNull()).select("merge_id")
     starts = merge_bookmarks(docs).where(F.col("first_page").isNotNull()).select("merge_id", "doc_id", "first_page")
     starts = starts.join(usable, "merge_id", "left_semi")
-    joined = null_safe_join(pages, starts, ["doc_id"])
+    joined = null_safe_join(pages, starts, ["doc_id"], grown=False)
     return joined.withColumn("merged_page", F.col("first_page") + F.col("page_no") - 1).drop("first_page")
 
 

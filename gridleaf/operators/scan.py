@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 CHUNK = 65536
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi join in which null keys match each other, so no row is lost to a null."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", grown: bool = True) -> DataFrame:
+    """Equi join in which null keys match each other, so no row is lost to a null.
+
+    ``grown`` sides come out of an ``explode`` or an aggregate, which the size estimate does not see;
+    they are always shuffled (AQE splits hot keys), never broadcast on a guess.
+    """
     right = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    right = right.hint("merge") if grown else right
     return left.join(right, same, how).drop(*[f"__r_{k}" for k in keys])
 
 

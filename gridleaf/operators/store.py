@@ -50,7 +50,7 @@ def merge_params(preset: Column, overrides: Column) -> Column:
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds ``hit`` and ``value`` to every request."""
     stored = cache.select("key", F.col("value").alias("value"), F.lit(True).alias("__hit"))
-    joined = null_safe_join(requests, stored, ["key"], "left")
+    joined = null_safe_join(requests, stored, ["key"], "left", grown=False)
     return joined.withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
@@ -62,7 +62,7 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def cache_touch(cache: DataFrame, requests: DataFrame) -> DataFrame:
     """The cache after serving the requests: hits counted, last hit noted. Requests are counted before the join."""
     asked = requests.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.max("at").alias("__at"))
-    joined = null_safe_join(cache, asked, ["key"], "left")
+    joined = null_safe_join(cache, asked, ["key"], "left", grown=False)
     return joined.withColumns(
         {"hits": F.col("hits") + F.coalesce("__n", F.lit(0)), "last_hit": F.coalesce("__at", "last_hit")}
     ).select(*cache.columns)

@@ -11,7 +11,7 @@ from ..operators.grids import blocks_to_grid, mark_header
 
 def invoice_totals(blocks: DataFrame, amount_col: int = 3) -> DataFrame:
     """``image_id, lines, total`` from text boxes: grid, header, typed cells, sum in whole cents."""
-    cells = mark_header(blocks_to_grid(blocks)).where(~F.col("is_header") & (F.col("col") == amount_col))
+    cells = mark_header(blocks_to_grid(blocks), grid=True).where(~F.col("is_header") & (F.col("col") == amount_col))
     amount = parse_cell(F.col("text"))["num"].cast("decimal(18,2)")
     return cells.groupBy("image_id").agg(
         F.count(amount).alias("lines"), F.sum(amount).cast("double").alias("total")

@@ -108,8 +108,14 @@ def doc_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The whole text of every document in pages of 1 000 characters; some pages are scans."""
     d = table(spark, folder, "documents").select("doc_id", "text")
     last = F.ceil(F.length("text") / PAGE_CHARS).cast("int")
-    numbered = d.where(F.length("text") > 0).select("doc_id", "text", last.alias("page_count"), F.explode(F.sequence(F.lit(1), last)).alias("page_no"))
-    whole = F.substring(F.col("text"), (F.col("page_no") - 1) * PAGE_CHARS + 1, F.lit(PAGE_CHARS))
+    # Cut inside the row, so that the whole text is not copied once per page.
+    pieces = F.transform(
+        F.sequence(F.lit(1), last), lambda p: F.struct(p.alias("no"), F.substring(F.col("text"), (p - 1) * PAGE_CHARS + 1, F.lit(PAGE_CHARS)).alias("text"))
+    )
+    numbered = d.where(F.length("text") > 0).select("doc_id", last.alias("page_count"), F.explode(pieces).alias("p")).select(
+        "doc_id", "page_count", F.col("p.no").alias("page_no"), F.col("p.text").alias("whole")
+    )
+    whole = F.col("whole")
     scan = (F.col("doc_id") + F.col("page_no")) % 5 == 0
     return numbered.select(
         "doc_id", "page_no", "page_count", F.when(scan, "").otherwise(whole).alias("page_text"), whole.alias("full_text"),
