@@ -118,9 +118,8 @@ def run_chain(rows: DataFrame, steps: list[Step], ext: str) -> DataFrame:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
     for no, (name, work) in enumerate(steps, 1):
-        before = [f"{no} {name}"]
         rows = rows.transform(work)
         if "error" in rows.columns:
             fresh = F.col("error").isNotNull() & F.col("failed_step").isNull()
-            rows = rows.withColumn("failed_step", F.when(fresh, before[0]).otherwise(F.col("failed_step")))
+            rows = rows.withColumn("failed_step", F.when(fresh, f"{no} {name}").otherwise(F.col("failed_step")))
     return rows

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pageranges import page_ranges, page_selected, piece_ranges, selected_count, selected_rank
-from ..functions.text import is_blank, strip, text_lines
+from ..functions.text import strip, text_lines
 from .scan import null_safe_join, running_total
 
 # --- fixed values ---------------------------------------------------------

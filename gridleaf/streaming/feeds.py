@@ -70,6 +70,10 @@ def throttle(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:
         for frame in frames:
             at, sure_flags = frame["ts_ms"].to_numpy(), frame["__sure"].to_numpy()
             chosen = np.zeros(len(frame), dtype=bool)
+            if sure_flags.all():
+                yield frame[names]
+                last_kept = at[-1] if len(frame) else last_kept
+                continue
             for i in range(len(frame)):
                 if sure_flags[i] or last_kept is None or at[i] - last_kept >= interval_ms:
                     chosen[i], last_kept = True, at[i]
