@@ -4,7 +4,9 @@ import pytest
 from conftest import DATA
 from parity import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from gridleaf.plans.oracles import ORACLES
+from gridleaf.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,13 +15,13 @@ def con():
 
 
 def test_registry():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, DATA, queries()[name], oracle_sql()[name]) == ""
+    assert compare(spark, con, DATA, QUERIES[name], ORACLES[name]) == ""
