@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules
+from . import packing, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +42,9 @@ def op6_rule_ablations(spark, d):
 @query
 def op4_vector_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer())
+
+
+@query
+def op1_simhash_trees(spark, d):
+    found = simhash.near_duplicates(table(spark, d, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
