@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rules, simhash
+from . import langid, mixing, packing, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,9 @@ def op1_simhash_trees(spark, d):
 @query
 def op5_centroid_language(spark, d):
     return langid.identify(table(spark, d, "documents")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@query
+def op9_pivotal_mix(spark, d):
+    out = mixing.mix(table(spark, d, "documents"), [3, 1, 2], 1.5, 2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
