@@ -45,3 +45,22 @@ policies(policy, mask) AS (VALUES ('base', 3), ('v1', 127))
 SELECT policy, rule, (SELECT count(*) FROM ledger WHERE failed & bit <> 0) AS removed,
   (SELECT count(*) FROM ledger WHERE failed & mask = bit) AS removed_only_by
 FROM policies, rules WHERE mask & bit <> 0"""
+
+_WINDOWS = rf"""
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS win
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM texts WHERE len(w) >= 50)),
+judged AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY win) AS ref FROM windows)"""
+
+ORACLES["op3_lempel_ziv_spans"] = f"""WITH {_WINDOWS},
+gone AS (SELECT DISTINCT r, i + k AS i FROM judged, (SELECT unnest(generate_series(0, 49)) AS k) WHERE ref < doc_id),
+lists AS (SELECT r, list(i) AS gone FROM gone GROUP BY r),
+places AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM places ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(lists.gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)"""
+
+ORACLES["op3_lempel_ziv_factors"] = f"""WITH {_WINDOWS},
+hits AS (SELECT *, i - row_number() OVER (PARTITION BY r, ref ORDER BY i) AS run FROM judged WHERE ref < doc_id)
+SELECT doc_id, (min(i) - 1)::BIGINT AS start, (count(*) + 49)::BIGINT AS length, ref AS ref_doc FROM hits GROUP BY r, doc_id, ref, run"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, rules, simhash
+from . import langid, lempel, mixing, packing, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,13 @@ def op5_centroid_language(spark, d):
 def op9_pivotal_mix(spark, d):
     out = mixing.mix(table(spark, d, "documents"), [3, 1, 2], 1.5, 2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
+
+
+@query
+def op3_lempel_ziv_spans(spark, d):
+    return lempel.deduplicated(table(spark, d, "documents"))
+
+
+@query
+def op3_lempel_ziv_factors(spark, d):
+    return lempel.parsed(table(spark, d, "documents"))
