@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lempel, mixing, packing, rules, simhash
+from . import langid, lempel, mixing, packing, prefixes, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,8 @@ def op3_lempel_ziv_spans(spark, d):
 @query
 def op3_lempel_ziv_factors(spark, d):
     return lempel.parsed(table(spark, d, "documents"))
+
+
+@query
+def op2_prefix_fingerprints(spark, d):
+    return prefixes.fingerprinted(table(spark, d, "documents"))
