@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lempel, mixing, packing, prefixes, rules, simhash
+from . import langid, lempel, mixing, packing, prefixes, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,9 @@ def op3_lempel_ziv_factors(spark, d):
 @query
 def op2_prefix_fingerprints(spark, d):
     return prefixes.fingerprinted(table(spark, d, "documents"))
+
+
+@query
+def op10_toxic_neighbours(spark, d):
+    out = toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")
