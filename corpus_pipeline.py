@@ -4,19 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridleaf.llm import packing
+from gridleaf.llm import langid, lempel, mixing, packing, simhash
 from gridleaf.llm.batches import work_folder
 from gridleaf.llm.queries import tokenizer
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents whose language is not recognised go."""
+    return langid.accepted(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates: the document with the smallest id of each group stays."""
+    return simhash.one_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that an earlier document has are cut out of the texts."""
+    return lempel.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to weights 3, 1, 2, repeating: one row for each copy of a document."""
+    return mixing.mixed(docs, [3, 1, 2])
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: all kept documents cut and packed into sequences of 2048 tokens."""
+    """Packing: all documents cut and packed into sequences of 2048 tokens."""
     return packing.pack_documents(docs, tokenizer())
 
 
-STAGES = [("pack", pack)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("pack", pack)]
 
-#: Token packing and language models are beyond SQL; the tests hold the run against brute force.
+#: Language models, drawn copies and token ids are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -64,3 +64,36 @@ FROM texts LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)"""
 ORACLES["op3_lempel_ziv_factors"] = f"""WITH {_WINDOWS},
 hits AS (SELECT *, i - row_number() OVER (PARTITION BY r, ref ORDER BY i) AS run FROM judged WHERE ref < doc_id)
 SELECT doc_id, (min(i) - 1)::BIGINT AS start, (count(*) + 49)::BIGINT AS length, ref AS ref_doc FROM hits GROUP BY r, doc_id, ref, run"""
+
+ORACLES["op7_chat_templates"] = r"""WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+marked AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+    replace(replace(replace(role || chr(10) || text, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>') AS shown
+  FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(length(learnt))::BIGINT AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(length(shown) + length('<turn></turn>') + 1)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+
+def _notice_rows() -> str:
+    from .licences import TEMPLATES
+
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+
+
+def _plain(column: str) -> str:
+    lowered = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""list_filter(list_transform(regexp_split_to_array({lowered}, '[\x20\x09-\x0D]+'), lambda w: trim(w, '.,;:!?()"''')), lambda w: w <> '')"""
+
+
+ORACLES["op8_license_scan"] = f"""WITH notices AS (SELECT name, {_plain('text')} AS w FROM (VALUES {_notice_rows()}) t(name, text)),
+wanted AS (SELECT DISTINCT name, list_slice(w, i, i + 4) AS shingle FROM (SELECT name, w, unnest(generate_series(1, len(w) - 4)) AS i FROM notices)),
+sized AS (SELECT name, count(*) AS m, pow(2, ceil(log2(count(*))))::BIGINT AS c FROM wanted GROUP BY name),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_plain('text')} AS w FROM documents),
+parts AS (SELECT r, doc_id, i - 1 AS p, list_slice(w, i, i + 4) AS shingle FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM texts WHERE len(w) > 4)),
+hits AS (SELECT r, doc_id, name, m, p, shingle, unnest([p // c, p // c - 1]) AS win FROM parts JOIN wanted USING (shingle) JOIN sized USING (name)),
+held AS (SELECT r, doc_id, name, win, count(DISTINCT shingle) / m AS share, min(p) AS p FROM hits WHERE win >= 0 GROUP BY r, doc_id, name, win, m)
+SELECT doc_id, name AS notice, max(share) AS containment, count(*)::BIGINT AS windows, min(p)::BIGINT AS first_word FROM held WHERE share >= 0.8 GROUP BY r, doc_id, name"""

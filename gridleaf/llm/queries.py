@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lempel, mixing, packing, prefixes, rules, simhash, toxicity
+from . import chat, langid, lempel, licences, mixing, packing, prefixes, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,15 @@ def op2_prefix_fingerprints(spark, d):
 def op10_toxic_neighbours(spark, d):
     out = toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+@query
+def op7_chat_templates(spark, d):
+    odd = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), odd.alias("text"))
+    return chat.digests(table(spark, d, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(extra))
+
+
+@query
+def op8_license_scan(spark, d):
+    return licences.scan(table(spark, d, "documents"))
