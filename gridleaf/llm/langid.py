@@ -25,6 +25,8 @@ SIZE, BITS = 3, 14
 CLASSES = BITS + 1
 #: Sampled texts of a language and size class from which their lowest cosine is taken as a floor.
 ENOUGH = 20
+#: A text of FEW distinct grams or more with a smaller cosine than FAR shares next to nothing with any language.
+FEW, FAR = 8, 0.02
 
 
 @dataclass
@@ -124,8 +126,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = 1000, clusters: int = 4) -
             sizes.append(size_class(len(at)))
         found, labels = cluster(dense, clusters)
         cosines, sizes = (dense * found[labels]).sum(axis=1), np.array(sizes)
-        # a size class with too few texts in the sample tells nothing and rejects nothing
-        line = [float(cosines[sizes == k].min()) if (sizes == k).sum() >= ENOUGH else 0.0 for k in range(CLASSES)]
+        # longer texts come nearer: a size class with too few texts in the sample has the floor of the next smaller one
+        line, held = [], 0.0
+        for k in range(CLASSES):
+            held = float(cosines[sizes == k].min()) if (sizes == k).sum() >= ENOUGH else held
+            line.append(held)
         return pd.DataFrame({"lang": group.lang.iloc[0], "centre": [c.astype("<f4").tobytes() for c in found], "floor": [line] * len(found)})
 
     made = map_rows(picked, vectors, "lang string, ids binary, weights binary").groupBy("lang").applyInPandas(centres, "lang string, centre binary, floor array<double>")
@@ -139,19 +144,21 @@ def nearest(text: str | None, model: Model, slack: float = 0.5) -> tuple[str, fl
     """Language, cosine, and whether the cosine is near enough."""
     ids, weights = vector(text, model.idf)
     if not len(ids) or not model.langs:
-        return "und", 0.0, False
+        return "und", 0.0, bool(len(ids))
     cosines = weights @ model.centroids[ids]
     best = int(cosines.argmax())
     score = float(min(1.0, max(0.0, cosines[best])))
-    return model.langs[best], score, score >= slack * float(model.floor[best, size_class(len(ids))])
+    floor = max(slack * float(model.floor[best, size_class(len(ids))]), FAR if len(ids) >= FEW else 0.0)
+    return model.langs[best], score, score >= floor
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", slack: float = 0.5) -> DataFrame:
     """``key, lang_pred, score, accepted``: one row for each document.
 
-    ``score`` is the cosine to the nearest centroid; ``accepted`` is false for ``und`` and where the score is under
-    ``slack`` times the lowest one of the sample for that size of text. Null texts, texts without a letter, and all
-    texts under a model without languages are ``und`` with score 0. Ties go to the first language by name.
+    ``score`` is the cosine to the nearest centroid; ``accepted`` is false for texts without a letter and where the score
+    is under ``slack`` times the lowest one of the sample for that size of text. Null texts and texts without a letter
+    are ``und`` with score 0; a model without languages calls every text ``und`` and accepts those with a letter. Ties
+    go to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Model
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_rows, read, stored, write
+from .batches import map_rows, read, stored
 from .words import split, window_hashes, word_hashes
 
 WINDOW, ANCHOR = 50, 18
@@ -166,24 +166,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all their columns, their texts without the duplicate spans; texts that lose nothing stay as they are."""
     found = stored(repeated_blocks(docs, window), "found")
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("doc_id", "text").alias("row")]
-    rows = docs.select(*key, F.struct(*docs.columns).alias("whole")).join(found.hint("merge"), ["doc", "row"], "left")
-    rows = rows.select("whole.*", "found")
-    text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(docs.schema)
-
-    def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for *row, hits in rows:
-            if hits:
-                words = split(row[text].encode("utf-8", "surrogatepass"))
-                out = covered(factors(hits, window), len(words)).tolist()
-                row[text] = b" ".join([w for w, o in zip(words, out) if not o]).decode("utf-8", "replace")
-                if chars is not None:
-                    row[chars] = len(row[text])
-            yield tuple(row)
+    rows = docs.select(*key, F.struct(*docs.columns).alias("whole")).join(found.hint("merge"), ["doc", "row"], "left").select("whole", "found")
+    chars = "n_chars" in docs.columns
 
     def run(batches):
-        yield from write(cut(read(batches)), arrow)
-
+        for batch in batches:
+            whole = dict(zip(docs_columns, batch.column(0).flatten()))
+            texts = []
+            for text, hits in zip(whole["text"], batch.column(1)):
+                text, hits = text.as_py(), hits.as_py()
+                if hits:
+                    words = split(text.encode("utf-8", "surrogatepass"))
+                    gone = covered(factors(hits, window), len(words)).tolist()
+                    text = b" ".join([w for w, g in zip(words, gone) if not g]).decode("utf-8", "replace")
+                texts.append((text, bool(hits)))
+            whole["text"] = pa.array([t for t, _ in texts], whole["text"].type)
+            if chars:
+                sizes = [len(t) if cut else n.as_py() for (t, cut), n in zip(texts, whole["n_chars"])]
+                whole["n_chars"] = pa.array(sizes, whole["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(whole.values()), names=docs_columns)
+
+    docs_columns = docs.columns
     return rows.mapInArrow(run, docs.schema)

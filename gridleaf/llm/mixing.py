@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import stored
@@ -85,6 +85,11 @@ def _rounded(group: pd.DataFrame) -> pd.DataFrame:
     return group
 
 
+def _row() -> Column:
+    """Equal for rows of the same id, text and source."""
+    return F.xxhash64("doc_id", "text", F.lit(1), "source")
+
+
 def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, part, taken``: one row for each document.
 
@@ -97,8 +102,9 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = stored(docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("doc_id", "text").alias("order"),
+        F.col("doc_id").cast("string").alias("doc_id"),  # as text: pandas would round long ids beside nulls
+        "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        _row().alias("order"),
     ), "sizes")
     goal = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most), "targets")
     # the table of sources is the small side whatever its size: shuffled, and hot sources are split by AQE
@@ -125,17 +131,23 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
 
 
 def mixed(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The documents of the mix with all their columns, a copy a row; a part is the text's first words, joined by spaces."""
-    name = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("order").cast("string")).alias("_name")
-    plan = mix(docs, weights, share, most).where("taken > 0").groupBy(name).agg(F.sum("copies").alias("_copies"), F.max("part").alias("_part"))
+    """The documents of the mix with all their columns, a copy a row; a part is the text's first words, joined by spaces.
+
+    Rows that agree in id, text and source are one document with as many copies as they have together.
+    """
+
+    def name(order: Column) -> Column:
+        return F.concat_ws("/", F.col("doc_id").cast("string"), order.cast("string")).alias("_mix_name")
+
+    plan = mix(docs, weights, share, most).where("taken > 0").groupBy(name(F.col("order"))).agg(F.sum("copies").alias("_mix_copies"), F.max("part").alias("_mix_part"))
     # equal rows are one row here and their copies add up
-    once = docs.withColumn("order", F.xxhash64("doc_id", "text")).withColumn("_name", name).drop("order").dropDuplicates(["_name"])
-    dealt = once.join(stored(plan, "plan").hint("merge"), "_name")
-    turns = dealt.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies") + F.when(F.col("_part") > 0, 1).otherwise(0))))
+    once = docs.withColumn("_mix_name", name(_row())).dropDuplicates(["_mix_name"])
+    dealt = once.join(stored(plan, "plan").hint("merge"), "_mix_name")
+    turns = dealt.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies") + F.when(F.col("_mix_part") > 0, 1).otherwise(0))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_turn") > F.col("_copies"), F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")).otherwise(F.col("text"))
+    text = F.when(F.col("_mix_turn") > F.col("_mix_copies"), F.array_join(F.slice(words, 1, F.col("_mix_part").cast("int")), " ")).otherwise(F.col("text"))
     out = turns.withColumn("text", text)
     if "n_chars" in docs.columns:
-        cut = F.when(F.col("_turn") > F.col("_copies"), F.length("text")).otherwise(F.col("n_chars"))
+        cut = F.when(F.col("_mix_turn") > F.col("_mix_copies"), F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", cut.cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

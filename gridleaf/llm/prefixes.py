@@ -197,13 +197,13 @@ def in_ranges(docs: DataFrame) -> DataFrame:
 
     ids = docs.select("doc_id", place("doc_id").alias("range")).groupBy("range").agg(F.min("doc_id").alias("first")).collect()
     order = sorted(ids, key=lambda r: r.range)
-    before = {r.first: order[i - 1].range for i, r in enumerate(order)}  # the range before: the last one for the first
+    before = {None if r.first is None else str(r.first): order[i - 1].range for i, r in enumerate(order)}  # the range before: the last one for the first
 
     @F.pandas_udf("int")
-    def ahead_of(ids: pd.Series) -> pd.Series:
-        return pd.Series([before.get(None if x is pd.NA else x) for x in ids.astype("Int64")], dtype="Int32")
+    def ahead_of(ids: pd.Series) -> pd.Series:  # ids as text: pandas would round long ones beside nulls
+        return pd.Series([before.get(x) for x in ids.where(ids.notna(), None)], dtype="Int32")
 
-    spots = F.array(F.struct(place("doc_id").alias("range"), F.lit(False).alias("ahead")), F.struct(ahead_of("doc_id").alias("range"), F.lit(True).alias("ahead")))
+    spots = F.array(F.struct(place("doc_id").alias("range"), F.lit(False).alias("ahead")), F.struct(ahead_of(F.col("doc_id").cast("string")).alias("range"), F.lit(True).alias("ahead")))
     dealt = docs.select("doc_id", "text", F.explode(spots).alias("spot")).where(F.col("spot.range").isNotNull())
     return dealt.select("spot.range", "spot.ahead", "doc_id", "text").repartition("range").sortWithinPartitions("range", "ahead", "doc_id", F.xxhash64("text"))
 
