@@ -28,8 +28,16 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(f"{WHOLE}|{POINTED}"), text.try_cast("double"))
 
 
+def _whole(text: Column) -> Column:
+    """Whole notation of up to 38 digits, exactly."""
+    return F.when(text.rlike(WHOLE), text.try_cast("decimal(38,0)"))
+
+
 def parse_cell(raw: Column) -> Column:
-    """``struct(num, text, fmt)``: a number with the format that shows it as written, or the text.
+    """``struct(num, text, fmt, whole)``: a number with the format that shows it as written, or the text.
+
+    ``whole`` has all digits of a whole number, of which a double keeps about 16; one that no ``whole`` can hold keeps
+    its text beside ``num``. A percentage has no ``whole``.
 
     Every step refers to the one before only once, so the expression stays small.
     """
@@ -49,6 +57,10 @@ def parse_cell(raw: Column) -> Column:
     value = F.when(~keep, _number(plain))
     value = F.when(bracketed, 0 - F.abs(value)).otherwise(value) / F.when(percent, 100).otherwise(1)
 
+    exact = F.when(~keep & ~percent, _whole(plain))
+    exact = F.when(bracketed, 0 - F.abs(exact)).otherwise(exact).cast("decimal(38,0)")
+    lost = value.isNotNull() & exact.isNull() & plain.rlike(WHOLE) & ~percent
+
     zeros = F.regexp_replace(F.regexp_extract(plain, r"^[^.]*(\.[^.]+)", 1), r"[^.]", "0")
     fmt = F.concat(
         F.coalesce(F.concat(F.lit('"'), symbol, F.lit('"')), F.lit("")),
@@ -59,16 +71,19 @@ def parse_cell(raw: Column) -> Column:
     )
     return F.struct(
         value.alias("num"),
-        F.when(value.isNull(), raw).alias("text"),
+        F.when(value.isNull() | lost, raw).alias("text"),
         F.when(value.isNotNull(), fmt).alias("fmt"),
+        exact.alias("whole"),
     )
 
 
 def coerce_simple(raw: Column) -> Column:
-    """``struct(num, text)``: drop commas, keep leading-zero ids, number or text."""
+    """``struct(num, text, whole)``: drop commas, keep leading-zero ids, number (see ``parse_cell``) or text."""
     plain = F.replace(strip(raw), F.lit(","), F.lit(""))
     value = F.when(~_leading_zero(plain), _number(plain))
-    return F.struct(value.alias("num"), F.when(value.isNull(), raw).alias("text"))
+    exact = F.when(~_leading_zero(plain), _whole(plain))
+    lost = value.isNotNull() & exact.isNull() & plain.rlike(WHOLE)
+    return F.struct(value.alias("num"), F.when(value.isNull() | lost, raw).alias("text"), exact.alias("whole"))
 
 
 def parse_param(raw: Column) -> Column:

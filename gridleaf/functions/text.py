@@ -122,9 +122,9 @@ def display_width(text: Column) -> Column:
 
 
 def expand_template(template: Column, values: Column) -> Column:
-    """Fill ``{name}`` from a map; unknown names stay, unbalanced braces leave all as it is."""
+    """Fill ``{name}`` from a map; unknown names stay. Unbalanced braces and fields by position (``{}``, ``{0}``) leave all as it is."""
     tokens = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0))
-    broken = F.exists(tokens, lambda t: t.isin("{", "}"))
+    broken = F.exists(tokens, lambda t: t.isin("{", "}") | t.rlike(r"^\{[0-9]*\}$"))
 
     def fill(token: Column) -> Column:
         name = F.substring(token, 2, F.length(token) - 2)

@@ -22,7 +22,7 @@ SKIPPED_FOLDERS = [
     "node_modules", ".git", ".venv", "__pycache__", "$RECYCLE.BIN", "System Volume Information", "Windows",
     "Program Files", "Program Files (x86)", "AppData", ".cache", "dist", "out",
 ]
-MAX_FILES, MAX_DEPTH = 20_000, 12
+IMPORT_LIMIT, IMPORT_DEPTH = 20_000, 12  # of one batch of the desktop import, for callers that want it
 PREFERENCES = ("local", "cloud", "auto")
 # --------------------------------------------------------------------------
 
@@ -38,15 +38,16 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
 
 
-def file_inventory(files: DataFrame, root: str = "/", max_files: int | None = MAX_FILES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Non-empty files, once per path, outside the skipped folders and not too deep, by path.
+def file_inventory(files: DataFrame, root: str = "/", max_files: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Non-empty files, once per path, outside the skipped folders: all of them, unless the caller sets a limit.
 
-    ``max_files`` is the import limit of one batch; ``None`` lists everything.
+    ``max_files`` keeps the first ones by path, ``max_depth`` those with so many folders at most.
     """
     below = F.substring(F.col("path"), len(root.rstrip("/")) + 2, F.length("path"))
     folders = F.slice(F.split(below, "/"), 1, F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
     skipped = F.arrays_overlap(folders, F.array(*[F.lit(s) for s in SKIPPED_FOLDERS]))
-    listed = files.where((F.col("length") > 0) & ~skipped & (F.size(folders) <= max_depth)).dropDuplicates(["path"])
+    shallow = F.lit(True) if max_depth is None else F.size(folders) <= max_depth
+    listed = files.where((F.col("length") > 0) & ~skipped & shallow).dropDuplicates(["path"])
     return listed if max_files is None else listed.orderBy("path").limit(max_files)
 
 

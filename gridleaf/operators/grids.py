@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +31,46 @@ def _overlaps(a: Column, b: Column, tolerance: float) -> Column:
     return (shared > 0) & (shared / shorter >= tolerance)
 
 
+def first_rows(items: list[dict], tolerance: float) -> list[int]:
+    """Rows (from 1) of a band's boxes, in their order, by the greedy rule in one pass.
+
+    A row keeps only the members that can still decide: not those that end above the box at hand, nor those that another
+    member outlasts without being taller. That is a handful, so a band costs its boxes times the rows open at a height.
+    """
+    open_rows: list[tuple[int, list[tuple[int, int]]]] = []  # (row, [(y1, height)])
+    out, count = [], 0
+    for box in items:
+        y0, y1 = box["y0"], box["y1"]
+        tall, chosen, alive = y1 - y0, None, []
+        for entry in open_rows:
+            row, members = entry
+            members[:] = [m for m in members if m[0] > y0]
+            if not members:
+                continue
+            alive.append(entry)
+            if chosen is None and any((s := min(y1, m[0]) - y0) > 0 and s / max(1, min(tall, m[1])) >= tolerance for m in members):
+                chosen = entry
+        if chosen is None:
+            count += 1
+            chosen = (count, [])
+            alive.append(chosen)
+        row, members = chosen
+        members[:] = [m for m in members if not (y1 >= m[0] and tall <= m[1])]
+        if not any(m[0] >= y1 and m[1] <= tall for m in members):
+            members.append((y1, tall))
+        open_rows = alive
+        out.append(row)
+    return out
+
+
+def _folded(tolerance: float):
+    @F.pandas_udf("array<int>")
+    def fold(bands: pd.Series) -> pd.Series:
+        return bands.map(lambda items: None if items is None else first_rows(list(items), tolerance))
+
+    return fold
+
+
 def row_levels(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
     """``image_id, y0 -> steps array<struct<x0, y1, row>>``: the row of every box that starts at ``y0``.
 
@@ -45,28 +86,10 @@ def row_levels(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
     kinds = kinds.withColumn("open", (opens & later).cast("int"))
     kinds = kinds.withColumn("band", F.sum("open").over(down.rowsBetween(W.unboundedPreceding, 0)))
     bands = kinds.groupBy(KEY, "band").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1"))).alias("items"))
-    member = "array<array<struct<y0:int,y1:int>>>"
-    state = f"struct<rows:{member},at:array<int>>"
-    empty = F.struct(F.array().cast(member).alias("rows"), F.array().cast("array<int>").alias("at")).cast(state)
-
-    def place(acc: Column, item: Column) -> Column:
-        hit = F.array_position(
-            F.transform(acc["rows"], lambda row: F.exists(row, lambda m: _overlaps(m, item, tolerance))), True
-        ).cast("int")
-        one = F.array(F.struct(item["y0"].cast("int").alias("y0"), item["y1"].cast("int").alias("y1")))
-        grown = F.transform(
-            acc["rows"], lambda row, i: F.when(i + 1 == hit, F.array_union(row, one)).otherwise(row)
-        )
-        return F.struct(
-            F.when(hit > 0, grown).otherwise(F.concat(acc["rows"], F.array(one))).alias("rows"),
-            F.concat(acc["at"], F.array(F.when(hit > 0, hit).otherwise(F.size(acc["rows"]) + 1))).alias("at"),
-        ).cast(state)
-
-    # A band in which every box overlaps the first is one row; it needs no fold.
+    # A band in which every box overlaps the first is one row; the others are folded.
     head = F.element_at("items", 1)
     single = F.forall("items", lambda m: _overlaps(m, head, tolerance))
-    folded = F.aggregate("items", empty, place, lambda acc: acc["at"])
-    at = F.when(single, F.transform("items", lambda _: F.lit(1))).otherwise(folded)
+    at = F.when(single, F.transform("items", lambda _: F.lit(1))).otherwise(_folded(tolerance)(F.when(~single, F.col("items"))))
     placed = bands.withColumn("at", at)
     before = F.sum(F.array_max("at")).over(image.orderBy("band").rowsBetween(W.unboundedPreceding, -1))
     flat = placed.withColumn("first", F.coalesce(before, F.lit(0)).cast("int")).select(
@@ -183,7 +206,7 @@ def dense_rows(cells: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def guess_header_row(cells: DataFrame, key: str = KEY) -> DataFrame:
-    """``key, header``: first of rows 0-4 with text, no digit and only short cells, else 0."""
+    """``key, header, met``: first of rows 0-4 with text, no digit and only short cells; else 0, and ``met`` is false."""
     solid = ~is_blank(F.col("text"))
     plain = ~F.col("text").rlike(DIGIT) & (F.length("text") <= HEADER_CHARS)
     zone = F.least(F.col("row"), F.lit(HEADER_ROWS))
@@ -191,24 +214,24 @@ def guess_header_row(cells: DataFrame, key: str = KEY) -> DataFrame:
         F.coalesce(F.bool_and(F.when(solid, plain)), F.lit(False)).alias("__ok")
     )
     first = F.min(F.when((F.col("__row") < HEADER_ROWS) & F.col("__ok"), F.col("__row")))
-    return rows.groupBy(key).agg(F.coalesce(first, F.lit(0)).cast("int").alias("header"))
+    return rows.groupBy(key).agg(F.coalesce(first, F.lit(0)).cast("int").alias("header"), first.isNotNull().alias("met"))
 
 
 def mark_header(cells: DataFrame, key: str = KEY, mode: str = "auto", grid: bool = False) -> DataFrame:
-    """Adds ``is_header``; no row is lost.
+    """Adds ``is_header`` (for showing: row 0 where no row looks like a header) and ``met``, whether one did. No row is lost.
 
     For a ``grid`` of an image (whose cells are bounded by its size) the header row is found by windows
     on the partitioning the grid already has. Any other table goes through a small aggregate and a join.
     """
     if mode != "auto":
-        return cells.withColumn("is_header", F.lit(False))
+        return cells.withColumns({"is_header": F.lit(False), "met": F.lit(False)})
     if grid:
         solid = ~is_blank(F.col("text"))
         plain = ~F.col("text").rlike(DIGIT) & (F.length("text") <= HEADER_CHARS)
         fits = F.coalesce(F.bool_and(F.when(solid, plain)).over(W.partitionBy(key, "row")), F.lit(False))
         first = F.min(F.when((F.col("row") < HEADER_ROWS) & F.col("__fits"), F.col("row"))).over(W.partitionBy(key))
-        marked = cells.withColumn("__fits", fits).withColumn("__header", F.coalesce(first, F.lit(0)))
-        return marked.withColumn("is_header", F.col("row") == F.col("__header")).drop("__fits", "__header")
+        marked = cells.withColumn("__fits", fits).withColumn("__header", first)
+        return marked.withColumns({"is_header": F.col("row") == F.coalesce("__header", F.lit(0)), "met": F.col("__header").isNotNull()}).drop("__fits", "__header")
     joined = null_safe_join(cells, guess_header_row(cells, key), [key])
     return joined.withColumn("is_header", F.col("row") == F.col("header")).drop("header")
 
@@ -284,7 +307,9 @@ def _last(items: Column, n: int) -> Column:
 def parse_json_lenient(rows: DataFrame, text: str) -> DataFrame:
     """Adds ``value`` (an object as variant) and ``error``: strips a code fence, else takes the outermost braces.
 
-    A value that is no object comes as ``{"data": value}``.
+    The text counts as JSON only if it is one value from end to end; a value that is no object comes as ``{"data":
+    value}``. There is an error whenever there is no value. Names that repeat in one object are an error unless the
+    session sets ``spark.sql.variant.allowDuplicateKeys``.
     """
     fence = "```"
     bare = strip(F.col(text))
@@ -298,18 +323,25 @@ def parse_json_lenient(rows: DataFrame, text: str) -> DataFrame:
     start = F.instr("__clean", "{")
     end = F.length("__clean") - F.instr(F.reverse("__clean"), "}") + 1
     inner = F.when((start > 0) & (end > start), F.substring(F.col("__clean"), start, end - start + 1))
-    tried = opened.withColumn("__a", F.try_parse_json("__clean")).withColumn(
-        "__text", F.when(F.col("__a").isNotNull(), F.col("__clean")).otherwise(inner)
-    )
-    tried = tried.withColumn("__v", F.coalesce("__a", F.try_parse_json("__text")))
+
+    def whole(text: Column) -> Column:
+        """The one value that the text is: in brackets it has to be a list of one."""
+        listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        return F.when(F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1, F.try_variant_get(listed, "$[0]", "variant"))
+
+    tried = opened.withColumn("__a", whole(F.col("__clean"))).withColumn("__text", F.when(F.col("__a").isNotNull(), F.col("__clean")).otherwise(inner))
+    tried = tried.withColumn("__v", F.coalesce("__a", whole(F.col("__text"))))
     wrapped = F.try_parse_json(F.concat(F.lit('{"data":'), F.col("__text"), F.lit("}")))
     is_object = F.schema_of_variant("__v").startswith("OBJECT")
-    return tried.withColumns(
-        {
-            "value": F.when(is_object, F.col("__v")).when(F.col("__v").isNotNull(), wrapped),
-            "error": F.when(F.col("__v").isNull(), F.lit("not valid JSON")),
-        }
-    ).drop("__bare", "__clean", "__a", "__text", "__v")
+    tried = tried.withColumn("value", F.when(is_object, F.col("__v")).when(F.col("__v").isNotNull(), wrapped))
+    return tried.withColumn("error", F.when(F.col("value").isNull(), F.lit("not valid JSON"))).drop("__bare", "__clean", "__a", "__text", "__v")
+
+
+def exact_decimals(json: Column) -> Column:
+    """JSON text with its decimals as strings, so that they keep the digits as written (``2.0``, ``1.50``)."""
+    mark = "\x01"  # not legal inside JSON
+    told = F.regexp_replace(json, r'("(?:[^"\\]|\\.)*")|(-?[0-9]+(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))', f"$1{mark}$2{mark}")
+    return F.replace(F.replace(told, F.lit(mark * 2), F.lit("")), F.lit(mark), F.lit('"'))
 
 
 def _cell_text(value: Column) -> Column:
@@ -350,7 +382,7 @@ def normalize_table(rows: DataFrame, table: str) -> DataFrame:
 
 def model_tables(answers: DataFrame, key: str = KEY) -> DataFrame:
     """Table pieces from model answers (``key, tile_id, answer``), in tile order."""
-    parsed = parse_json_lenient(answers.select(key, "tile_id", "answer"), "answer")
+    parsed = parse_json_lenient(answers.select(key, "tile_id", exact_decimals(F.col("answer")).alias("answer")), "answer")
     tables = parsed.select(
         key, "tile_id", F.posexplode(F.try_variant_get("value", "$.tables", "array<variant>")).alias("nth", "t")
     ).where(F.schema_of_variant("t").startswith("OBJECT"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -77,9 +77,15 @@ def clear_history(jobs: DataFrame, tasks: DataFrame, deleted: DataFrame) -> tupl
     return jobs.join(ids, "job_id", "left_anti"), tasks.join(ids, "job_id", "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, updated: list[str]) -> DataFrame:
-    """Insert, or replace the listed columns of a known key; the other columns keep their first value."""
+def upsert(old: DataFrame, new: DataFrame, key: str, updated: list[str], order: str | None = None) -> DataFrame:
+    """Insert, or replace the listed columns of a known key; the other columns keep their first value.
+
+    ``new`` may hold a key several times: its rows are taken in the order of column ``order`` (of ``new``; without one,
+    of all its columns), as if written one after the other. Each key comes out once.
+    """
     rest = [c for c in old.columns if c != key]
+    at = F.struct(*([order] if order else []), *sorted(c for c in new.columns if c != order))
+    new = new.groupBy(key).agg(*[(F.max_by if c in updated else F.min_by)(F.struct(c), at)[c].alias(c) for c in rest])
     a = old.select(key, *[F.col(c).alias(f"__o_{c}") for c in rest], F.lit(True).alias("__old"))
     b = new.select(key, *[F.col(c).alias(f"__n_{c}") for c in rest], F.lit(True).alias("__new"))
     both = a.join(b, key, "full_outer")
@@ -140,17 +146,18 @@ def run_isolated(rows: DataFrame, work: Callable[[dict], str], result: str = "re
         + [StructField(result, StringType()), StructField("status", StringType()), StructField("error", StringType()), StructField("duration_ms", DoubleType())]
     )
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def outcomes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             outcomes = []
-            for record in frame.to_dict("records"):
+            for record in batch.to_pylist():
                 start = time.monotonic()
                 try:
                     got, status, error = work(record), "succeeded", None
                 except Exception as problem:  # a row must never take its batch with it
                     got, status, error = None, "failed", f"{type(problem).__name__}: {problem}"
                 outcomes.append((got, status, error, (time.monotonic() - start) * 1000))
-            extra = pd.DataFrame(outcomes, columns=[result, "status", "error", "duration_ms"], index=frame.index)
-            yield pd.concat([frame, extra], axis=1)
+            extra = [pa.array(c, pa.float64() if i == 3 else pa.string()) for i, c in enumerate(zip(*outcomes))]
+            if extra:  # the columns of the row pass as they are
+                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
 
-    return rows.mapInPandas(batches, schema)
+    return rows.mapInArrow(outcomes_of, schema)

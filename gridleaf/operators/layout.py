@@ -383,14 +383,14 @@ def text_layer_geometry(blocks: DataFrame, dpi: int = 200) -> DataFrame:
 
 
 def ocr_report(images: DataFrame, ordered: DataFrame, preview_chars: int = 4000) -> DataFrame:
-    """One summary per image with a text preview; the full text is ``page_text``."""
+    """One record per image with its whole text and, beside it, a preview of ``preview_chars``."""
     facts = ordered.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("line_count"), F.round(_mean_confidence(), 3).alias("avg_confidence")
     )
     texts = page_text(ordered)
     sizes = texts.groupBy("image_id").agg(
         (F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("chars"),
-        F.min_by(F.substring("text", 1, preview_chars), F.col("part")).alias("preview"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "\n").alias("text"),
     )
     joined = null_safe_join(null_safe_join(images, facts, ["image_id"], "left"), sizes, ["image_id"], "left")
     zero = F.lit(0).cast("bigint")
@@ -399,6 +399,6 @@ def ocr_report(images: DataFrame, ordered: DataFrame, preview_chars: int = 4000)
         F.coalesce("line_count", zero).alias("line_count"),
         F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
         F.coalesce("chars", zero).alias("chars"),
-        F.coalesce("preview", F.lit("")).alias("preview"),
+        F.coalesce("text", F.lit("")).alias("text"), F.substring(F.coalesce("text", F.lit("")), 1, preview_chars).alias("preview"),
     ).withColumn("truncated", F.col("chars") > preview_chars)
     return full.withColumn("report", F.to_json(F.struct(*full.columns)))

@@ -32,6 +32,11 @@ def save_presets(changes: DataFrame) -> DataFrame:
     )
 
 
+def refused_presets(changes: DataFrame) -> DataFrame:
+    """The saves that ``save_presets`` doesn't take, all columns, with their ``error``."""
+    return changes.withColumn("error", preset_error(F.col("name"))).where(F.col("error").isNotNull())
+
+
 def list_presets(presets: DataFrame, action: str | None = None) -> DataFrame:
     chosen = presets if action is None else presets.where(F.col("action") == action)
     return chosen.orderBy("action", F.lower("name"), "name")
@@ -68,9 +73,9 @@ def cache_touch(cache: DataFrame, requests: DataFrame) -> DataFrame:
     ).select(*cache.columns)
 
 
-def cache_put(cache: DataFrame, rows: DataFrame) -> DataFrame:
-    """Store ``key, value, created``: a known key changes its value only; oversized values are not stored."""
-    fit = rows.where(F.length("value") <= MAX_VALUE).groupBy("key").agg(
+def cache_put(cache: DataFrame, rows: DataFrame, max_value: int = MAX_VALUE) -> DataFrame:
+    """Store ``key, value, created``: a known key changes its value only; ``cache_refused`` has what is not stored."""
+    fit = rows.where(F.length("value") <= max_value).groupBy("key").agg(
         F.max_by("value", "created").alias("__value"), F.min("created").alias("__created")
     )
     both = cache.withColumn("__known", F.lit(True)).join(fit, "key", "full_outer")
@@ -81,6 +86,12 @@ def cache_put(cache: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def cache_refused(rows: DataFrame, max_value: int = MAX_VALUE) -> DataFrame:
+    """``key, created, reason``: the rows that ``cache_put`` doesn't store."""
+    reason = F.when(F.col("value").isNull(), "no value").when(F.length("value") > max_value, "value too long")
+    return rows.select("key", "created", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def cache_evict(cache: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The entries used last; a top-k, so no global sort."""
     return cache.orderBy(F.desc(F.coalesce("last_hit", "created")), "key").limit(max_entries)

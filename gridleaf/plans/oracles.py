@@ -53,7 +53,7 @@ def oracle(name: str, sql: str) -> None:
 oracle("invoice_totals", """SELECT l_orderkey AS image_id, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY 1""")
 
 # files
-oracle("file_inventory", f"WITH {FILES} SELECT DISTINCT path FROM files WHERE length > 0 ORDER BY path LIMIT 20000")
+oracle("file_inventory", f"WITH {FILES} SELECT DISTINCT path FROM files WHERE length > 0")
 oracle("classify_file", f"""WITH {FILES} SELECT doc_id, ext, CASE WHEN ext IN ('png','jpg') THEN 'image' WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'docx' THEN 'word'
   WHEN ext = 'xlsx' THEN 'excel' WHEN ext = 'txt' THEN 'text' WHEN ext = 'zip' THEN 'archive' ELSE 'unknown' END AS kind FROM files""")
 oracle("accept_split", f"""WITH {FILES} SELECT doc_id, CASE WHEN ext IN ('pdf','png','jpg') THEN 'queued' ELSE 'skipped' END AS status,
@@ -119,7 +119,7 @@ oracle("average_confidence", f"{BLOCKS} SELECT image_id, round({MEAN}, 8) AS avg
 oracle("text_layer_geometry", f"""{BLOCKS} SELECT image_id, block_id, 'latin' AS font, round(28 * (72.0 / 150) * 0.8, 6) AS font_size, round(x0 * (72.0 / 150), 6) AS base_x,
   round(y1 * (72.0 / 150) - 28 * (72.0 / 150) * 0.18, 6) AS base_y FROM blocks""")
 oracle("ocr_report", f"""{BLOCKS}, {IMG1}, f AS (SELECT image_id, count(*) AS line_count, round({MEAN}, 3) AS avg_confidence, string_agg(text, chr(10) ORDER BY r, c) AS full_text FROM blocks GROUP BY 1)
-  SELECT image_id, CAST(width AS INT) AS width, CAST(height AS INT) AS height, line_count, avg_confidence, length(full_text) AS chars, substr(full_text, 1, 60) AS preview, length(full_text) > 60 AS truncated
+  SELECT image_id, CAST(width AS INT) AS width, CAST(height AS INT) AS height, line_count, avg_confidence, length(full_text) AS chars, full_text AS text, substr(full_text, 1, 60) AS preview, length(full_text) > 60 AS truncated
   FROM f JOIN images USING (image_id)""")
 
 # grids
@@ -133,7 +133,7 @@ oracle("dense_rows", f"""{BLOCKS}, {GAPPY}, {COLNO}, spots AS (SELECT u.image_id
   SELECT image_id, CAST(r AS INT) AS row, string_agg(coalesce(text, ''), '|' ORDER BY col) AS cells FROM spots LEFT JOIN gappy USING (image_id, r, c) GROUP BY 1, 2""")
 oracle("trim_empty", f"""{CELLW}, k AS (SELECT * FROM raw WHERE row % 3 <> 0 AND col <> 1)
   SELECT case_id, CAST(dense_rank() OVER (PARTITION BY case_id ORDER BY row) - 1 AS INT) AS row, CAST(CASE WHEN col > 1 THEN col - 1 ELSE col END AS INT) AS col, text FROM k""")
-oracle("guess_header_row", "SELECT DISTINCT l_orderkey AS image_id, 0 AS header FROM lineitem")
+oracle("guess_header_row", "SELECT DISTINCT l_orderkey AS image_id, 0 AS header, l_orderkey % 3 <> 0 AS met FROM lineitem")
 oracle("merge_fragments", f"""WITH {LINES}, n AS (SELECT *, max(rn) OVER (PARTITION BY l_orderkey) AS last FROM lines),
   t AS (SELECT l_orderkey AS image_id, rn, 'P' || l_partkey || '-' || rn || '|' || format('{{:,.2f}}', l_extendedprice) AS cells, l_orderkey % 9 = 0 AND rn >= 7 AS late,
     l_orderkey % 9 = 0 AND rn = 6 AND last > 6 AS twice FROM n)
@@ -141,7 +141,7 @@ oracle("merge_fragments", f"""WITH {LINES}, n AS (SELECT *, max(rn) OVER (PARTIT
 oracle("parse_json_lenient", """SELECT DISTINCT l_orderkey AS image_id, CASE WHEN l_orderkey % 4 < 3 THEN 'Invoice' END AS title,
   CASE WHEN l_orderkey % 4 = 3 THEN 'not valid JSON' END AS error FROM lineitem""")
 oracle("normalize_table", f"""WITH {LINES} SELECT l_orderkey, CAST(rn AS INT) AS rn, '' AS title, 'a|b' AS headers,
-  l_partkey || '|' || l_returnflag || '/' || l_linestatus || '|/' || rn AS rows FROM lines""")
+  l_partkey || '|' || l_returnflag || '/' || l_linestatus || '|/' || rn || '.50' AS rows FROM lines""")
 oracle("column_width", """SELECT p_brand AS brand, col, CAST(least(48, greatest(8, max(length(t)) + 3)) AS INT) AS width
   FROM (SELECT p_brand, 0 AS col, p_name AS t FROM part UNION ALL SELECT p_brand, 1, p_type FROM part) GROUP BY 1, 2""")
 oracle("sheet_name", """SELECT p_partkey, CASE WHEN p_size = 1 THEN 'Sheet1' ELSE substr('ab' || p_name || p_brand || ' ' || p_type, 1, 28) END AS name FROM part""")
@@ -154,7 +154,8 @@ oracle("table_summary", "SELECT l_orderkey AS image_id, CAST(1 AS BIGINT) AS tab
 NUM = "CASE col WHEN 0 THEN price WHEN 1 THEN round(disc * 100) / 100 WHEN 2 THEN qty WHEN 4 THEN CASE WHEN flag = 'R' THEN -part ELSE part END END"
 oracle("parse_cell", f"""{CELLW} SELECT case_id, CAST(row AS INT) AS row, col, CAST(round({NUM}, 6) AS DOUBLE) AS num, CASE WHEN col IN (3, 5) THEN text END AS text,
   CASE col WHEN 0 THEN CASE WHEN price >= 1000 THEN '#,##0.00' ELSE '0.00' END WHEN 1 THEN '0%' WHEN 2 THEN '0'
-    WHEN 4 THEN CASE WHEN part >= 1000 THEN '#,##0' ELSE '0' END || CASE WHEN flag = 'R' THEN ';#,##0' ELSE '' END END AS fmt FROM raw""")
+    WHEN 4 THEN CASE WHEN part >= 1000 THEN '#,##0' ELSE '0' END || CASE WHEN flag = 'R' THEN ';#,##0' ELSE '' END END AS fmt,
+  CASE WHEN col = 2 THEN CAST(CAST(qty AS INT) AS VARCHAR) WHEN col = 4 THEN CAST(CASE WHEN flag = 'R' THEN -part ELSE part END AS VARCHAR) END AS whole FROM raw""")
 oracle("coerce_simple", f"""{CELLW} SELECT case_id, CAST(row AS INT) AS row, col, CAST(CASE WHEN col = 0 THEN price WHEN col = 2 THEN qty WHEN col = 4 AND flag <> 'R' THEN part END AS DOUBLE) AS num,
   CASE WHEN NOT (col IN (0, 2) OR (col = 4 AND flag <> 'R')) THEN text END AS text FROM raw""")
 oracle("parse_param", f"""{CELLW}, k AS (SELECT *, CASE WHEN col = 5 THEN NULL WHEN col = 2 OR (col = 4 AND flag <> 'R' AND part < 1000) THEN 'int'
@@ -179,7 +180,7 @@ oracle("structure_lines", """WITH l AS (SELECT doc_id, list_filter(list_transfor
   SELECT doc_id, line_no, CASE WHEN t[1] = '#' THEN 'heading' ELSE 'paragraph' END AS kind, CAST(least(6, length(t) - length(ltrim(t, '#'))) AS INT) AS level,
   regexp_replace(ltrim(t, '#'), '^\\s+', '') AS text FROM e""")
 oracle("expand_template", f"""WITH {PAGES} SELECT doc_id, page_no, nth, CASE nth WHEN 0 THEN 'doc' || doc_id || ' ' || page_no || '/' || page_count || ' {{who}}' WHEN 1 THEN '{{' || page_no || '}}'
-  ELSE '{{page}} {{' END AS text FROM pg, (VALUES (0), (1), (2)) v(nth)""")
+  WHEN 2 THEN '{{page}} {{' WHEN 3 THEN '{{}} {{page}}' ELSE '{{0}}{{page}}' END AS text FROM pg, (VALUES (0), (1), (2), (3), (4)) v(nth)""")
 oracle("hex_color", """WITH h AS (SELECT p_partkey, p_size % 5 AS k, p_partkey * 65537 AS v, lpad(printf('%X', p_partkey * 65537), 6, '0') AS t FROM part),
   q AS (SELECT p_partkey, k, CASE WHEN k = 2 THEN NULL WHEN k = 0 THEN t[1] || t[1] || t[2] || t[2] || t[3] || t[3] ELSE t END AS t FROM h)
   SELECT p_partkey, coalesce(CAST('0x' || t[1:2] AS INT), 255) AS r, coalesce(CAST('0x' || t[3:4] AS INT), 255) AS g, coalesce(CAST('0x' || t[5:6] AS INT), 255) AS b,
@@ -267,6 +268,8 @@ oracle("preferred_engine", """SELECT domain, engine, fidelity FROM (SELECT p_bra
 # presets, cache, usage
 SAVED = """saved AS (SELECT event_type AS action, 'p' || user_id AS name, 'id' || min(event_id) AS id, arg_max(props, event_id) AS params, min(event_id) AS created, max(event_id) AS updated
   FROM events GROUP BY 1, 2)"""
+oracle("refused_presets", """SELECT 'id' || event_id AS new_id, CASE event_id % 7 WHEN 0 THEN 'empty name' ELSE 'name too long' END AS error FROM events
+  WHERE event_id % 7 = 0 OR (event_id % 7 = 1 AND length('p' || user_id) * 20 > 40)""")
 oracle("save_presets", f"WITH {SAVED} SELECT * FROM saved")
 oracle("list_presets", f"WITH {SAVED} SELECT name, params FROM saved WHERE action = 'click'")
 oracle("delete_presets", f"WITH {SAVED} SELECT action, name FROM saved WHERE created >= 1000")
@@ -276,6 +279,8 @@ oracle("cache_lookup", f"WITH {CACHE} SELECT doc_id AS request_id, value IS NOT
 oracle("cache_misses", f"WITH {CACHE} SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT key FROM cache)")
 TOUCHED = f"""{CACHE}, touched AS (SELECT key, value, created, count(*) AS hits, max(doc_id) AS last_hit FROM cache JOIN documents ON sha256(text) = key GROUP BY 1, 2, 3)"""
 oracle("cache_touch", f"WITH {TOUCHED} SELECT key, hits, last_hit FROM touched")
+oracle("cache_refused", """SELECT CAST(doc_id AS VARCHAR) AS key, doc_id AS created, CASE WHEN doc_id % 5 = 0 OR text IS NULL THEN 'no value' ELSE 'value too long' END AS reason
+  FROM documents WHERE doc_id % 5 = 0 OR text IS NULL OR length(text) > 2000""")
 oracle("cache_put", f"""WITH {CACHE}, r AS (SELECT sha256(text) AS key, arg_max(lang, doc_id) AS value, min(doc_id) AS first FROM documents GROUP BY 1)
   SELECT r.key, r.value, coalesce(cache.created, first) AS created, CAST(0 AS BIGINT) AS hits FROM r LEFT JOIN cache ON cache.key = r.key""")
 oracle("cache_evict", f"WITH {TOUCHED} SELECT key, hits FROM touched ORDER BY last_hit DESC, key LIMIT 100")

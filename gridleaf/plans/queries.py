@@ -26,7 +26,7 @@ def query(work: Query) -> Query:
     return work
 
 
-QUERIES["invoice_totals"] = lambda spark, d: invoice_totals(samples.invoice_blocks(spark, d))
+QUERIES["invoice_totals"] = lambda spark, d: invoice_totals(samples.headless_blocks(samples.invoice_blocks(spark, d)))
 
 
 # --- files -----------------------------------------------------------------
@@ -311,7 +311,9 @@ def merge_fragments(spark, d):
 
 @query
 def parse_json_lenient(spark, d):
-    parsed = grids.parse_json_lenient(samples.model_answers(spark, d), "answer")
+    told = F.when(F.col("image_id") % 8 == 4, F.concat(F.lit("3 tables found: "), "answer")).when(F.col("image_id") % 8 == 6, F.concat(F.lit("[1,2] and "), "answer"))
+    answers = samples.model_answers(spark, d).withColumn("answer", F.coalesce(told, "answer"))
+    parsed = grids.parse_json_lenient(answers, "answer")
     return parsed.select("image_id", F.try_variant_get("value", "$.tables[0].title", "string").alias("title"), "error")
 
 
@@ -321,9 +323,9 @@ def normalize_table(spark, d):
     lines = samples.invoice_lines(spark, d)
     json = F.concat(
         F.lit('{"title":null,"headers":["a","b"],"rows":[{"b":"'), F.col("l_returnflag"), F.lit('","a":'), F.col("l_partkey").cast("string"),
-        F.lit('},["'), F.col("l_linestatus"), F.lit('",null],'), F.col("rn").cast("string"), F.lit("]}"),
+        F.lit('},["'), F.col("l_linestatus"), F.lit('",null],'), F.col("rn").cast("string"), F.lit(".50]}"),
     )
-    n = grids.normalize_table(lines.select("l_orderkey", "rn", F.try_parse_json(json).alias("t")), "t")
+    n = grids.normalize_table(lines.select("l_orderkey", "rn", F.try_parse_json(grids.exact_decimals(json)).alias("t")), "t")
     rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
     return n.select("l_orderkey", "rn", "title", F.array_join("headers", "|").alias("headers"), rows.alias("rows"))
 
@@ -357,7 +359,7 @@ def table_summary(spark, d):
 @query
 def parse_cell(spark, d):
     typed = samples.raw_cells(spark, d).withColumn("cell", C.parse_cell(F.col("text")))
-    return typed.select("case_id", "row", "col", F.round("cell.num", 6).alias("num"), F.col("cell.text").alias("text"), F.col("cell.fmt").alias("fmt"))
+    return typed.select("case_id", "row", "col", F.round("cell.num", 6).alias("num"), F.col("cell.text").alias("text"), F.col("cell.fmt").alias("fmt"), F.col("cell.whole").cast("string").alias("whole"))
 
 
 @query
@@ -433,7 +435,7 @@ def _template_values():
 @query
 def expand_template(spark, d):
     p = samples.doc_pages(spark, d)
-    templates = F.array(F.lit("{stem} {page}/{pages} {who}"), F.lit("{{{page}}}"), F.lit("{page} {"))
+    templates = F.array(F.lit("{stem} {page}/{pages} {who}"), F.lit("{{{page}}}"), F.lit("{page} {"), F.lit("{} {page}"), F.lit("{0}{page}"))
     return p.select("doc_id", "page_no", F.posexplode(F.transform(templates, lambda t: T.expand_template(t, _template_values()))).alias("nth", "text"))
 
 
@@ -629,7 +631,9 @@ def upsert_tasks(spark, d):
     new = samples.tasks(spark, d).where(F.col("status") != "failed").select(
         "task_id", F.lit(-1).cast("bigint").alias("job_id"), F.lit("renamed").alias("file_name"), F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("error")
     )
-    return jobs.upsert(old, new, "task_id", ["status", "error"])
+    first = new.withColumns({"at": F.lit(1), "status": F.lit("running"), "error": F.lit("not yet")})
+    twice = new.withColumns({"at": F.lit(2), "file_name": F.lit("late")}).unionByName(first)
+    return jobs.upsert(old, twice.withColumn("file_name", F.when(F.col("at") == 1, "renamed").otherwise(F.col("file_name"))), "task_id", ["status", "error"], "at")
 
 
 def _jobs(spark, d):
@@ -687,6 +691,12 @@ def save_presets(spark, d):
     return store.save_presets(samples.preset_changes(spark, d))
 
 
+@query
+def refused_presets(spark, d):
+    name = F.when(F.col("updated") % 7 == 0, "  ").when(F.col("updated") % 7 == 1, F.repeat("name", 20)).otherwise(F.col("name"))
+    return store.refused_presets(samples.preset_changes(spark, d).withColumn("name", name)).select("new_id", "error")
+
+
 @query
 def list_presets(spark, d):
     return store.list_presets(store.save_presets(samples.preset_changes(spark, d)), "click").select("name", "params")
@@ -726,6 +736,13 @@ def cache_touch(spark, d):
     return _touched(spark, d).select("key", "hits", "last_hit")
 
 
+@query
+def cache_refused(spark, d):
+    value = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), value.alias("value"), F.col("doc_id").alias("created"))
+    return store.cache_refused(rows, 2000)
+
+
 @query
 def cache_put(spark, d):
     rows = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), F.col("lang").alias("value"), F.col("doc_id").alias("created"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,29 +63,32 @@ def throttle(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:
     ).drop("__s")
     runs = null_safe_join(cut, last, ["task_id", "__b"]).withColumn("__start", F.coalesce("__start", "__from"))
     runs = runs.withColumns({"__s1": F.col("__start.ts_ms"), "__s2": F.col("__start.seq")}).drop("__b", "__carry", "__start", "__from")
-    names = events.columns
+    width = len(events.columns)
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_kept = None
-        for frame in frames:
-            at, sure_flags = frame["ts_ms"].to_numpy(), frame["__sure"].to_numpy()
-            chosen = np.zeros(len(frame), dtype=bool)
-            if sure_flags.all():
-                yield frame[names]
-                last_kept = at[-1] if len(frame) else last_kept
-                continue
-            for i in range(len(frame)):
-                if sure_flags[i] or last_kept is None or at[i] - last_kept >= interval_ms:
-                    chosen[i], last_kept = True, at[i]
-            yield frame.loc[chosen, names]
+        for batch in batches:  # only times and flags are read; the event's columns pass as they are
+            at, sure_flags = batch.column("__at").to_pylist(), batch.column("__sure").to_pylist()
+            chosen = []
+            for time, certain in zip(at, sure_flags):
+                chosen.append(certain or last_kept is None or time - last_kept >= interval_ms)
+                last_kept = time if chosen[-1] else last_kept
+            yield batch.filter(pa.array(chosen, pa.bool_())).select(range(width))
 
     ordered = runs.repartition("task_id", "__s1", "__s2").sortWithinPartitions("task_id", "__s1", "__s2", "ts_ms", "seq")
-    return ordered.mapInPandas(keep, events.schema)
+    return ordered.select(*events.columns, F.col("ts_ms").alias("__at"), "__sure").mapInArrow(keep, events.schema)
 
 
 def throttle_stream(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:
-    """The same on a stream with an event time ``ts``; a task's state goes after its longest run time."""
-    names = events.columns
+    """The same on a stream with an event time ``ts``; a task's state goes after its longest run time.
+
+    Forced events go past the watermark and always stay, however late; the others are judged by the state, which counts
+    the forced ones too.
+    """
+    # whole numbers beside nulls would be rounded in pandas, so all but the times travel as text
+    whole = [c for c, kind in events.dtypes if kind in ("bigint", "int", "smallint", "tinyint") and c not in ("ts_ms", "seq")]
+    told = events.withColumns({c: F.col(c).cast("string") for c in whole}) if whole else events
+    names = told.columns
 
     def keep(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -96,17 +99,19 @@ def throttle_stream(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFr
         chosen = []
         for at, forced in zip(batch["ts_ms"], batch["forced"]):
             hit = bool(forced) or last_kept is None or at - last_kept >= interval_ms
-            chosen.append(hit)
+            chosen.append(hit and not forced)
             last_kept = int(at) if hit else last_kept
         state.update((last_kept,))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(batch["ts_ms"].max())) + TASK_SECONDS * 1000)
         yield batch.loc[chosen, names]
 
-    return (
-        events.withWatermark("ts", f"{TASK_SECONDS} seconds")
+    judged = (
+        told.withWatermark("ts", f"{TASK_SECONDS} seconds")
         .groupBy("task_id")
-        .applyInPandasWithState(keep, events.schema, "last_kept bigint", "append", "EventTimeTimeout")
+        .applyInPandasWithState(keep, told.schema, "last_kept bigint", "append", "EventTimeTimeout")
     )
+    types = dict(events.dtypes)
+    return judged.withColumns({c: F.col(c).cast(types[c]) for c in whole}).unionByName(events.where("forced")) if whole else judged.unionByName(events.where("forced"))
 
 
 Batch = Callable[[DataFrame, int], None]
