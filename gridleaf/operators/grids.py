@@ -38,9 +38,15 @@ def first_rows(items: list[dict], tolerance: float) -> list[int]:
     member outlasts without being taller. That is a handful, so a band costs its boxes times the rows open at a height.
     """
     open_rows: list[tuple[int, list[tuple[int, int]]]] = []  # (row, [(y1, height)])
-    out, count = [], 0
+    out, count, last = [], 0, None
     for box in items:
-        y0, y1 = box["y0"], box["y1"]
+        y0, y1, key = box["y0"], box["y1"], (box["y0"], box["x0"], box["y1"])
+        if key == last or y0 is None or y1 is None:
+            count += key != last
+            out.append(out[-1] if key == last else count)
+            last = key
+            continue
+        last = key
         tall, chosen, alive = y1 - y0, None, []
         for entry in open_rows:
             row, members = entry
@@ -71,46 +77,35 @@ def _folded(tolerance: float):
     return fold
 
 
-def row_levels(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
-    """``image_id, y0 -> steps array<struct<x0, y1, row>>``: the row of every box that starts at ``y0``.
+def group_rows(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
+    """Adds ``row`` (from 0, top to bottom).
 
-    Rows are greedy: by (y0, x0, y1), a box joins the first row with a member it overlaps. Equal
-    (y0, x0, y1) follow each other and share a row, so the fold needs one entry per distinct one,
-    combined on the map side. No row crosses a height that no box crosses, so it runs band by band.
+    Rows are greedy: by (y0, x0, y1), a box joins the first row with a member it overlaps; equal ones share a row. No row
+    crosses a height that no box crosses, so an image is cut into bands there. The boxes travel in their band's array, on
+    the one exchange by image; a box without a height is a row of its own.
     """
-    kinds = blocks.select(KEY, "y0", "x0", "y1").distinct()
+    names = blocks.columns
     image = W.partitionBy(KEY)
     down = image.orderBy("y0", "x0", "y1")
     opens = F.coalesce(F.col("y0") >= F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
     later = F.coalesce(F.col("y0") > F.lag("y0").over(down), F.lit(False))
-    kinds = kinds.withColumn("open", (opens & later).cast("int"))
-    kinds = kinds.withColumn("band", F.sum("open").over(down.rowsBetween(W.unboundedPreceding, 0)))
-    bands = kinds.groupBy(KEY, "band").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1"))).alias("items"))
+    marked = blocks.withColumn("__open", (opens & later).cast("int"))
+    marked = marked.withColumns({"__band": F.sum("__open").over(down.rowsBetween(W.unboundedPreceding, 0)), "__n": F.row_number().over(down)})
+    rest = F.struct(*[c for c in names if c != KEY]).alias("box")
+    bands = marked.groupBy(KEY, "__band").agg(F.array_sort(F.collect_list(F.struct("__n", rest))).alias("__items"))
+    boxes = F.transform("__items", lambda i: F.struct(*[i["box"][c].alias(c) for c in ("y0", "x0", "y1")]))
+    bands = bands.withColumn("__boxes", boxes)
     # A band in which every box overlaps the first is one row; the others are folded.
-    head = F.element_at("items", 1)
-    single = F.forall("items", lambda m: _overlaps(m, head, tolerance))
-    at = F.when(single, F.transform("items", lambda _: F.lit(1))).otherwise(_folded(tolerance)(F.when(~single, F.col("items"))))
-    placed = bands.withColumn("at", at)
-    before = F.sum(F.array_max("at")).over(image.orderBy("band").rowsBetween(W.unboundedPreceding, -1))
-    flat = placed.withColumn("first", F.coalesce(before, F.lit(0)).cast("int")).select(
-        KEY, "first", F.explode(F.arrays_zip("items", "at")).alias("e")
-    )
-    step = F.struct(
-        F.col("e.items.x0").alias("x0"), F.col("e.items.y1").alias("y1"), (F.col("first") + F.col("e.at") - 1).cast("int").alias("row")
+    single = F.coalesce(F.forall("__boxes", lambda m: _overlaps(m, F.element_at("__boxes", 1), tolerance)), F.lit(False))
+    bands = bands.withColumn("__hard", F.when(~single, F.col("__boxes"))).drop("__boxes")
+    at = F.coalesce(_folded(tolerance)("__hard"), F.transform("__items", lambda _: F.lit(1)))
+    placed = bands.withColumn("__at", at).drop("__hard")
+    before = F.sum(F.array_max("__at")).over(image.orderBy("__band").rowsBetween(W.unboundedPreceding, -1))
+    flat = placed.withColumn("__first", F.coalesce(before, F.lit(0)).cast("int")).select(
+        KEY, "__first", F.explode(F.arrays_zip("__items", "__at")).alias("e")
     )
-    return flat.groupBy(KEY, F.col("e.items.y0").alias("y0")).agg(F.collect_list(step).alias("steps"))
-
-
-def _row_of(steps: Column) -> Column:
-    """Row of the box among those that start at its height."""
-    same = F.filter(steps, lambda s: (s["x0"] == F.col("x0")) & (s["y1"] == F.col("y1")))
-    return F.get(same, F.lit(0))["row"]
-
-
-def group_rows(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
-    """Adds ``row`` (from 0, top to bottom)."""
-    joined = null_safe_join(blocks, row_levels(blocks, tolerance), [KEY, "y0"])
-    return joined.withColumn("row", _row_of(F.col("steps"))).drop("steps")
+    kept = [F.col(KEY) if c == KEY else F.col("e.__items.box")[c].alias(c) for c in names]
+    return flat.select(*kept, (F.col("__first") + F.col("e.__at") - 1).cast("int").alias("row"))
 
 
 def detect_columns(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
@@ -153,10 +148,21 @@ def assign_column(blocks: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def place_blocks(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
-    """Adds ``row`` and ``col`` with one join: levels carry the columns of their image."""
-    levels = null_safe_join(row_levels(blocks), column_spans(detect_columns(blocks, min_gap)), [KEY], "left")
-    joined = null_safe_join(blocks, levels, [KEY, "y0"])
-    return joined.withColumns({"row": _row_of(F.col("steps")), "col": _column_of(F.col("spans"))}).drop("steps", "spans")
+    """Adds ``row`` and ``col`` on one exchange by image.
+
+    A box with a width lies inside the stretch of x that it belongs to; only one without goes by the nearest column.
+    """
+    image = W.partitionBy(KEY)
+    across = image.orderBy("x0")
+    wide = F.col("x1") > F.col("x0")
+    reach = F.max(F.when(wide, F.col("x1"))).over(across.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.coalesce(wide & (F.col("x0") - reach >= min_gap), F.lit(False)).cast("int")
+    marked = blocks.withColumn("__opens", opens).withColumn("__stretch", F.sum("__opens").over(across.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    stretch = W.partitionBy(KEY, "__stretch")
+    span = F.struct(F.col("__stretch").alias("col"), F.min(F.when(wide, F.col("x0"))).over(stretch).alias("x0"), F.max(F.when(wide, F.col("x1"))).over(stretch).alias("x1"))
+    marked = marked.withColumn("__span", span).withColumn("__spans", F.sort_array(F.collect_set("__span").over(image)))
+    col = F.when(wide, F.col("__stretch")).otherwise(_column_of(F.filter("__spans", lambda s: s["x0"].isNotNull())))
+    return group_rows(marked.withColumn("col", col).drop("__opens", "__stretch", "__span", "__spans"))
 
 
 def blocks_to_grid(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
