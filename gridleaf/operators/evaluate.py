@@ -46,41 +46,33 @@ def paired_cells(expected: DataFrame, actual: DataFrame, unicode_forms: bool = T
 
 
 def compare_grids(expected: DataFrame, actual: DataFrame, unicode_forms: bool = True) -> DataFrame:
-    """Scores per case. Cells on neither side are blank on both and match, so the grid is never filled in."""
+    """Scores per case. Cells on neither side are blank on both and match, so the grid is never filled in.
+
+    The frame of a case is the greatest expected row and column, a window on the partitioning that the scores need anyway.
+    """
+    case = W.partitionBy("case_id")
     pairs = paired_cells(expected, actual, unicode_forms)
-    rows, cols = F.col("exp_rows"), F.col("exp_cols")
-    shape = pairs.groupBy("case_id").agg(
-        *[
-            F.coalesce(F.max(F.when(F.col(has), F.col(axis))) + 1, F.lit(0)).alias(f"{side}_{axis}s")
-            for has, side in (("has_want", "exp"), ("has_got", "act")) for axis in ("row", "col")
-        ],
-        F.count_if(F.col("has_want") & F.col("verdict").isin("exact", "format", "value")).alias("ok_in"),
-        F.count_if(F.col("has_want") & (F.col("verdict") == "exact")).alias("exact_in"),
-        F.count_if(F.col("has_want")).alias("listed"),
+    size = {f"{side}_{axis}s": F.coalesce(F.max(F.when(F.col(has), F.col(axis))).over(case) + 1, F.lit(0)) for has, side in (("has_want", "exp"), ("has_got", "act")) for axis in ("row", "col")}
+    framed = pairs.withColumns(size)
+    # Actual cells inside the frame without an expected cell are compared with blank; those outside are extra rows and columns.
+    inside = F.col("has_want").isNotNull() | ((F.col("row") < F.col("exp_rows")) & (F.col("col") < F.col("exp_cols")))
+    scored = framed.groupBy("case_id").agg(
+        *[F.max(c).alias(c) for c in size],
+        F.count_if(inside).alias("listed"),
+        F.count_if(inside & F.col("verdict").isin("exact", "format", "value")).alias("ok_in"),
+        F.count_if(inside & (F.col("verdict") == "exact")).alias("exact_in"),
         F.count_if(F.col("has_want") & (F.col("verdict") == "missing")).alias("missing"),
-        F.count_if(F.col("has_want") & (F.col("verdict") == "wrong")).alias("wrong"),
+        F.count_if(inside & (F.col("verdict") == "wrong")).alias("wrong"),
     )
-    # Actual cells inside the expected frame without an expected cell: compared with blank.
-    stray = (
-        pairs.where(F.col("has_want").isNull())
-        .join(shape.select("case_id", "exp_rows", "exp_cols"), "case_id")
-        .where((F.col("row") < rows) & (F.col("col") < cols))
-        .groupBy("case_id")
-        .agg(
-            F.count(F.lit(1)).alias("s_n"), F.count_if(F.col("verdict").isin("exact", "format", "value")).alias("s_ok"),
-            F.count_if(F.col("verdict") == "exact").alias("s_exact"), F.count_if(F.col("verdict") == "wrong").alias("s_wrong"),
-        )
-    )
-    z = lambda name: F.coalesce(F.col(name), F.lit(0))
+    rows, cols = F.col("exp_rows"), F.col("exp_cols")
     total = (rows * cols).cast("bigint")
-    both_blank = total - F.col("listed") - z("s_n")
-    matched = F.col("ok_in") + z("s_ok") + both_blank
-    exact = F.col("exact_in") + z("s_exact") + both_blank
-    return shape.join(stray, "case_id", "left").select(
+    both_blank = total - F.col("listed")
+    matched, exact = F.col("ok_in") + both_blank, F.col("exact_in") + both_blank
+    return scored.select(
         "case_id", matched.alias("matched"), exact.alias("exact"), total.alias("total"),
         F.when(total > 0, F.round(matched / total, 6)).otherwise(0.0).alias("accuracy"),
         F.when(total > 0, F.round(exact / total, 6)).otherwise(0.0).alias("fidelity"),
-        "missing", (F.col("wrong") + z("s_wrong")).alias("wrong"),
+        "missing", "wrong",
         F.greatest(F.lit(0), F.col("act_rows") - rows).alias("extra_rows"),
         F.greatest(F.lit(0), F.col("act_cols") - cols).alias("extra_cols"),
     )

@@ -117,7 +117,8 @@ def split_ranges(pages: DataFrame, spec: Column) -> DataFrame:
 
 def extract_pages(pages: DataFrame, spec: Column) -> DataFrame:
     """Keep the selected pages and renumber them (``new_page``)."""
-    chosen = pages.withColumn("__r", page_ranges(spec, F.col("page_count")))
+    # as a generator's output the list is parsed once, not once for the filter and once for the number
+    chosen = pages.withColumn("__r", F.explode(F.array(page_ranges(spec, F.col("page_count")))))
     page = F.col("page_no")
     return (
         chosen.where(page_selected(page, F.col("__r")))
