@@ -105,6 +105,14 @@ oracle("small_text_warning", f"""WITH {IMG4}, {GRID28} SELECT image_id, concat_w
   CASE WHEN 28 * {SCALE} < 12 THEN 'text too small to read safely' END, CASE WHEN image_id % 3 = 0 THEN 'blank margins cropped' END) AS warnings FROM t""")
 oracle("plan_tiles", f"""WITH {IMG4}, {GRID28} SELECT image_id, CAST(cols * rows AS BIGINT) AS tiles, CAST(width * height AS BIGINT) AS core_area, 0 AS left, 0 AS top,
   CAST(width AS INT) AS right, CAST(height AS INT) AS bottom FROM t""")
+oracle("plan_tile_rows", f"""WITH {IMG4}, {GRID28}, tiles AS (SELECT *, unnest(range(0, CAST(cols * rows AS BIGINT))) AS tile_id FROM t),
+  core AS (SELECT *, tile_id % cols AS c, tile_id // cols AS r, CAST(width AS DOUBLE) / cols AS cw, CAST(height AS DOUBLE) / rows AS ch FROM tiles),
+  cut AS (SELECT *, CAST(round_even(c * cw, 0) AS INT) AS core_x0, CAST(round_even(r * ch, 0) AS INT) AS core_y0,
+    CAST(CASE WHEN c = cols - 1 THEN width ELSE round_even((c + 1) * cw, 0) END AS INT) AS core_x1, CAST(CASE WHEN r = rows - 1 THEN height ELSE round_even((r + 1) * ch, 0) END AS INT) AS core_y1,
+    CAST(floor(cw * OVERLAP) AS INT) AS px, CAST(floor(ch * OVERLAP) AS INT) AS py FROM core)
+  SELECT image_id, CAST(tile_id AS INT) AS tile_id, greatest(0, core_x0 - px) AS x, greatest(0, core_y0 - py) AS y,
+    CAST(least(width, core_x1 + px) - greatest(0, core_x0 - px) AS INT) AS width, CAST(least(height, core_y1 + py) - greatest(0, core_y0 - py) AS INT) AS height,
+    core_x0, core_y0, core_x1, core_y1 FROM cut""".replace("OVERLAP", "0.12"))
 oracle("tile_to_global", f"""{BLOCKS}, {IMG1} SELECT image_id, block_id, x0 + 5 AS x0, x1 + 5 AS x1,
   CAST(y0 + 7 + CASE WHEN block_id % 2 = 1 THEN height // 2 ELSE 0 END AS INT) AS y0, CAST(y1 + 7 + CASE WHEN block_id % 2 = 1 THEN height // 2 ELSE 0 END AS INT) AS y1
   FROM blocks JOIN images USING (image_id)""")
@@ -321,6 +329,9 @@ oracle("eval_summary", f"""{SCORES} SELECT count(*) AS cases, round(avg(accuracy
 
 # streams
 oracle("latest_task_state", f"WITH {TASKS} SELECT job_id AS task_id, arg_max(seq, seq) AS seq, arg_max(status, seq) AS status, arg_max(progress, seq) AS progress FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS k FROM tasks) WHERE k = 1 GROUP BY 1")
+oracle("fresh_files", """SELECT '/in/' || doc_id AS path, n_chars + CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS length FROM documents WHERE doc_id % 3 = 0 OR doc_id % 10 = 1""")
+oracle("batch_merges", f"""WITH {DOCS}, placed AS (SELECT *, sum(CASE WHEN encrypted THEN 0 ELSE page_count END) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM docs)
+  SELECT CAST(doc_id // 100 AS VARCHAR) AS merge_id, doc_id, CASE WHEN NOT encrypted THEN CAST(coalesce(before, 0) + 1 AS BIGINT) END AS first_page, CASE WHEN encrypted THEN 'encrypted' END AS skipped FROM placed""")
 oracle("throttle", """WITH RECURSIVE e AS (SELECT event_type AS task_id, event_id * 10 AS t, event_id AS seq, user_id = 7 AS forced FROM events),
   nx AS MATERIALIZED (SELECT a.task_id, a.seq, (SELECT min(b.seq) FROM e b WHERE b.task_id = a.task_id AND b.seq > a.seq AND (b.t >= a.t + 80 OR b.forced)) AS nxt FROM e a),
   kept AS (SELECT task_id, min(seq) AS seq FROM e GROUP BY 1 UNION ALL SELECT k.task_id, nx.nxt FROM kept k JOIN nx ON nx.task_id = k.task_id AND nx.seq = k.seq WHERE nx.nxt IS NOT NULL)

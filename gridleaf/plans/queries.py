@@ -186,6 +186,12 @@ def plan_tiles(spark, d):
     )
 
 
+@query
+def plan_tile_rows(spark, d):
+    tiles = layout.plan_tiles(samples.invoice_images(spark, d, 4))
+    return tiles.select("image_id", "tile_id", "x", "y", "width", "height", *[F.col("core")[c].alias(f"core_{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
 def _tiled(spark, d):
     """Two tiles per invoice, split at half height, and blocks in the coordinates of their tile."""
     images = samples.invoice_images(spark, d)
@@ -857,6 +863,22 @@ def latest_task_state(spark, d):
     return feeds.latest_task_state(e).select("task_id", "seq", "status", "progress")
 
 
+@query
+def fresh_files(spark, d):
+    """Two looks at a folder: by the second one some files are new and some rewritten."""
+    listed = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), "n_chars")
+    now = listed.select("path", F.when(F.col("doc_id") % 10 == 1, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("length"), F.timestamp_seconds("doc_id").alias("modificationTime"))
+    before = listed.where(F.col("doc_id") % 3 != 0).select("path", F.col("n_chars").alias("length"), F.timestamp_seconds("doc_id").alias("modificationTime"))
+    return feeds.fresh_files(now, before).select("path", "length")
+
+
+@query
+def batch_merges(spark, d):
+    """Documents that arrive in batches of a hundred, each batch one merge."""
+    docs = samples.documents_as_docs(spark, d).withColumn("merge_id", F.floor(F.col("doc_id") / 100).cast("string"))
+    return pages.merge_bookmarks(docs).select("merge_id", "doc_id", "first_page", "skipped")
+
+
 @query
 def throttle(spark, d):
     e = table(spark, d, "events").select(

@@ -117,6 +117,12 @@ def throttle_stream(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFr
 Batch = Callable[[DataFrame, int], None]
 
 
+def fresh_files(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The files of a listing that are new or rewritten: no known one has their path, size and time."""
+    spot = ["path", "length", "modificationTime"]
+    return found.join(known.select(*spot).hint("merge"), spot, "left_anti")
+
+
 def watch_tick(spark: SparkSession, root: str, out: str, seen: str, exts: list[str], work: Batch, tick: int) -> int:
     """One look at the folder: hand the files not seen yet to ``work`` as one batch, then note them.
 
@@ -129,7 +135,7 @@ def watch_tick(spark: SparkSession, root: str, out: str, seen: str, exts: list[s
     )
     schema = "path string, length bigint, modificationTime timestamp"
     known = spark.read.schema(schema).parquet(seen) if _exists(spark, seen) else spark.createDataFrame([], schema)
-    fresh = found.join(known, ["path", "length", "modificationTime"], "left_anti")
+    fresh = fresh_files(found, known)
     # Written first: the listing must not change between the work and the note.
     pending = f"{seen.rstrip('/')}_pending/{tick}"
     fresh.write.mode("overwrite").parquet(pending)
