@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import DIGIT, cell_key, display_width, is_blank, strip
+from ..session import ship
 from .scan import CHUNK, islands, null_safe_join, number_rows
 
 # --- fixed values ---------------------------------------------------------
@@ -84,6 +85,7 @@ def group_rows(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
     crosses a height that no box crosses, so an image is cut into bands there. The boxes travel in their band's array, on
     the one exchange by image; a box without a height is a row of its own.
     """
+    ship(blocks.sparkSession)  # the fold runs in Python workers
     names = blocks.columns
     image = W.partitionBy(KEY)
     down = image.orderBy("y0", "x0", "y1")

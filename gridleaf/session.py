@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,3 +30,18 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "gridleaf")
         .getOrCreate()
     )
 
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever the driver found it: once per Spark context, as a zip of its modules."""
+    context = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_gridleaf_shipped", False) or not os.path.isdir(home):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="gridleaf-"), "gridleaf_modules.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    context._gridleaf_shipped = True
