@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import ship
+
 #: Rows and bytes after which a result batch is handed on.
 ROWS, BYTES = 4096, 8 << 20
 
@@ -41,6 +43,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str | StructType) -> DataFrame:
     """``work`` over the row stream of each partition; the columns of ``df`` come as a tuple in their order."""
+    ship(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 

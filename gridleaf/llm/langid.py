@@ -27,6 +27,8 @@ CLASSES = BITS + 1
 ENOUGH = 20
 #: A text of FEW distinct grams or more with a smaller cosine than FAR shares next to nothing with any language.
 FEW, FAR = 8, 0.02
+#: Part of its floor that a text has to reach. Short clean texts full of names and numbers come down to a third of it.
+SLACK = 0.15
 
 
 @dataclass
@@ -103,9 +105,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = 1000, clusters: int = 4) -
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
     rank = F.xxhash64("text", F.lit(5))
-    rate = F.lit(0.0)
-    for lang, n in langs.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample / n + 20 / n))).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for lang, n in langs.items() for x in (lang, min(1.0, (1.5 * sample + 20) / n))])
+    rate = F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0))
     order = Window.partitionBy("lang").orderBy("rank", F.length("text"))
     near = rows.withColumn("rank", rank).where((F.col("rank") / F.lit(2.0**64) + F.lit(0.5)) <= rate)
     ranked = near.select("lang", "rank", "text").withColumn("place", F.row_number().over(order))
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = 1000, clusters: int = 4) -
     return Model([r.lang for r in out], np.stack([np.frombuffer(r.centre, "<f4") for r in out], axis=1), idf, np.array([r.floor for r in out]))
 
 
-def nearest(text: str | None, model: Model, slack: float = 0.5) -> tuple[str, float, bool]:
+def nearest(text: str | None, model: Model, slack: float = SLACK) -> tuple[str, float, bool]:
     """Language, cosine, and whether the cosine is near enough."""
     ids, weights = vector(text, model.idf)
     if not len(ids) or not model.langs:
@@ -152,7 +153,7 @@ def nearest(text: str | None, model: Model, slack: float = 0.5) -> tuple[str, fl
     return model.langs[best], score, score >= floor
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", slack: float = 0.5) -> DataFrame:
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", slack: float = SLACK) -> DataFrame:
     """``key, lang_pred, score, accepted``: one row for each document.
 
     ``score`` is the cosine to the nearest centroid; ``accepted`` is false for texts without a letter and where the score
@@ -183,7 +184,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose language is recognised; see ``identify`` and ``predict``."""
-    model = fit(docs, remainder(F.col("doc_id")) != 0)
+    model = fit(docs, remainder(F.col("doc_id")) != 0)  # ships the package too
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Model
 
     def run(batches):

@@ -164,7 +164,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, texts: bool = False) ->
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all their columns, their texts without the duplicate spans; texts that lose nothing stay as they are."""
-    found = stored(repeated_blocks(docs, window), "found")
+    found = stored(repeated_blocks(docs, window), "found")  # ships the package too
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("doc_id", "text").alias("row")]
     rows = docs.select(*key, F.struct(*docs.columns).alias("whole")).join(found.hint("merge"), ["doc", "row"], "left").select("whole", "found")
     chars = "n_chars" in docs.columns

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .batches import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,6 +101,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     null ids and repeated rows are documents like any other; documents without words take nothing; an empty table gives
     no rows; other columns are not read.
     """
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sized = stored(docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),  # as text: pandas would round long ids beside nulls

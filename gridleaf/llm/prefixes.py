@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .batches import map_rows
 from .words import mix
 
@@ -186,6 +187,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     The last range is followed by the first document. The split points are approximate quantiles of the ids, a list of
     bounded length; one first id for each range comes to the driver. The text is shuffled once.
     """
+    ship(docs.sparkSession)
     parts = max(1, min(RANGES, -(-docs.count() // RANGE_ROWS)))
     points = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     cuts = np.unique(np.array(points or [], float))

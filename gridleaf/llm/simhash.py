@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .batches import map_rows, stored
 from .components import components
 
@@ -27,7 +28,7 @@ SHARD = 8192
 #: (blocks, blocks that must agree): radius 3 leaves at least blocks - 3 blocks untouched.
 SPLITS = [(5, 2), (8, 5)]
 #: Pairs of a search front, and rows of one tree forest, that are held at once.
-FRONT, FOREST = 1 << 20, 1 << 17
+FRONT, FOREST = 1 << 18, 1 << 17
 
 
 # --- fingerprints ----------------------------------------------------------
@@ -151,6 +152,7 @@ def shard_links(shards: DataFrame, radius: int) -> DataFrame:
         if held:
             yield from solve(np.concatenate(held_keys), np.concatenate(held_bits))
 
+    ship(shards.sparkSession)
     return shards.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u bigint, v bigint")
 
 

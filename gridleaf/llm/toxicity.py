@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .batches import map_rows, read
 from .grams import gram_ids
 from .langid import remainder
@@ -97,6 +98,7 @@ def examples(labels: DataFrame, size: int = EXAMPLES) -> tuple[DataFrame, dict[i
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """The index. Document frequencies cover all of ``docs``; labels come from the sample only."""
     spark = docs.sparkSession
+    ship(spark)
     sample, totals = examples(labels)
     chosen = {r.doc_id: r.label for r in sample.collect()}  # 2 * EXAMPLES rows at most
     count = {c: sum(v == c for v in chosen.values()) for c in (0, 1)}
