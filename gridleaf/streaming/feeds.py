@@ -111,7 +111,8 @@ def throttle_stream(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFr
         .applyInPandasWithState(keep, told.schema, "last_kept bigint", "append", "EventTimeTimeout")
     )
     types = dict(events.dtypes)
-    return judged.withColumns({c: F.col(c).cast(types[c]) for c in whole}).unionByName(events.where("forced")) if whole else judged.unionByName(events.where("forced"))
+    back = judged.withColumns({c: F.col(c).cast(types[c]) for c in whole}) if whole else judged
+    return back.unionByName(events.where("forced"))
 
 
 Batch = Callable[[DataFrame, int], None]
