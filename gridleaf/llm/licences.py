@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows
-from .words import mix, window_hashes, word_hashes
+from .words import window_hashes, word_hashes
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-6
 MARKS = b".,;:!?()\"'"
+#: Shingles of a text whose bands are held at once.
+PIECE = 1 << 14
 
 # Wording of public licence notices.
 TEMPLATES: dict[str, str] = {
@@ -52,7 +54,6 @@ class Class:
     names: list[str]
     sets: list[frozenset]
     values: np.ndarray  # notices x bands
-    factors: np.ndarray  # of each band
 
 
 def bands(size: int, smallest: int) -> int:
@@ -66,9 +67,11 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return window_hashes(word_hashes(words), SHINGLE)
 
 
-def banded(h: np.ndarray, factor: np.uint64) -> np.ndarray:
+def permuted(h: np.ndarray, n: int) -> np.ndarray:
+    """Bands x shingles: the mixed hashes under n multiplications by odd numbers. The classes share the first bands."""
+    factors = np.random.default_rng(20).integers(1 << 32, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
     with np.errstate(over="ignore"):
-        return mix(h * factor)
+        return h[None, :] * factors[:, None]
 
 
 def classes(templates: dict[str, str]) -> list[Class]:
@@ -84,22 +87,37 @@ def classes(templates: dict[str, str]) -> list[Class]:
     for size, held in sorted(groups.items()):
         sets = [frozenset(shingles(w)) for _, w in held]
         n = bands(size, min(map(len, sets)))
-        factors = np.random.default_rng(size).integers(1 << 32, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
-        values = np.array([[banded(hashes_of(w), f).min() for f in factors] for _, w in held])
-        out.append(Class(size, [n for n, _ in held], sets, values, factors))
+        values = np.array([permuted(hashes_of(w), n).min(axis=1) for _, w in held])
+        out.append(Class(size, [n for n, _ in held], sets, values))
     return out
 
 
-def retrieved(h: np.ndarray, c: Class) -> list[tuple[int, int]]:
-    """Pairs (window, notice) that meet in a band; window i starts at shingle ``i * c.size``."""
-    starts = np.arange(0, len(h), c.size)
-    met = np.zeros((len(c.names), len(starts)), bool)
-    for band, factor in enumerate(c.factors):
-        least = np.minimum.reduceat(banded(h, factor), starts)
-        least[:-1] = np.minimum(least[:-1], least[1:])
-        for t, value in enumerate(c.values[:, band]):
-            met[t] |= least == value
-    return [(int(w), int(t)) for t, w in zip(*np.nonzero(met))]
+def retrieved(h: np.ndarray, known: list[Class]) -> Iterator[tuple[Class, int, int]]:
+    """``(class, window, notice)`` that meet in a band; window i of a class starts at shingle ``i * size``.
+
+    The minima of all bands are halved step by step, so a class of twice the size costs half as much; long texts go
+    through in pieces that share the windows at their ends.
+    """
+    largest = known[-1].size
+    most = max(c.values.shape[1] for c in known)
+    step = -(-PIECE // largest) * largest
+    for begin in range(0, len(h), step):
+        part = h[begin : begin + step + largest]
+        short = -len(part) % largest
+        least = permuted(part, most)
+        if short:
+            least = np.concatenate([least, np.full((most, short), np.iinfo(np.uint64).max)], axis=1)
+        size = 1
+        for c in known:
+            while size < c.size:
+                least = np.minimum(least[:, 0::2], least[:, 1::2])
+                size *= 2
+            own = least[: c.values.shape[1]]
+            windows = np.concatenate([np.minimum(own[:, :-1], own[:, 1:]), own[:, -1:]], axis=1)
+            count = -(-min(step, len(h) - begin) // size)  # windows that start in this piece
+            for t, value in enumerate(c.values):
+                for w in np.flatnonzero((windows[:, :count] == value[:, None]).any(axis=0)).tolist():
+                    yield c, begin // size + w, t
 
 
 def matches(text: bytes | None, known: list[Class]) -> Iterator[tuple[str, float, int, int]]:
@@ -107,21 +125,18 @@ def matches(text: bytes | None, known: list[Class]) -> Iterator[tuple[str, float
     words = plain_words(text)
     if len(words) < SHINGLE:
         return
-    h = hashes_of(words)
-    for c in known:
-        found: dict[str, list] = {}
-        for w, t in retrieved(h, c):
-            start = w * c.size
-            inside = {}
-            for i, s in enumerate(shingles(words[start : start + 2 * c.size + SHINGLE - 1])):
-                if s in c.sets[t]:
-                    inside.setdefault(s, start + i)
-            share = len(inside) / len(c.sets[t])
-            if share >= THRESHOLD:
-                best = found.setdefault(c.names[t], [0.0, 0, len(words)])
-                found[c.names[t]] = [max(best[0], share), best[1] + 1, min(best[2], *inside.values())]
-        for name, (share, windows, first) in sorted(found.items()):
-            yield name, share, windows, first
+    found: dict[str, list] = {}
+    for c, w, t in retrieved(hashes_of(words), known):
+        start, inside = w * c.size, {}
+        for i, s in enumerate(shingles(words[start : start + 2 * c.size + SHINGLE - 1])):
+            if s in c.sets[t]:
+                inside.setdefault(s, start + i)
+        share = len(inside) / len(c.sets[t])
+        if share >= THRESHOLD:
+            best = found.setdefault(c.names[t], [0.0, 0, len(words)])
+            found[c.names[t]] = [max(best[0], share), best[1] + 1, min(best[2], *inside.values())]
+    for name, (share, windows, first) in sorted(found.items()):
+        yield name, share, windows, first
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
