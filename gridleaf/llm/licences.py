@@ -4,6 +4,7 @@ A notice of m five-word shingles belongs to the class c, the power of two with c
 overlapping windows of 2 c shingles, c apart, so each copy of a notice lies whole in one of them and shares enough of it
 for MinHash: with one row in a band, a window misses a notice it holds by the share ``THRESHOLD`` in ``MISS`` of cases
 at most, and the number of bands of each class follows from that. Retrieved pairs are verified on the words themselves.
+A notice of fewer than five words is one shingle of its own length and is compared word by word.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import map_rows
+from .notices import WHOLE
 from .words import window_hashes, word_hashes
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-6
@@ -24,8 +26,11 @@ MARKS = b".,;:!?()\"'"
 #: Shingles of a text whose bands are held at once.
 PIECE = 1 << 14
 
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {} {} License."
+
 # Wording of public licence notices.
-TEMPLATES: dict[str, str] = {
+LINES: dict[str, str] = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -34,6 +39,63 @@ TEMPLATES: dict[str, str] = {
     "apache-2.0-terms": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "gpl-terms": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "mit-licensed-line": "Licensed under the MIT License.",
+    "mit-source-line": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    "bsd-source-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "isc-line": "Released under the ISC License.",
+    "isc-licensed-line": "Licensed under the ISC License.",
+    "bsl-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "mpl-1.1-notice": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "gpl-2.0-notice": _GNU.format("program", "", 2),
+    "gpl-3.0-notice": _GNU.format("program", "", 3),
+    "lgpl-2.1-notice": _GNU.format("library", "Lesser", 2.1),
+    "lgpl-3.0-notice": _GNU.format("library", "Lesser", 3),
+    "agpl-3.0-notice": _GNU.format("program", "Affero", 3),
+    "gfdl-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "unlicense-notice": "This is free and unencumbered software released into the public domain.",
+    "public-domain-line": "This work is in the public domain.",
+    **{f"cc-{k}-{v}-line": f"Licensed under CC {k.upper()} {v}." for k in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for v in ("3.0", "4.0") if (k, v) != ("by-nc", "4.0")},
+    **{
+        f"cc-{k}-{v}-notice": _CC.format(name, f"{v} {port}")
+        for k, name in (
+            ("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"),
+            ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for v, port in (("3.0", "Unported"), ("4.0", "International"))
+    },
+}
+
+#: Notices of SHINGLE words or more: usual lines and headers, and whole texts.
+TEMPLATES: dict[str, str] = {**LINES, **{f"{name}-text": text for name, text in WHOLE.items()}}
+
+#: Notices of fewer words.
+SHORT: dict[str, str] = {
+    "all-rights-reserved": "All rights reserved.",
+    "apache-2.0-name": "Apache License 2.0",
+    "apache-2.0-version-name": "Apache License, Version 2.0",
+    "mit-name": "MIT License",
+    "isc-name": "ISC License",
+    "bsd-name": "BSD License",
+    "mpl-2.0-name": "Mozilla Public License 2.0",
+    "cc0-1.0-name": "CC0 1.0",
+    **{f"cc-{k}-{v}-name": f"CC {k.upper()} {v}" for k in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for v in ("3.0", "4.0")},
+    **{
+        f"spdx-{k.lower()}": f"SPDX-License-Identifier: {k}"
+        for k in (
+            "Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Zlib", "Unlicense", "MPL-1.1", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0",
+            "CC-BY-SA-3.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later",
+            "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later",
+        )
+    },
 }
 
 
@@ -75,7 +137,7 @@ def permuted(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def classes(templates: dict[str, str]) -> list[Class]:
-    """The notices by class; one of fewer than SHINGLE words can't be scanned for and is an error."""
+    """The notices by class; one of fewer than SHINGLE words has none (see ``whole_notices``) and is an error."""
     groups: dict[int, list[tuple[str, list[bytes]]]] = {}
     for name, text in sorted(templates.items()):
         words = plain_words(text.encode())
@@ -95,21 +157,23 @@ def classes(templates: dict[str, str]) -> list[Class]:
 def retrieved(h: np.ndarray, known: list[Class]) -> Iterator[tuple[Class, int, int]]:
     """``(class, window, notice)`` that meet in a band; window i of a class starts at shingle ``i * size``.
 
-    The minima of all bands are halved step by step, so a class of twice the size costs half as much; long texts go
+    Classes whose notices are all too long to have THRESHOLD of them in the text are left out. The minima of all bands are halved step by step, so a class of twice the size costs half as much; long texts go
     through in pieces that share the windows at their ends.
     """
+    known = [c for c in known if len(h) / min(map(len, c.sets)) >= THRESHOLD]
+    if not known:
+        return
     largest = known[-1].size
     most = max(c.values.shape[1] for c in known)
     step = -(-PIECE // largest) * largest
     for begin in range(0, len(h), step):
         part = h[begin : begin + step + largest]
-        short = -len(part) % largest
         least = permuted(part, most)
-        if short:
-            least = np.concatenate([least, np.full((most, short), np.iinfo(np.uint64).max)], axis=1)
         size = 1
         for c in known:
             while size < c.size:
+                if least.shape[1] % 2:
+                    least = np.concatenate([least, np.full((most, 1), np.iinfo(np.uint64).max)], axis=1)
                 least = np.minimum(least[:, 0::2], least[:, 1::2])
                 size *= 2
             own = least[: c.values.shape[1]]
@@ -120,6 +184,34 @@ def retrieved(h: np.ndarray, known: list[Class]) -> Iterator[tuple[Class, int, i
                     yield c, begin // size + w, t
 
 
+def whole_notices(templates: dict[str, str]) -> dict[tuple[bytes, ...], list[str]]:
+    """Word sequences of the notices of fewer than SHINGLE words, with their names; one without words is an error."""
+    out: dict[tuple[bytes, ...], list[str]] = {}
+    for name, text in sorted(templates.items()):
+        words = tuple(plain_words(text.encode()))
+        if not words:
+            raise ValueError(f"notice {name!r} has no words")
+        if len(words) < SHINGLE:
+            out.setdefault(words, []).append(name)
+    return out
+
+
+def places(words: list[bytes], short: dict[tuple[bytes, ...], list[str]]) -> Iterator[tuple[str, float, int, int]]:
+    """``name, 1.0, places, first_word`` of each short notice whose words stand in the text in one sequence."""
+    sizes: dict[bytes, set[int]] = {}
+    for notice in short:
+        sizes.setdefault(notice[0], set()).add(len(notice))
+    found: dict[str, list[int]] = {}
+    for first in sizes.keys() & set(words):
+        for i, w in enumerate(words):
+            if w == first:
+                for n in sizes[first]:
+                    for name in short.get(tuple(words[i : i + n]), ()) if i + n <= len(words) else ():
+                        found.setdefault(name, []).append(i)
+    for name, at in sorted(found.items()):
+        yield name, 1.0, len(at), min(at)
+
+
 def matches(text: bytes | None, known: list[Class]) -> Iterator[tuple[str, float, int, int]]:
     """``name, containment, windows, first_word`` of each notice that the whole text contains."""
     words = plain_words(text)
@@ -143,15 +235,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, notice, containment, windows, first_word``: a row for each document and notice it contains.
 
     ``containment`` is the greatest share of the notice's shingles in one window, ``windows`` how many windows hold
-    THRESHOLD of it, ``first_word`` where the first of its shingles there starts (marks don't count as words). Null and
-    short texts give no rows; null ids are carried; rows that repeat are scanned each for itself; an empty table gives
-    no rows; other columns are not read. The notices are broadcast: a list of the caller's, a few hundred bytes each.
+    THRESHOLD of it, ``first_word`` where the first of its shingles there starts (marks don't count as words). A notice
+    of fewer than SHINGLE words is found where all of them stand in sequence: containment 1, and ``windows`` counts the
+    places. Null texts and texts shorter than every notice give no rows; null ids are carried; rows that repeat are
+    scanned each for itself; an empty table gives no rows; other columns are not read. The notices are broadcast: a list
+    of the caller's, else TEMPLATES (some 250 KB).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes(templates or TEMPLATES))
+    chosen = templates or TEMPLATES
+    short = whole_notices(chosen)
+    named = {name for names in short.values() for name in names}
+    shared = docs.sparkSession.sparkContext.broadcast((classes({k: v for k, v in chosen.items() if k not in named}), short))
 
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
+        known, exact = shared.value
         for doc_id, text in rows:
-            for match in matches(text, shared.value):
+            for match in matches(text, known) if known else ():
+                yield (doc_id, *match)
+            for match in places(plain_words(text), exact) if exact else ():
                 yield (doc_id, *match)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -97,3 +97,16 @@ parts AS (SELECT r, doc_id, i - 1 AS p, list_slice(w, i, i + 4) AS shingle FROM
 hits AS (SELECT r, doc_id, name, m, p, shingle, unnest([p // c, p // c - 1]) AS win FROM parts JOIN wanted USING (shingle) JOIN sized USING (name)),
 held AS (SELECT r, doc_id, name, win, count(DISTINCT shingle) / m AS share, min(p) AS p FROM hits WHERE win >= 0 GROUP BY r, doc_id, name, win, m)
 SELECT doc_id, name AS notice, max(share) AS containment, count(*)::BIGINT AS windows, min(p)::BIGINT AS first_word FROM held WHERE share >= 0.8 GROUP BY r, doc_id, name"""
+
+
+def _short_rows() -> str:
+    from .licences import SHORT
+
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in SHORT.items())
+
+
+ORACLES["op8_short_notices"] = f"""WITH notices AS (SELECT name, {_plain('text')} AS w FROM (VALUES {_short_rows()}) t(name, text)),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_plain('text')} AS w FROM documents),
+starts AS (SELECT r, doc_id, w, unnest(generate_series(1, len(w))) AS i FROM texts WHERE len(w) > 0),
+places AS (SELECT r, doc_id, i - 1 AS p, list_slice(w, i, i + k - 1) AS seq FROM starts, (SELECT DISTINCT len(w) AS k FROM notices) WHERE i + k - 1 <= len(w))
+SELECT doc_id, name AS notice, 1.0::DOUBLE AS containment, count(*)::BIGINT AS windows, min(p)::BIGINT AS first_word FROM places JOIN notices ON seq = notices.w GROUP BY r, doc_id, name"""

@@ -92,3 +92,8 @@ def op7_chat_templates(spark, d):
 @query
 def op8_license_scan(spark, d):
     return licences.scan(table(spark, d, "documents"))
+
+
+@query
+def op8_short_notices(spark, d):
+    return licences.scan(table(spark, d, "documents"), licences.SHORT)
