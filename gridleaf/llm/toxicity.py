@@ -1,10 +1,10 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
 Texts are vectors of character 5-grams within words (hashed, sublinear counts, inverse document frequency over all
-documents) on the grams that the labels depend on. The examples are a bounded sample of the labelled rows, ``EXAMPLES``
-of each class, taken by hash. Their index is cut into blocks; a query adds up the blocks' greatest weights and scores
-blocks in the order of that bound until no other one can hold a nearer example, so the neighbours are exact. They vote
-with weights that grow with the cosine and undo the sampling of the classes; their ids are the evidence.
+documents). Every gram of the sampled examples counts, more so the more the labels depend on it: none is cut. The examples are a bounded sample of the labelled rows, ``EXAMPLES``
+of each class, taken by hash. A query adds up the postings of all its grams, so the neighbours are exact; where the
+weights are a full table, blocks of it are scored in the order of their bounds instead. The neighbours vote with weights that grow
+with the cosine and undo the sampling of the classes; their ids are the evidence.
 """
 
 from __future__ import annotations
@@ -23,19 +23,57 @@ from .grams import gram_ids
 from .langid import remainder
 
 SIZE, BITS = 5, 18
-#: Sampled examples of a class, grams in the index, neighbours that vote, examples in a block: bounds of the model.
-EXAMPLES, GRAMS, NEAREST, BLOCK = 2048, 4096, 15, 64
-#: Least chi-squared value of a gram against the labels, and weight of the share of toxic rows in a vote.
+#: Sampled examples of a class, neighbours that vote, examples in a block: bounds of the model.
+EXAMPLES, NEAREST, BLOCK = 2048, 15, 64
+#: A gram that more than one in DENSE examples has is held as a full row.
+DENSE = 16
+#: Chi-squared value against the labels at which a gram has half of its weight, and weight of the share of toxic rows in a vote.
 DEPENDS, PRIOR = 20.0, 0.05
+#: Chi-squared value that every gram has besides its own, so that even one that tells nothing keeps a weight.
+LEAST = 0.1
+
+
+@dataclass
+class Postings:
+    """Gram by gram the (column, value) pairs of a matrix with few values: 8 bytes for each. Rows where more than one in
+    DENSE columns has a value are full, at 4 * DENSE bytes a value at most."""
+
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    columns: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    full: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # row -> place among the full ones, or -1
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    @staticmethod
+    def of(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int) -> Postings:
+        many = np.flatnonzero(np.bincount(rows, minlength=n) * DENSE > width)
+        full = np.full(n, -1, np.int32)
+        full[many] = np.arange(len(many))
+        table = np.zeros((len(many), width), np.float32)
+        inside = full[rows] >= 0
+        table[full[rows[inside]], columns[inside]] = values[inside]
+        rows, columns, values = rows[~inside], columns[~inside], values[~inside]
+        order = np.lexsort((columns, rows))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int64)
+        return Postings(starts, columns[order].astype(np.int32), values[order].astype(np.float32), full, table)
+
+    def dot(self, rows: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """The sums of ``w`` times the rows, over n columns."""
+        full = self.full[rows]
+        out = (w[full >= 0] @ self.table[full[full >= 0]]).astype(float)
+        rows, w = rows[full < 0], w[full < 0]
+        begin, size = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return out + np.bincount(self.columns[at], weights=np.repeat(w, size) * self.values[at], minlength=n)
 
 
 @dataclass
 class Index:
-    """Weights of the examples by gram (GRAMS x examples floats, 64 MB at most), their greatest in each block, and labels."""
+    """Weights of the examples by gram, and labels. ``fit`` gives postings: at most one for each gram of each example."""
 
     place: np.ndarray = field(default_factory=lambda: np.full(1 << BITS, -1, np.int32))  # gram -> row, or -1
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    idf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # times the part that the labels' dependence gives
+    weights: np.ndarray | Postings = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -53,6 +91,11 @@ class Index:
 
     def nearest(self, rows: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the greatest cosine above zero (ties: the smaller place), nearest first; and the cosines."""
+        if isinstance(self.weights, Postings):
+            cosines = self.weights.dot(rows, w, len(self.names))
+            places = np.flatnonzero(cosines >= (np.partition(cosines, -k)[-k] if len(cosines) > k else 0))
+            places = places[np.lexsort((places, -cosines[places]))[:k]]
+            return places[cosines[places] > 0], cosines[places][cosines[places] > 0]
         bound = w @ self.tops[rows]
         order = np.argsort(-bound, kind="stable")
         places, cosines = np.empty(0, np.int64), np.empty(0, np.float32)
@@ -133,15 +176,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     c, d = F.lit(p) - a, F.lit(q) - b
     chi = (p + q) * (a * d - b * c) ** 2 / (p * q * (a + b) * F.greatest(c + d, F.lit(1.0)))
-    kept = grams.withColumn("chi", F.when(a + b > 0, chi)).where((F.col("dim") < 0) | (F.col("chi") > DEPENDS))
-    rows = kept.orderBy((F.col("dim") >= 0), F.desc("chi"), "dim").limit(GRAMS + 1).collect()
-    total = next((r.n for r in rows if r.dim < 0), 0)
-    rows = sorted((r for r in rows if r.dim >= 0), key=lambda r: r.dim)
+    # every gram of a sampled example: 2 ** BITS rows at most
+    rows = grams.where((F.col("dim") < 0) | (a + b > 0)).select("dim", "n", F.when(a + b > 0, chi).alias("chi")).toArrow().sort_by("dim")
+    dims, n, chi = (rows.column(c).to_numpy() for c in ("dim", "n", "chi"))
+    total, (dims, n, chi) = int(n[dims < 0].sum()), (x[dims >= 0] for x in (dims, n, chi))
     index = Index(prior=share)
-    if not rows:
+    if not len(dims):
         return index
-    index.place[[r.dim for r in rows]] = np.arange(len(rows))
-    index.idf = (np.log((1 + total) / (1 + np.array([r.n for r in rows], float))) + 1).astype(np.float32)
+    index.place[dims] = np.arange(len(dims))
+    tells = (chi + LEAST) / (chi + LEAST + DEPENDS)
+    index.idf = ((np.log((1 + total) / (1 + n)) + 1) * tells).astype(np.float32)
     model = spark.sparkContext.broadcast(index)
 
     def vectors(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -155,17 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     scale = {c: totals[c] / max(1, sum(chosen[r.doc_id] == c for r in got)) for c in (0, 1)}
     if plain[0] or plain[1]:
         index.prior = plain[1] * scale[1] / (plain[0] * scale[0] + plain[1] * scale[1])
-    # examples with the same strongest gram share blocks, so that the bounds are tight
-    held = [(r.doc_id, np.frombuffer(r.at, "<i4"), np.frombuffer(r.w, "<f4")) for r in got if r.at]
-    held.sort(key=lambda h: (int(h[1][h[2].argmax()]), h[0]))
-    n = -(-len(held) // BLOCK) * BLOCK
-    index.weights = np.zeros((len(rows), n), np.float32)
-    index.names, index.toxic, index.votes = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
+    held = sorted(((r.doc_id, np.frombuffer(r.at, "<i4"), np.frombuffer(r.w, "<f4")) for r in got if r.at), key=lambda h: h[0])
+    if not held:
+        return index
+    lengths = [len(at) for _, at, _ in held]
+    index.weights = Postings.of(np.concatenate([h[1] for h in held]), np.repeat(np.arange(len(held)), lengths), np.concatenate([h[2] for h in held]), len(dims), len(held))
     least = min(scale.values())
-    for i, (name, at, w) in enumerate(held):
-        index.weights[at, i] = w
-        index.names[i], index.toxic[i], index.votes[i] = name, chosen[name], scale[chosen[name]] / least
-    index.tops = index.weights.reshape(len(rows), -1, BLOCK).max(axis=2)
+    index.names = np.array([h[0] for h in held], np.int64)
+    index.toxic = np.array([chosen[i] for i, _, _ in held], float)
+    index.votes = np.array([scale[chosen[i]] / least for i, _, _ in held])
     return index
 
 
@@ -173,7 +215,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence, cosines``: one row for each document.
 
     ``score`` estimates the probability of ``labels.toxic = 1``; ``evidence`` are the ids of the voting examples, nearest
-    first. Labels, lang, source and doc_id never enter a score. Texts without a gram that tells (null and empty ones too)
+    first. Labels, lang, source and doc_id never enter a score. Texts without a gram of an example (null and empty ones too)
     get the share of toxic rows among such texts. Without labelled rows of both classes all scores are the share of
     class 1 (0 without labels). A null ``doc_id`` is not held out and has no label. Repeated rows stay repeated; an empty
     table gives no rows; other columns are not read.

@@ -1,6 +1,10 @@
 """Cases that an operator once did in part only."""
 
-from gridleaf.llm import licences
+import zlib
+
+import numpy as np
+
+from gridleaf.llm import licences, toxicity
 from gridleaf.llm.notices import WHOLE
 
 
@@ -20,3 +24,19 @@ def test_every_notice_finds_itself():
     for name, text in licences.TEMPLATES.items():
         assert name in {m[0] for m in licences.matches(f"before {text} after".encode(), known)}, name
     assert all(len(licences.plain_words(t.encode())) < licences.SHINGLE for t in licences.SHORT.values())
+
+
+def test_few_toxic_examples_are_evidence(spark):
+    """Wording of ten labelled documents is found again, and neighbours are exact over all grams."""
+    held = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"zanzibar quixotic {'abcdefghij'[k % 10] * 6}" if k < 10 else f"peaceful meadow {'klmnopqrst'[k % 10] * 6}") for k, i in enumerate(held[:20])]
+    labels = spark.createDataFrame([(i, int(k < 10)) for k, (i, _) in enumerate(rows)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows + [(1000, "such zanzibar"), (1001, "meadow green"), (1002, "12")], "doc_id bigint, text string")
+    index = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
+    assert got[1000].score > 0.9 and got[1001].score < 0.1 and got[1000].evidence and not got[1002].evidence
+    vectors = [index.vector(t) for _, t in sorted(rows)]
+    assert all(len(v[0]) for v in vectors)
+    for rows_, w in vectors:
+        want = sorted((sum(float(x) * dict(zip(v[0].tolist(), v[1].tolist())).get(r, 0.0) for r, x in zip(rows_.tolist(), w.tolist())) for v in vectors), reverse=True)[:15]
+        assert np.allclose(index.nearest(rows_, w, 15)[1], [x for x in want if x > 0], atol=1e-5)
