@@ -76,8 +76,8 @@ def remainder(key: Column) -> Column:
 def fit(docs: DataFrame, learn: Column, sample: int = 1000, clusters: int = 4) -> Model:
     """Learn from the rows of ``docs (text, lang)`` where ``learn`` holds and text and lang are not null.
 
-    Document frequencies and language counts cover all those rows; centroids come from ``sample`` rows per language at
-    most (the smallest hashes of the text). Without such rows the model knows no language.
+    Document frequencies and language counts cover all those rows; centroids come from ``sample`` distinct texts per
+    language at most (the smallest hashes; copies count once). Without such rows the model knows no language.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
@@ -104,11 +104,13 @@ def fit(docs: DataFrame, learn: Column, sample: int = 1000, clusters: int = 4) -
         return Model()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
 
-    rank = F.xxhash64("text", F.lit(5))
-    rates = F.create_map(*[F.lit(x) for lang, n in langs.items() for x in (lang, min(1.0, (1.5 * sample + 20) / n))])
+    hashed = rows.withColumn("rank", F.xxhash64("text", F.lit(5)))
+    counted = hashed.select("lang", "rank").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    distinct = {r.lang: r.n for r in counted.collect() if r.lang in langs}
+    rates = F.create_map(*[F.lit(x) for lang, n in distinct.items() for x in (lang, min(1.0, (1.5 * sample + 20) / n))])
     rate = F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0))
     order = Window.partitionBy("lang").orderBy("rank", F.length("text"))
-    near = rows.withColumn("rank", rank).where((F.col("rank") / F.lit(2.0**64) + F.lit(0.5)) <= rate)
+    near = hashed.where((F.col("rank") / F.lit(2.0**64) + F.lit(0.5)) <= rate).groupBy("lang", "rank").agg(F.min("text").alias("text"))
     ranked = near.select("lang", "rank", "text").withColumn("place", F.row_number().over(order))
     picked = ranked.where(F.col("place") <= sample).select("lang", "text")
 

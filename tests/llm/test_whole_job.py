@@ -4,7 +4,9 @@ import zlib
 
 import numpy as np
 
-from gridleaf.llm import licences, toxicity
+from pyspark.sql import functions as F
+
+from gridleaf.llm import langid, licences, toxicity
 from gridleaf.llm.notices import WHOLE
 
 
@@ -40,3 +42,13 @@ def test_few_toxic_examples_are_evidence(spark):
     for rows_, w in vectors:
         want = sorted((sum(float(x) * dict(zip(v[0].tolist(), v[1].tolist())).get(r, 0.0) for r, x in zip(rows_.tolist(), w.tolist())) for v in vectors), reverse=True)[:15]
         assert np.allclose(index.nearest(rows_, w, 15)[1], [x for x in want if x > 0], atol=1e-5)
+
+
+def test_a_language_of_copies_is_learnt(spark):
+    """A text with a great hash, repeated so often that a rate by rows leaves it out."""
+    probe = spark.range(200).select(F.concat(F.lit("wuxo zibra kuloma "), F.col("id").cast("string")).alias("text"))
+    place = F.xxhash64("text", F.lit(5)) / F.lit(2.0**64) + F.lit(0.5)
+    text = probe.orderBy(F.desc(place)).first().text
+    copies = spark.range(4000).select(F.lit(text).alias("text"), F.lit("xx").alias("lang"))
+    other = spark.range(50).select(F.concat(F.lit("the house by the street "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert set(langid.fit(copies.unionByName(other), F.lit(True)).langs) == {"en", "xx"}
