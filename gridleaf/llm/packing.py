@@ -25,7 +25,7 @@ END = (1).to_bytes(4, "little")
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of one sequence; ``pool``: pieces that wait at most, ``least``: shortest piece that is cut off to fill up."""
+    """Limits of one sequence; ``pool``: pieces that wait at most (more where they don't reach a limit together), ``least``: shortest piece that is cut off to fill up."""
 
     tokens: int = 2048
     segments: int = 1024
@@ -40,12 +40,16 @@ class Pool:
     def __init__(self, limits: Limits, cut: bool):
         self.limits, self.cut = limits, cut
         self.items: list[tuple | None] = []
-        self.need = np.zeros((2 * limits.pool + 2, 3))
+        self.need = np.zeros((2 * max(limits.pool, limits.segments) + 2, 3))
         self.parts = np.array([limits.tokens, limits.segments, limits.loss], float)
 
     def __len__(self) -> int:
         return len(self.items)
 
+    def full(self) -> bool:
+        """More than ``pool`` pieces wait, and they reach a limit of a sequence: short ones wait on for company."""
+        return len(self) > self.limits.pool and bool((self.need[: len(self)].sum(axis=0) >= self.parts).any())
+
     def add(self, item: tuple) -> None:
         self.need[len(self.items)] = (item[3], 1, item[4])
         self.items.append(item)
@@ -137,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
                 start += size
             if start < n:
                 pool.add(((doc_id, n), start, ids[4 * start :], n - start, n - start))
-            while len(pool) > limits.pool:
+            while pool.full():
                 yield pool.fill()
         yield from drained(pool)
 
@@ -175,7 +179,7 @@ def pack_examples(examples: DataFrame, limits: Limits, key: str, tokens: str, lo
                 yield name, n, m, None, None, None
                 continue
             pool.add((name, 0, None, n, m))
-            while len(pool) > limits.pool:
+            while pool.full():
                 yield from placed(pool.fill())
         for sequence in drained(pool):
             yield from placed(sequence)

@@ -6,8 +6,9 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from gridleaf.llm import langid, licences, toxicity
+from gridleaf.llm import langid, licences, packing, toxicity
 from gridleaf.llm.notices import WHOLE
+from gridleaf.llm.queries import tokenizer
 
 
 def test_short_notices_and_whole_texts(spark):
@@ -52,3 +53,9 @@ def test_a_language_of_copies_is_learnt(spark):
     copies = spark.range(4000).select(F.lit(text).alias("text"), F.lit("xx").alias("lang"))
     other = spark.range(50).select(F.concat(F.lit("the house by the street "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
     assert set(langid.fit(copies.unionByName(other), F.lit(True)).langs) == {"en", "xx"}
+
+
+def test_short_pieces_wait_for_a_full_sequence(spark):
+    docs = spark.createDataFrame([(i, None) for i in range(3000)], "doc_id bigint, text string").coalesce(1)
+    held = packing.pack_documents(docs, tokenizer()).groupBy("sequence_id").count().collect()
+    assert sorted(r["count"] for r in held)[-2:] == [1024, 1024] and sum(r["count"] for r in held) == 3000
