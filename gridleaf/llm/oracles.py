@@ -110,3 +110,52 @@ texts AS (SELECT row_number() OVER () AS r, doc_id, {_plain('text')} AS w FROM d
 starts AS (SELECT r, doc_id, w, unnest(generate_series(1, len(w))) AS i FROM texts WHERE len(w) > 0),
 places AS (SELECT r, doc_id, i - 1 AS p, list_slice(w, i, i + k - 1) AS seq FROM starts, (SELECT DISTINCT len(w) AS k FROM notices) WHERE i + k - 1 <= len(w))
 SELECT doc_id, name AS notice, 1.0::DOUBLE AS containment, count(*)::BIGINT AS windows, min(p)::BIGINT AS first_word FROM places JOIN notices ON seq = notices.w GROUP BY r, doc_id, name"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op12_count_rtree"] = rf"""WITH RECURSIVE
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) END AS s
+  FROM texts),
+-- equal sets are one
+distinct_sets AS (SELECT min(r) AS d, k, any_value(len(s)) AS n, any_value(s) AS s FROM (SELECT r, s, list_sort(s) AS k FROM sets WHERE len(s) > 0) GROUP BY k),
+owners AS (SELECT sets.r, sets.doc_id, d FROM sets JOIN distinct_sets ON list_sort(sets.s) = k WHERE len(sets.s) > 0),
+shingles AS MATERIALIZED (SELECT d, n, unnest(s) AS g FROM distinct_sets),
+shared AS (
+  SELECT a.d AS a, b.d AS b, count(*) AS common, any_value(a.n) AS an, any_value(b.n) AS bn
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.d < b.d AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * common >= 90 * (an + bn - common) UNION ALL SELECT b, a FROM shared WHERE 100 * common >= 90 * (an + bn - common)),
+reach(d, e) AS (SELECT d, d FROM distinct_sets UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.e),
+names AS (SELECT reach.d, min(owners.doc_id) AS name FROM reach JOIN owners ON owners.d = reach.e GROUP BY 1)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE name END AS component_id
+FROM sets LEFT JOIN owners USING (r) LEFT JOIN names ON names.d = owners.d"""
+
+ORACLES["op13_rabin_karp_phrases"] = rf"""WITH
+pieces AS (
+  SELECT row_number() OVER () AS p, lang, w FROM (
+    SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+  WHERE len(w) > 0),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+counts AS MATERIALIZED (SELECT lang, m, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+    array_to_string(list_slice(string_split(phrase, ' '), k + 1, m), ' ') AS tail
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM counts WHERE m >= 2)),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, h.f AS l, t.f AS r, (2000000::HUGEINT * c.a // (h.f + t.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 2000000::HUGEINT * c.a // (h.f + t.f), k) AS place
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.tail),
+inside AS (
+  SELECT lang, array_to_string(list_slice(string_split(phrase, ' '), s, s + k - 1), ' ') AS phrase, max(f) AS longest
+  FROM (SELECT *, unnest(generate_series(1, m - k + 1)) AS s FROM (SELECT *, unnest(generate_series(2, m - 1)) AS k FROM counts WHERE m >= 3))
+  GROUP BY ALL),
+kept AS (SELECT scored.* FROM scored LEFT JOIN inside USING (lang, phrase) WHERE place = 1 AND (longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""

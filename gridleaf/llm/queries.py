@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lempel, licences, mixing, packing, prefixes, rules, simhash, toxicity
+from . import alignment, chat, counttree, langid, lempel, licences, mixing, packing, phrases, prefixes, rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,20 @@ def op8_license_scan(spark, d):
 @query
 def op8_short_notices(spark, d):
     return licences.scan(table(spark, d, "documents"), licences.SHORT)
+
+
+@query
+def op11_aligned_tokens(spark, d):
+    import public_tokenizers
+
+    return alignment.alignments(table(spark, d, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
+@query
+def op12_count_rtree(spark, d):
+    return counttree.jaccard_components(table(spark, d, "documents"))
+
+
+@query
+def op13_rabin_karp_phrases(spark, d):
+    return phrases.collocations(table(spark, d, "documents")).drop("first")
