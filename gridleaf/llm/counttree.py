@@ -257,6 +257,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = stored(members.select("sig", "id").join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("sig", F.coalesce("root", "id").alias("root")), "rooted")
     of_sets = stored(least.join(named.hint("merge"), "sig", "left"), "least")
     of_roots = of_sets.where("root is not null").groupBy("root").agg(F.min("least").alias("name"))
-    names = of_sets.join(of_roots.hint("merge"), "root", "left").select("sig", F.coalesce("name", "least").alias("name"))
+    # the many sets that no cell connects with another keep out of the join
+    names = of_sets.where("root is not null").join(of_roots.hint("merge"), "root").select("sig", "name").unionByName(of_sets.where("root is null").select("sig", F.col("least").alias("name")))
     out = marked.drop("cells", "hashed").join(names.hint("merge"), "sig", "left")
     return out.select(F.col("key").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("name")).alias("component_id"))

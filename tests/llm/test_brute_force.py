@@ -378,18 +378,57 @@ def test_toxicity(spark):
     rng = np.random.default_rng(0)
     assert auc([label[r.doc_id] for r in held], [r.score + 1e-9 * rng.random() for r in held]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    brier = np.mean([(r.score - label[r.doc_id]) ** 2 for r in held])
+    share = np.mean([label[r.doc_id] for r in held])
+    print("brier", brier, "of", share * (1 - share), [(round(lo, 1), len(x), round(np.mean([r.score for r in x]), 3), round(np.mean([label[r.doc_id] for r in x]), 3)) for lo in np.arange(0, 1, 0.2) if (x := [r for r in held if lo <= r.score < lo + 0.2 or lo > 0.79 and r.score == 1])])
+    assert brier < 0.5 * share * (1 - share)
 
 
-def test_block_max_is_exact():
-    rng = np.random.default_rng(2)
-    grams, n = 50, 4 * toxicity.BLOCK
-    w = np.where(rng.random((grams, n)) < 0.1, rng.random((grams, n)), 0).astype(np.float32)
-    w /= np.maximum(np.linalg.norm(w, axis=0), 1e-9)
-    index = toxicity.Index(idf=np.ones(grams, np.float32), weights=w, tops=w.reshape(grams, -1, toxicity.BLOCK).max(axis=2), names=np.arange(n), toxic=np.zeros(n), votes=np.ones(n))
-    for _ in range(50):
-        rows = np.sort(rng.choice(grams, 5, replace=False))
-        q = rng.random(5).astype(np.float32)
-        q /= np.linalg.norm(q)
-        at, cosines = index.nearest(rows, q, 15)
-        want = np.sort(q @ w[rows])[::-1][:15]
-        assert np.allclose(cosines, want[want > 0], atol=1e-5)
+@pytest.fixture(scope="module")
+def toxic_index(spark):
+    sf = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    return toxicity.fit(docs, labels), [r.text for r in docs.where("doc_id % 3 = 0").select("text").collect()]
+
+
+def test_block_max_is_exact(toxic_index):
+    index, texts = toxic_index
+    dense = np.zeros((len(index.names), len(index.idf)))
+    for e in range(len(index.names)):
+        dense[e, index.grams[index.starts[e] : index.starts[e + 1]]] = index.values[index.starts[e] : index.starts[e + 1]]
+    for text in [*texts, "a", "", None]:
+        rows, w = index.vector(text)
+        query = np.zeros(len(index.idf))
+        query[rows] = w
+        cosines = dense @ query
+        order = np.lexsort((np.arange(len(cosines)), -np.round(cosines, 9)))[: toxicity.NEAREST]
+        order = order[cosines[order] > 1e-12]
+        at, got = index.nearest([(rows, w)], toxicity.NEAREST)[0] if len(rows) else ([], [])
+        assert np.allclose(got, cosines[order], atol=1e-7) and np.allclose(cosines[at], cosines[order], atol=1e-9)
+        # the votes
+        vote = index.votes[order] * cosines[order] ** 2
+        want = (vote @ index.toxic[order] + toxicity.PRIOR * index.prior) / (vote.sum() + toxicity.PRIOR) if len(order) else index.prior
+        assert abs(index.score([text])[0][0] - want) < 1e-6
+
+
+def test_blocks_are_skipped(toxic_index):
+    index, texts = toxic_index
+
+    read = []
+
+    class Table:
+        def __init__(self, plain):
+            self.plain = plain
+
+        def __rmatmul__(self, queries):
+            read.append(len(queries) * self.plain.shape[1])
+            return queries @ self.plain
+
+        __array_ufunc__ = None
+
+    plain = index.tables
+    index.tables = [Table(t) for t in plain]
+    index.score(texts)
+    every = len(texts) * len(index.names)
+    index.tables = plain
+    assert 0 < sum(read) < 0.8 * every
