@@ -28,8 +28,7 @@ from .grams import gram_ids
 from .langid import remainder
 
 SIZE, BITS = 5, 18
-#: Sampled examples of a class, their grams in all (8 bytes each in the postings and in the vectors), neighbours that vote,
-#: blocks: bounds of the model.
+#: Sampled examples of a class, their grams in all (8 bytes each), neighbours that vote, blocks: bounds of the model.
 EXAMPLES, GRAMS, NEAREST, BLOCKS = 2048, 1 << 23, 15, 64
 #: Rounds of the clustering that makes the blocks, and the share of blocks (one in FIRST) that is completed first.
 ROUNDS, FIRST = 8, 8
@@ -90,14 +89,11 @@ def blocks(vectors: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The examples' vectors, by example and by gram, their labels, and the greatest weights by gram and block."""
+    """The examples' weights by gram and block of examples, the greatest of them, and the labels."""
 
     place: np.ndarray = field(default_factory=lambda: np.full(1 << BITS, -1, np.int32))  # gram -> row, or -1
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # times the part that the labels' dependence gives
     postings: Postings = field(default_factory=Postings)
-    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # rows of one example after the other
-    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     edges: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where the blocks begin, and the end of the last
     tables: list[np.ndarray] = field(default_factory=list)  # of each block the weights by common gram
     tops: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # and the greatest of them
@@ -105,7 +101,6 @@ class Index:
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
     names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.0  # share of toxic rows among texts without any of the grams
-    scratch: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def hold(self, vectors: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         """The index of the examples' vectors (rows, weights) over n grams; the order in which it keeps them."""
@@ -116,10 +111,8 @@ class Index:
         order = np.argsort(block, kind="stable")
         self.edges = np.searchsorted(block[order], np.arange(block.max() + 2))
         self.edges = np.unique(self.edges)  # no empty blocks
-        self.grams, self.values = (np.concatenate([vectors[e][k] for e in order]) for k in (0, 1))
-        self.starts = np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64)
-        owner = np.repeat(np.arange(len(vectors)), lengths[order])
-        self.postings = Postings.of(self.grams, owner, self.values, n, len(vectors))
+        grams, values = (np.concatenate([vectors[e][k] for e in order]) for k in (0, 1))
+        self.postings = Postings.of(grams, np.repeat(np.arange(len(vectors)), lengths[order]), values, n, len(vectors))
         self.tables = [np.ascontiguousarray(self.postings.table[:, a:b]) for a, b in zip(self.edges, self.edges[1:])]
         self.tops = np.stack([t.max(axis=1) for t in self.tables], axis=1)
         self.postings.table = np.zeros((0, 0), np.float32)
@@ -134,17 +127,6 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[rows]
         return rows, (w / np.linalg.norm(w)).astype(np.float32)
 
-    def _cosines(self, places: np.ndarray, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """In full, from the examples' own vectors."""
-        if len(self.scratch) < len(self.idf):
-            self.scratch = np.zeros(len(self.idf))
-        self.scratch[rows] = w
-        size = self.starts[places + 1] - self.starts[places]
-        at = np.repeat(self.starts[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        out = np.add.reduceat(self.scratch[self.grams[at]] * self.values[at], np.cumsum(size) - size)
-        self.scratch[rows] = 0
-        return out
-
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples with the greatest cosine above zero (ties: the smaller place), nearest first; and the cosines."""
         common = np.zeros((len(queries), len(self.tops)), np.float32)
@@ -165,11 +147,10 @@ class Index:
             done |= open_
         chosen = (total >= self._least(total, k)[:, None] - 1e-5) & (total > 0) & np.repeat(done, np.diff(self.edges), axis=1)
         out = []
-        for (rows, w), mine in zip(queries, chosen):
+        for cosines, mine in zip(np.round(total, 6), chosen):  # equal examples may differ in the last bits of their sums
             places = np.flatnonzero(mine)
-            cosines = self._cosines(places, rows, w) if len(places) else np.zeros(0)
-            best = np.lexsort((places, -cosines))[:k]
-            out.append((places[best], cosines[best]))
+            best = places[np.lexsort((places, -cosines[places]))[:k]]
+            out.append((best, cosines[best]))
         return out
 
     @staticmethod
