@@ -56,14 +56,16 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]],
 def work_folder(spark, name: str) -> str:
     """A fresh folder for an intermediate table, in the shared place that the session names.
 
-    ``spark.checkpoint.dir`` is read from the session. Where it is unset (tests on one machine) a new temporary folder
-    takes its place.
+    ``spark.checkpoint.dir`` is read from the session. Only where the session runs on one machine may it be unset: a new
+    temporary folder then takes its place. A cluster without it is an error, since its executors share no local folder.
     """
     import tempfile
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

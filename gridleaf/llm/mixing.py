@@ -139,17 +139,15 @@ def mixed(docs: DataFrame, weights: list[int], share: float = 1.5, most: float =
     """
 
     def name(order: Column) -> Column:
-        return F.concat_ws("/", F.col("doc_id").cast("string"), order.cast("string")).alias("_mix_name")
-
-    plan = mix(docs, weights, share, most).where("taken > 0").groupBy(name(F.col("order"))).agg(F.sum("copies").alias("_mix_copies"), F.max("part").alias("_mix_part"))
-    # equal rows are one row here and their copies add up
-    once = docs.withColumn("_mix_name", name(_row())).dropDuplicates(["_mix_name"])
-    dealt = once.join(stored(plan, "plan").hint("merge"), "_mix_name")
-    turns = dealt.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies") + F.when(F.col("_mix_part") > 0, 1).otherwise(0))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_mix_turn") > F.col("_mix_copies"), F.array_join(F.slice(words, 1, F.col("_mix_part").cast("int")), " ")).otherwise(F.col("text"))
-    out = turns.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        cut = F.when(F.col("_mix_turn") > F.col("_mix_copies"), F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", cut.cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        return F.concat_ws("/", F.col("doc_id").cast("string"), order.cast("string")).alias("name")
+
+    plan = mix(docs, weights, share, most).where("taken > 0").groupBy(name(F.col("order"))).agg(F.sum("copies").alias("copies"), F.max("part").alias("part"))
+    # equal rows are one row here and their copies add up; a row is one column, so no name of its own can clash
+    once = docs.select(name(_row()), F.struct("*").alias("row")).dropDuplicates(["name"])
+    dealt = once.join(stored(plan, "plan").hint("merge"), "name")
+    turns = dealt.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0))))
+    cut = F.col("turn") > F.col("copies")
+    words = F.filter(F.split(F.col("row")["text"], r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col("row")["text"])
+    new = {"text": text, "n_chars": F.when(cut, F.length(text)).otherwise(F.col("row")["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    return turns.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row")[f.name].alias(f.name) for f in docs.schema])

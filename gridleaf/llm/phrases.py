@@ -34,7 +34,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A candidate inside a longer one with this share of its count (percent) is part of it.
 PART = 80
 #: Bytes of text in one array (a longer piece without punctuation is one array), and fingerprints counted in a task at once.
-BATCH, WINDOW = 1 << 22, 1 << 22
+BATCH, WINDOW = 1 << 20, 1 << 21
 #: Bits of a fingerprint (tests take few, so that many collide).
 FOLD = 64
 

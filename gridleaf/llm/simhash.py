@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ship
 from .batches import map_rows, stored
@@ -51,16 +52,20 @@ def fingerprint(text: bytes | None) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp`` (the 64 bits as a signed long), one row for each document. Null and blank texts have 0."""
+def _prints(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` but for the last, a binary text, and ``fp`` in its place."""
 
-    def work(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for name, value in rows:
+    def work(held: Iterator[tuple]) -> Iterator[tuple]:
+        for *names, value in held:
             bits = fingerprint(value)
-            yield name, bits - (1 << 64) if bits >> 63 else bits
+            yield *names, bits - (1 << 64) if bits >> 63 else bits
+
+    return map_rows(rows, work, StructType([*rows.schema.fields[:-1], StructField("fp", LongType())]))
 
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    return map_rows(docs.select(F.col(key), F.col(text).cast("binary")), work, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, fp`` (the 64 bits as a signed long), one row for each document. Null and blank texts have 0."""
+    return _prints(docs.select(F.col(key), F.col(text).cast("binary").alias("fp")))
 
 
 # --- BK-trees --------------------------------------------------------------
@@ -208,16 +213,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """
     marked = stored(fingerprints(docs, key, text), "fingerprints")
     names = stored(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    roots = stored(components(links(names.select("fp"), radius)).select(F.col("node").alias("fp"), "root"), "roots")
-    rooted = stored(names.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = _rooted(names, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id"), "named")
     return marked.join(named.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
+def _rooted(names: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints with ``root``: equal for all that links connect."""
+    roots = stored(components(links(names.select("fp"), radius)).select(F.col("node").alias("fp"), "root"), "roots")
+    return stored(names.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose ``key`` names their component, once each; documents without a key stay."""
-    found = near_duplicates(docs, key, text)
-    kept = stored(found.where(F.col(key) == F.col("component_id")).select(key).distinct(), "kept")
-    named = docs.where(F.col(key).isNotNull()).join(kept.hint("merge"), key, "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    """One document of each group of near-duplicates: the one with the smallest ``key``, and of several the smallest text hash.
+
+    A row is known by its ``key`` and its text, so different texts that share a ``key`` are judged one by one, and each group
+    keeps exactly one row. Null keys come last: a group has one of these only where it has no other. Rows that agree in
+    both are one; their other columns are those of any of them. All columns stay as they are, whatever their names.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(F.col(text).cast("binary")).alias("hash"))
+    marked = stored(_prints(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("binary")).alias("hash"), F.col(text).cast("binary").alias("fp"))), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash")
+    first = stored(marked.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    kept = stored(_rooted(first, RADIUS).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept"), F.col("first.hash").alias("by")), "kept")
+    same = F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("by"))
+    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -4,7 +4,7 @@ import awkward
 import pytest
 
 import corpus_pipeline
-from gridleaf.llm import langid, lempel, licences, mixing, packing, prefixes, rules, simhash, toxicity
+from gridleaf.llm import batches, langid, lempel, licences, mixing, packing, prefixes, rules, simhash, toxicity
 from gridleaf.llm.queries import tokenizer
 
 LABELS = "doc_id bigint, toxic int"
@@ -48,6 +48,37 @@ def test_stages(spark, stage):
 
 
 def test_near_dedup_keeps_one(spark):
-    out = simhash.one_of_each(awkward.table(spark)).where("doc_id is not null").collect()
-    ids = [r.doc_id for r in out]
-    assert len(ids) == len(set(ids)) and awkward.BIG in ids and awkward.BIG + 1 not in ids
+    """One row of each group, whatever the ids: all texts of the awkward table that no other is near to stay."""
+    out = simhash.one_of_each(awkward.table(spark)).collect()
+    kept = [(r.doc_id, r.text) for r in out]
+    assert len(kept) == len(set(kept)) and (awkward.BIG, "tie tie tie tie") in kept and (awkward.BIG + 1, "tie tie tie tie") not in kept
+    assert (7, "same id, other text") in kept and any(i == 7 and t.startswith("other") for i, t in kept)
+
+
+def test_near_dedup_of_shared_and_null_ids(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "one two three four five"), (None, "alpha beta gamma delta"), (None, "lone words of no name"), (None, "lone words of no name"), (2, "one two three four five")]
+    for part in (1, 4):
+        out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(part)).collect()
+        assert sorted(map(tuple, out), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, "some words of a text", "a", "keepme", 7, 8, 9, "x") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _mix_name string, _mix_copies int, copies int, `part` int, `row` string")
+    out = mixing.mixed(docs, [1])
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {("keepme", 7, 8, 9, "x")}
+
+
+def test_work_folder_must_be_shared(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        batches.work_folder(Session(), "x")
