@@ -1,9 +1,8 @@
 """Layout operators: boxes, line height, tiles, de-duplication and reading order.
 
 A block is a row ``image_id, block_id, text, x0, y0, x1, y1, confidence``; ``block_id`` is unique
-in an image and gives the input order. Greedy steps run as native folds, never over all blocks of
-an image: equal boxes are merged first (combined on the map side) and an image is cut wherever no
-box reaches across, so the size of a fold is bounded by the geometry of one text line or zone.
+in an image and gives the input order. Greedy steps run zone by zone in linear folds (``folds``): an image
+is cut wherever no box reaches across.
 """
 
 from __future__ import annotations
@@ -11,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.geometry import (
     MAX_TILES, READABLE_LINE, TILE_OVERLAP, max_tile_side, model_scale, sanity_line_height,
 )
 from ..functions.text import LINE_BREAK, compact, is_blank, needs_cjk
-from .scan import CHUNK, islands, null_safe_join
+from ..session import ship
+from .folds import without_overlap
+from .scan import CHUNK, null_safe_join
 
 # --- fixed values ---------------------------------------------------------
 ROW_TOLERANCE = 0.65
@@ -192,88 +195,28 @@ def tile_owner(blocks: DataFrame, tiles: DataFrame) -> DataFrame:
     return null_safe_join(blocks, packed, ["image_id"], "left").withColumn("owner", owner).drop("__tiles")
 
 
-def _same_place(a: Column, b: Column) -> Column:
-    """Boxes overlap by IoU, or all four edges are close for their height."""
-    w = F.greatest(F.lit(0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])).cast("bigint")
-    h = F.greatest(F.lit(0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-    shared = w * h
-
-    def area(t: Column) -> Column:
-        return F.greatest(F.lit(1).cast("bigint"), (t["x1"] - t["x0"]).cast("bigint") * (t["y1"] - t["y0"]))
-
-    low = F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])
-    # int() cuts toward zero; below zero the minimum of 6 wins anyway.
-    near = F.greatest(F.lit(NEAR_MIN), F.floor(low * F.lit(NEAR_RATIO)).cast("int"))
-    close = F.lit(True)
-    for edge in BOX:
-        close = close & (F.abs(a[edge] - b[edge]) <= near)
-    overlap = (shared > 0) & (shared / (area(a) + area(b) - shared) >= SAME_IOU)
-    return overlap | close
-
-
 def dedupe_overlap(blocks: DataFrame) -> DataFrame:
     """One block per cluster of overlapping readings of the same text.
 
     Greedy from the most confident block on: a block joins the first cluster whose first member has
     a compatible text at the same place; the longest text of a cluster stays. Copies (same text, same
-    box) always share a cluster, so they are merged before anything is ordered. Then an image is cut
-    where neither a box nor its tolerance reaches across, first in y, then in x.
+    box) always share a cluster. The boxes of an image meet on one exchange in the order of their tops; a zone
+    ends where no box reaches, and inside a zone candidates come from a uniform grid, so dense images cost
+    what they hold.
     """
-    order = F.struct((-F.col("confidence")).alias("c"), F.col("block_id").alias("id"))
-    merged = (
-        blocks.where(~is_blank(F.col("text")))
-        .withColumn("key", compact(F.col("text")))
-        .groupBy("image_id", "key", *BOX)
-        .agg(F.min(order).alias("ord"), F.min_by("text", order).alias("text"))
-    )
-    # The tolerance comes from the lower of two heights, so a box's own height bounds its reach.
-    near = F.greatest(F.lit(NEAR_MIN), F.floor((F.col("y1") - F.col("y0")) * F.lit(NEAR_RATIO)).cast("int"))
-    spread = merged.withColumns({f"r{a}": F.greatest(f"{a}1", F.col(f"{a}0") + near) for a in "xy"})
-    for keys, low, high, name in ((["image_id"], "y0", "ry", "zy"), (["image_id", "zy"], "x0", "rx", "zx")):
-        zone = islands(spread, keys, low, high, 1).select(*keys, low, F.col("island").alias(name))
-        spread = null_safe_join(spread, zone, keys + [low])
-
-    entry = F.struct("ord", "key", *BOX, "text")
-    zones = spread.groupBy("image_id", "zy", "zx").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-
-    def better(new: Column, old: Column) -> Column:
-        """Longer text, then higher confidence; the earlier one keeps a tie."""
-        longer = F.length(new["key"]) - F.length(old["key"])
-        return (longer > 0) | ((longer == 0) & (new["ord"]["c"] < old["ord"]["c"]))
-
-    start = F.transform(F.slice("items", 1, 1), lambda e: F.struct(e.alias("head"), e.alias("best")))
-
-    def place(acc: Column, item: Column) -> Column:
-        hit = F.array_position(
-            F.transform(
-                acc,
-                lambda c: (F.contains(c["head"]["key"], item["key"]) | F.contains(item["key"], c["head"]["key"]))
-                & _same_place(item, c["head"]),
-            ),
-            True,
-        )
-        joined = F.transform(
-            acc,
-            lambda c, i: F.when(
-                (i + 1 == hit) & better(item, c["best"]), F.struct(c["head"].alias("head"), item.alias("best"))
-            ).otherwise(c),
-        )
-        return F.when(hit > 0, joined).otherwise(
-            F.concat(acc, F.array(F.struct(item.alias("head"), item.alias("best"))))
-        )
-
-    rest = F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))
-    kept = F.when(F.size("items") == 1, start).otherwise(F.aggregate(rest, start, place))
-    return zones.select("image_id", F.explode(kept).alias("c")).select(
-        "image_id", F.col("c.best.ord.id").alias("block_id"), F.col("c.best.text").alias("text"),
-        *[F.col(f"c.best.{e}").alias(e) for e in BOX], (-F.col("c.best.ord.c")).alias("confidence"),
-    )
+    ship(blocks.sparkSession)
+    names = ["image_id", "block_id", "text", *BOX, "confidence"]
+    kind = StructType([blocks.schema[c] for c in names])
+    arrow = to_arrow_schema(StructType([StructField(f.name, f.dataType) for f in kind]))
+    rows = blocks.where(~is_blank(F.col("text"))).select(*names, compact(F.col("text")).alias("key"))
+    placed = rows.repartition("image_id").sortWithinPartitions("image_id", "y0")
+    return placed.mapInArrow(lambda batches: without_overlap(batches, arrow, SAME_IOU, NEAR_RATIO, NEAR_MIN), StructType([StructField(f.name, f.dataType) for f in kind]))
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Adds ``line`` and ``pos`` (both from 0): lines by running mean of y-centres, then x.
 
-    Blocks with one y-centre always fall on one line, so the fold runs over counted positions
+    Blocks with one y-centre always fall on one line, so the fold keeps open lines only and runs over counted positions
     (centre, height), cut where two centres are further apart than the tolerance. Only the counted
     positions of an image are put in order; blocks get theirs back by an equi join.
     """
@@ -300,22 +243,22 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     zones = counted.groupBy("image_id", "zone").agg(
         F.first("tol").alias("tol"), F.array_sort(F.collect_list(F.struct(*cells, "n"))).alias("items")
     )
-    state = "struct<lines:array<struct<s:double,n:bigint>>,at:array<int>>"
-    empty = F.struct(F.array().cast("array<struct<s:double,n:bigint>>").alias("lines"), F.array().cast("array<int>").alias("at"))
+    line = "struct<k:int,s:double,n:bigint>"
+    state = f"struct<open:array<{line}>,lines:int,at:array<int>>"
+    empty = F.struct(F.array().cast(f"array<{line}>").alias("open"), F.lit(0).alias("lines"), F.array().cast("array<int>").alias("at"))
 
     def place(acc: Column, item: Column) -> Column:
-        hit = F.array_position(
-            F.transform(acc["lines"], lambda r: F.abs(item["__cy"] - r["s"] / r["n"]) <= F.col("tol")), True
-        ).cast("int")
-        more = F.struct((item["__cy"] * item["n"]).cast("double").alias("s"), item["n"].alias("n"))
-        grown = F.transform(
-            acc["lines"],
-            lambda r, i: F.when(i + 1 == hit, F.struct((r["s"] + more["s"]).alias("s"), (r["n"] + more["n"]).alias("n"))).otherwise(r),
+        # Centres ascend, so a line whose mean has fallen behind by the tolerance never takes another.
+        open_ = F.filter(acc["open"], lambda r: item["__cy"] - r["s"] / r["n"] <= F.col("tol"))
+        first, found = F.get(open_, F.lit(0)), F.size(open_) > 0
+        number = F.when(found, first["k"]).otherwise(acc["lines"] + 1)
+        grown = F.struct(
+            number.alias("k"), (F.coalesce(first["s"], F.lit(0.0)) + item["__cy"] * item["n"]).alias("s"), (F.coalesce(first["n"], F.lit(0)) + item["n"]).alias("n")
         )
-        at = F.when(hit > 0, hit).otherwise(F.size(acc["lines"]) + 1)
         return F.struct(
-            F.when(hit > 0, grown).otherwise(F.concat(acc["lines"], F.array(more))).alias("lines"),
-            F.concat(acc["at"], F.array(at)).alias("at"),
+            F.concat(F.array(grown), F.slice(open_, 2, F.greatest(F.size(open_) - 1, F.lit(0)))).alias("open"),
+            (acc["lines"] + F.when(found, 0).otherwise(1)).alias("lines"),
+            F.concat(acc["at"], F.array(number)).alias("at"),
         ).cast(state)
 
     folded = F.aggregate("items", empty.cast(state), place, lambda acc: acc["at"])
