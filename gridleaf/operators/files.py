@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scan import CHUNK, null_safe_join, number_rows
@@ -181,7 +183,7 @@ def resolve_names(named: DataFrame, existing: DataFrame, policy: str = "rename")
     ``rename`` gives the k-th file of a name the k-th free number (``name``, ``name (2)``, ...); a
     number that another file of the batch carries as its own name stays with that file. ``skip`` lets the
     first file of a free name through and marks the rest skipped, ``overwrite`` takes the plain name.
-    Used numbers are kept as runs, so a folder with a million numbered copies is one interval.
+    Used numbers become runs, so a folder with a million numbered copies is a few intervals.
     """
     keys = ["dir", "stem", "ext"]
     dot = F.when(F.length("ext") > 0, F.concat(F.lit("."), F.col("ext"))).otherwise("")
@@ -193,27 +195,71 @@ def resolve_names(named: DataFrame, existing: DataFrame, policy: str = "rename")
     one = F.lit(1).cast("bigint")
     if policy == "overwrite":
         return named.withColumns({"output": full(one), "status": F.lit("queued")})
-    ranked = number_rows(named, keys, [F.floor(F.col("seq") / CHUNK)], ["seq"], "__k")
     if policy == "skip":
+        ranked = number_rows(named, keys, [F.floor(F.col("seq") / CHUNK)], ["seq"], "__k")
         there = existing.select(*keys).distinct().withColumn("__there", F.lit(True))
         joined = null_safe_join(ranked, there, keys, "left")
         taken = F.coalesce("__there", F.lit(False)) | (F.col("__k") > 0)
         return joined.withColumns({"output": full(one), "status": F.when(taken, "skipped").otherwise("queued")}).drop("__k", "__there")
 
-    own = _numbered(named.select(*keys).distinct()).where(F.col("num") > 1)
-    used = _numbered(existing.select(*keys)).unionByName(own).distinct()
-    runs = number_rows(used, keys, [F.floor(F.col("num") / CHUNK)], ["num"], "__i")
-    runs = runs.groupBy(*keys, (F.col("num") - F.col("__i")).alias("__free")).agg(
-        F.count(F.lit(1)).alias("__len")
+    return _free_numbers(named, existing, keys).withColumns({"output": full(F.col("__number")), "status": F.lit("queued")}).drop("__number")
+
+
+def _free_numbers(named: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``__number``: the k-th file of a family, by ``seq``, gets the k-th number that the family has not used.
+
+    Used numbers are summed up in cells of ``CHUNK``; only these summaries meet by family. There each run of used
+    numbers learns how many numbers are free before it and how many are used up to its end, so that ranking the files
+    and looking up their numbers are two ordered merges in cells of bounded size: no array of runs lies on a row, and
+    a family of any size is spread over the cluster. Files with equal ``seq`` come in any order; nulls come first.
+    """
+    family = F.struct(*keys).alias("__f")
+
+    def cell(position: str) -> Column:
+        return F.floor(F.col(position) / CHUNK)
+
+    own = _numbered(named.select(*keys)).where(F.col("num") > 1)
+    used = _numbered(existing.select(*keys)).unionByName(own).select(family, F.lit(1).alias("__side"), cell("num").alias("__cell"), "num")
+    asked = named.select(family, F.lit(0).alias("__side"), cell("seq").alias("__cell"), F.lit(None).cast("int").alias("num"))
+    cells = asked.unionByName(used).groupBy("__f", "__side", "__cell").agg(
+        F.count(F.lit(1)).alias("__rows"), F.array_sort(F.collect_set("num")).alias("__nums")
+    )
+    pairs = F.transform("__nums", lambda x, i: F.struct(x.cast("bigint").alias("x"), i.cast("bigint").alias("i")))
+    starts = F.filter(pairs, lambda s: F.coalesce(F.get("__nums", (s["i"] - 1).cast("int")) != s["x"] - 1, F.lit(True)))
+    size = F.when(F.col("__side") == 0, F.col("__rows")).otherwise(F.size("__nums")).cast("bigint")
+    cells = cells.select("__f", "__side", "__cell", size.alias("__size"), starts.alias("__starts")).repartition("__f")
+
+    earlier = W.partitionBy("__f", "__side").orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    wanted = F.sum(F.when(F.col("__side") == 0, F.col("__size"))).over(W.partitionBy("__f"))
+    cells = cells.withColumns({"__before": F.coalesce(F.sum("__size").over(earlier), F.lit(0)), "__wanted": wanted})
+    runs = cells.where(F.col("__wanted") > 0).select(
+        "__f", "__side", "__cell", "__before", "__size", "__wanted", F.explode_outer("__starts").alias("__start")
     )
-    # "__free" - 1 numbers are free before a run; it pushes on every file ranked from there.
-    packed = runs.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((F.col("__free") - 1).alias("free"), F.col("__len").alias("len")))).alias("__runs")
+    runs = runs.withColumn("__index", F.col("__before") + F.col("__start.i"))
+    runs = runs.withColumn("__free", F.col("__start.x") - 1 - F.col("__index"))
+    along = W.partitionBy("__f").orderBy("__side", "__start.x")
+    runs = runs.withColumns(
+        {
+            "__upto": F.coalesce(F.lead("__index").over(along), F.col("__before") + F.col("__size")),
+            "__till": F.least(F.lead("__free").over(along), F.col("__wanted")),  # least passes over a null
+        }
     )
-    joined = null_safe_join(ranked, packed, keys, "left")
-    pushed = F.aggregate(
-        F.coalesce("__runs", F.array().cast("array<struct<free:bigint,len:bigint>>")),
-        F.lit(0).cast("bigint"),
-        lambda acc, r: acc + F.when(r["free"] <= F.col("__k"), r["len"]).otherwise(0),
+    # A run holds for the files ranked from "__free" to before "__till"; every cell on the way gets it at its start.
+    is_run = F.col("__side") == 1
+    span = F.when(is_run, F.sequence(cell("__free"), F.floor((F.col("__till") - 1) / CHUNK))).otherwise(F.array("__cell"))
+    marks = runs.where(~is_run | (F.col("__free") < F.col("__till"))).withColumn("__cell", F.explode(span))
+    rows = named.select(family, F.lit(0).alias("__side"), cell("seq").alias("__cell"), F.col("seq").alias("__seq"), F.struct(*named.columns).alias("__row"))
+    marks = marks.select(
+        "__f", "__side", "__cell", F.when(~is_run, F.col("__before")).alias("__before"), F.when(is_run, F.col("__upto")).alias("__upto"),
+        F.when(is_run, F.greatest("__free", F.col("__cell") * CHUNK)).alias("__at"),
     )
-    return joined.withColumns({"output": full(F.col("__k") + 1 + pushed), "status": F.lit("queued")}).drop("__k", "__runs")
+    merged = rows.unionByName(marks, allowMissingColumns=True)
+
+    # A cell's summary comes first and carries the number of files in earlier cells.
+    inside = W.partitionBy("__f", "__side", "__cell").orderBy(F.col("__row").isNotNull(), "__seq")
+    rank = F.first("__before").over(inside) + F.row_number().over(inside) - 2
+    merged = merged.withColumn("__at", F.when(is_run, F.col("__at")).otherwise(rank)).where(is_run | F.col("__row").isNotNull())
+    reached = W.partitionBy("__f", "__cell").orderBy("__at", F.desc("__side")).rowsBetween(W.unboundedPreceding, 0)
+    merged = merged.withColumn("__cell", cell("__at"))
+    merged = merged.withColumn("__number", F.col("__at") + 1 + F.coalesce(F.max("__upto").over(reached), F.lit(0)))
+    return merged.where(F.col("__row").isNotNull()).select("__row.*", "__number")

@@ -1,7 +1,10 @@
 """Files, jobs, presets, cache, chains, evaluation and pages on small fixtures."""
 
 import os
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridleaf.functions import text as T
@@ -61,6 +64,46 @@ def test_resolve_names(spark):
     assert skipped["/x/a.txt"] == "skipped" and skipped["/x/b.txt"] == "queued"
 
 
+@pytest.mark.parametrize("chunk", [3, 65536])
+def test_resolve_names_against_a_loop(spark, monkeypatch, chunk):
+    """Families with gaps, runs over the borders of cells, own numbers, null folders, repeated rows."""
+    monkeypatch.setattr(files, "CHUNK", chunk)
+    draw = random.Random(5)
+    stems = ["a", "b", "c (x)", "a (2)", "a (7)", "d (3)", "e"]
+    named = [(draw.choice(["/o", None]), draw.choice(stems), "txt", seq) for seq in range(120)] + [("/o", "alone", "", 500)]
+    taken = [(draw.choice(["/o", None]), f"{draw.choice('abdq')} ({draw.randrange(2, 40)})", "txt") for _ in range(90)]
+    taken += [("/o", "a", "txt"), ("/o", "a", "txt")] + [("/o", f"e ({n})", "txt") for n in range(1, 30)] + [("/o", "e", "txt")]
+
+    def used_by(rows, plain):
+        for folder, stem, ext in rows:
+            if plain:
+                yield (folder, stem, ext, 1)
+            hit = re.fullmatch(r"(.+) \((\d{1,9})\)", stem)
+            if hit and int(hit[2]) >= 2:
+                yield (folder, hit[1], ext, int(hit[2]))
+
+    used = set(used_by(taken, True)) | set(used_by([r[:3] for r in named], False))
+    want = {}
+    for folder, stem, ext, seq in named:
+        number = 1
+        while (folder, stem, ext, number) in used:
+            number += 1
+        used.add((folder, stem, ext, number))
+        want[seq] = number
+    frame = spark.createDataFrame(named, "dir string, stem string, ext string, seq long").repartition(5)
+    there = spark.createDataFrame(taken, "dir string, stem string, ext string")
+    got = files.resolve_names(frame, there)
+    assert got.columns == ["dir", "stem", "ext", "seq", "output", "status"]
+    numbers = {}
+    for row in got.collect():
+        tail = f" ({want[row.seq]})" if want[row.seq] > 1 else ""
+        numbers[row.seq] = row.output
+        assert row.output == (None if row.dir is None else f"{row.dir}/{row.stem}{tail}" + (f".{row.ext}" if row.ext else ""))
+    assert len(numbers) == len(named)
+    assert files.resolve_names(frame.limit(0), there).count() == 0
+    assert files.resolve_names(frame, there.limit(0)).count() == len(named)
+
+
 def test_routes(spark):
     frame = spark.createDataFrame([("local", None, []), ("cloud", None, []), ("auto", "*x*", []), ("odd", None, ["none"])], "preference string, sensitive string, allowed array<string>")
     engines = [("l", True, True), ("c", False, True)]
