@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,44 +40,104 @@ def log_tail(log: DataFrame, n: int = LOG_LINES) -> DataFrame:
 def throttle(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:
     """Per task, drop an event closer than ``interval_ms`` to the last kept one; forced ones always stay.
 
-    ``task_id, ts_ms, seq, forced`` plus anything. What is kept depends on the last kept event, which
-    no window can tell. But an event that is forced or at least the interval after its predecessor is
-    kept for certain, so a task is cut there into independent runs; runs are spread over the cluster
-    and each is read once in order with one number of state. The predecessor is found per time
-    bucket, so no task is put in order as a whole.
+    ``task_id, ts_ms, seq, forced`` plus anything. What is kept depends on the last kept event, which no window can
+    tell, and a run of close events may hold a third of all rows. So time is cut in cells: each cell is reduced, on its
+    own, to a step function from the last kept time before it to the last one in it (at most one step a millisecond of
+    the interval), a task's functions are put one after another, and then each cell is read once from its known start.
+    Of events at one time only the first by ``seq`` can stay unforced, so a cell has a row a millisecond at most,
+    however many events there are. Null ``forced`` counts as false; events without a time stay.
     """
-    marked = events.withColumn("__b", F.floor(F.col("ts_ms") / BUCKET_MS))
-    seq = W.partitionBy("task_id").orderBy("__b")
-    edges = marked.groupBy("task_id", "__b").agg(F.max("ts_ms").alias("__max"))
-    edges = edges.withColumn("__carry", F.lag("__max").over(seq)).drop("__max")
-    inside = W.partitionBy("task_id", "__b").orderBy("ts_ms", "seq")
-    joined = null_safe_join(marked, edges, ["task_id", "__b"])
-    previous = F.coalesce(F.lag("ts_ms").over(inside), F.col("__carry"))
-    sure = F.coalesce(F.col("forced") | (F.col("ts_ms") - previous >= interval_ms), F.lit(True))
-    here = F.struct("ts_ms", "seq")
-    start = F.max(F.when(sure, here)).over(inside.rowsBetween(W.unboundedPreceding, 0))
-    cut = joined.withColumns({"__sure": sure, "__start": start})
-    # Runs that began in an earlier bucket take the start carried over from there.
-    last = cut.groupBy("task_id", "__b").agg(F.max("__start").alias("__s"))
-    last = last.withColumn(
-        "__from", F.max("__s").over(seq.rowsBetween(W.unboundedPreceding, -1))
-    ).drop("__s")
-    runs = null_safe_join(cut, last, ["task_id", "__b"]).withColumn("__start", F.coalesce("__start", "__from"))
-    runs = runs.withColumns({"__s1": F.col("__start.ts_ms"), "__s2": F.col("__start.seq")}).drop("__b", "__carry", "__start", "__from")
-    width = len(events.columns)
+    if interval_ms <= 0:
+        return events
+    forced = F.coalesce("forced", F.lit(False))
+    timed = events.where(F.col("ts_ms").isNotNull()).select(
+        "task_id", F.floor(F.col("ts_ms") / BUCKET_MS).alias("__b"), F.col("ts_ms").cast("bigint").alias("__at"), forced.alias("__forced"),
+        F.struct(F.col("seq"), ~forced).alias("__order"), F.struct(*events.columns).alias("__row"),
+    )
+    spot = ["task_id", "__b", "__at"]
+    any_forced = F.bool_or("__forced").alias("__forced")
+    times = timed.groupBy(*spot).agg(any_forced).repartition("task_id", "__b").sortWithinPartitions(*spot)
+    task = f"task_id {timed.schema['task_id'].dataType.simpleString()}, __b bigint"
+    steps = times.mapInArrow(_cell_steps(interval_ms, BUCKET_MS), f"{task}, bounds array<bigint>, exits array<bigint>, forced boolean")
+    carried = steps.repartition("task_id").sortWithinPartitions("task_id", "__b").mapInArrow(_follow(interval_ms), f"{task}, __last bigint")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_kept = None
-        for batch in batches:  # only times and flags are read; the event's columns pass as they are
-            at, sure_flags = batch.column("__at").to_pylist(), batch.column("__sure").to_pylist()
+        last = None
+        for batch in batches:
             chosen = []
-            for time, certain in zip(at, sure_flags):
-                chosen.append(certain or last_kept is None or time - last_kept >= interval_ms)
-                last_kept = time if chosen[-1] else last_kept
-            yield batch.filter(pa.array(chosen, pa.bool_())).select(range(width))
-
-    ordered = runs.repartition("task_id", "__s1", "__s2").sortWithinPartitions("task_id", "__s1", "__s2", "ts_ms", "seq")
-    return ordered.select(*events.columns, F.col("ts_ms").alias("__at"), "__sure").mapInArrow(keep, events.schema)
+            for at, certain, start in zip(*(batch.column(c).to_pylist() for c in ("__at", "__forced", "__last"))):
+                if at is None:  # a cell begins
+                    last = start
+                    chosen.append(False)
+                    continue
+                chosen.append(last is None or at - last >= interval_ms)
+                last = at if chosen[-1] or certain else last
+            yield batch.select(["__row"]).filter(pa.array(chosen, pa.bool_()))
+
+    first = timed.groupBy(*spot).agg(any_forced, F.min_by("__row", "__order").alias("__row"))
+    cells = first.unionByName(carried, allowMissingColumns=True).repartition("task_id", "__b").sortWithinPartitions(*spot)
+    kept = cells.select("__row", "__at", "__forced", "__last").mapInArrow(keep, first.select("__row").schema).select("__row.*")
+    return events.where(forced | F.col("ts_ms").isNull()).unionByName(kept.where(~forced))
+
+
+def _cell_steps(interval: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per cell: ``bounds`` and ``exits`` of its step function, and whether a forced time ends the bounds."""
+
+    def steps(cell: int, times: np.ndarray, forced: np.ndarray) -> tuple[list[int], list[int], bool]:
+        here, sure = np.arange(len(times)), np.flatnonzero(forced)
+        close = np.searchsorted(times, times + interval)
+        ahead = np.minimum(close, np.append(sure, len(times))[np.searchsorted(sure, here, "right")])
+        end = np.where(ahead < len(times), ahead, here)
+        while (end != end[end]).any():  # successors of successors: log rounds
+            end = end[end]
+        # No time kept before the cell can pass over the first forced one, or one a whole interval inside.
+        stop = min(int(np.searchsorted(times, cell * width + interval - 1)), int(sure[0]) if len(sure) else len(times), len(times) - 1)
+        exits = times[end[: stop + 1]]
+        step = np.append(exits[1:] != exits[:-1], True)
+        return times[: stop + 1][step].tolist(), exits[step].tolist(), bool(forced[stop])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, times, flags = None, [], []
+        for batch in batches:
+            done = []
+            tasks, cells, at, forced = (column.to_pylist() for column in batch.columns)
+            for row in zip(tasks, cells, at, forced):
+                if key != row[:2]:
+                    done += [(*key, *steps(key[1], np.array(times), np.array(flags)))] if key else []
+                    key, times, flags = row[:2], [], []
+                times.append(row[2])
+                flags.append(row[3])
+            kind = batch.schema.field(0).type
+            yield _step_rows(done, kind)
+        if key:
+            yield _step_rows([(*key, *steps(key[1], np.array(times), np.array(flags)))], kind)
+
+    return run
+
+
+def _step_rows(rows: list[tuple], task: pa.DataType) -> pa.RecordBatch:
+    longs = pa.list_(pa.int64())
+    fields = [("task_id", task), ("__b", pa.int64()), ("bounds", longs), ("exits", longs), ("forced", pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _follow(interval: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The last time kept before each cell; a task's cells come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, task, last = False, None, None
+        for batch in batches:
+            before = []
+            for key, bounds, exits, forced in zip(*(batch.column(c).to_pylist() for c in ("task_id", "bounds", "exits", "forced"))):
+                if not begun or key != task:
+                    begun, task, last = True, key, None
+                before.append(last)
+                step = 0 if last is None else bisect_left(bounds, last + interval)
+                if step < len(bounds) or forced:
+                    last = exits[min(step, len(bounds) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.int64())], ["task_id", "__b", "__last"])
+
+    return run
 
 
 def throttle_stream(events: DataFrame, interval_ms: int = THROTTLE_MS) -> DataFrame:

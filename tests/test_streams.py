@@ -3,6 +3,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridleaf.streaming import feeds
@@ -33,6 +34,26 @@ def test_throttle(spark, monkeypatch):
     assert {(r.task_id, r.seq) for r in got} == plain_throttle(events, 80)
 
 
+@pytest.mark.parametrize("interval", [1, 80, 1300])
+def test_throttle_over_cells(spark, monkeypatch, interval):
+    """Close runs over many cells, equal times, an interval wider than a cell, nulls, columns of any name."""
+    monkeypatch.setattr(feeds, "BUCKET_MS", 200)
+    rng, at, events = random.Random(interval), -3000, []
+    for seq in range(3000):
+        at += rng.choice([0, 0, 1, 3, 20])
+        events.append((rng.choice(["hot", "hot", "warm", ""]), at, seq, rng.random() < 0.01, f"x{seq}"))
+    events += [("far", t, 9000 + i, False, None) for i, t in enumerate([0, 5000, 5010, 90_000])]
+    odd = [(None, 5, 1, None, "null task"), (None, 6, 2, None, "drop" if interval > 1 else "stay"), ("hot", None, 3, None, "no time")]
+    frame = spark.createDataFrame(events + odd, "task_id string, ts_ms long, seq long, forced boolean, __last string").repartition(4)
+    got = feeds.throttle(frame, interval)
+    assert got.columns == frame.columns
+    rows = got.collect()
+    assert {(r.task_id, r.seq) for r in rows if r.task_id and r.ts_ms is not None} | {("", r.seq) for r in rows if r.task_id == ""} == plain_throttle([e[:4] for e in events], interval)
+    assert {r["__last"] for r in rows if r.task_id is None or r.ts_ms is None} == {"null task", "no time"} | ({"stay"} if interval == 1 else set())
+    assert len(rows) == len({(r.task_id, r.seq) for r in rows})
+    assert feeds.throttle(frame.limit(0), interval).count() == 0 and feeds.throttle(frame, 0).count() == len(events + odd)
+
+
 def test_throttle_stream(spark, folder):
     events = event_rows(4, 300)
     frame = spark.createDataFrame(events, "task_id string, ts_ms long, seq long, forced boolean").withColumn("ts", F.timestamp_millis("ts_ms"))
