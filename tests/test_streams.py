@@ -43,7 +43,7 @@ def test_throttle_over_cells(spark, monkeypatch, interval):
         at += rng.choice([0, 0, 1, 3, 20])
         events.append((rng.choice(["hot", "hot", "warm", ""]), at, seq, rng.random() < 0.01, f"x{seq}"))
     events += [("far", t, 9000 + i, False, None) for i, t in enumerate([0, 5000, 5010, 90_000])]
-    odd = [(None, 5, 1, None, "null task"), (None, 6, 2, None, "drop" if interval > 1 else "stay"), ("hot", None, 3, None, "no time")]
+    odd = [(None, 5, 1, None, "null task"), (None, 6, 2, None, "drop" if interval > 1 else "stay"), ("hot", None, 8003, None, "no time")]
     frame = spark.createDataFrame(events + odd, "task_id string, ts_ms long, seq long, forced boolean, __last string").repartition(4)
     got = feeds.throttle(frame, interval)
     assert got.columns == frame.columns
