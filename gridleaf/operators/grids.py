@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DIGIT, cell_key, display_width, is_blank, strip
 from ..session import ship
-from .scan import CHUNK, islands, null_safe_join, number_rows
+from .scan import CHUNK, islands, null_safe_join
 
 # --- fixed values ---------------------------------------------------------
 ROW_OVERLAP = 0.35
@@ -189,18 +189,32 @@ def blocks_to_grid(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
 
 
 def trim_empty(cells: DataFrame, key: str = KEY) -> DataFrame:
-    """Drop all-blank rows, then all-blank columns, and renumber; for tables of any length."""
-    solid = cells.where(~is_blank(F.col("text")))
-    rows = solid.select(key, "row").distinct()
-    rows = number_rows(rows, [key], [F.floor(F.col("row") / CHUNK)], ["row"], "__row")
-    cols = solid.groupBy(key).agg(F.sort_array(F.collect_set("col")).alias("__cols"))
-    kept = null_safe_join(null_safe_join(cells, rows, [key, "row"]), cols, [key])
-    at = F.array_position("__cols", F.col("col"))
-    return (
-        kept.where(at > 0)
-        .withColumns({"row": F.col("__row").cast("int"), "col": (at - 1).cast("int")})
-        .drop("__row", "__cols")
+    """Drop all-blank rows, then all-blank columns, and renumber; for tables of any length.
+
+    Stretches of ``CHUNK`` rows are summed up (how many rows and which columns hold text); only these summaries meet by
+    table, and each goes back to its stretch beside the cells, so there is no join.
+    """
+    names = cells.columns
+    marked = cells.withColumns({"__solid": F.coalesce(~is_blank(F.col("text")), F.lit(False)), "__cell": F.floor(F.col("row") / CHUNK)})
+    sums = marked.groupBy(key, "__cell").agg(
+        F.size(F.collect_set(F.when(F.col("__solid"), F.col("row")))).alias("__rows"), F.collect_set(F.when(F.col("__solid"), F.col("col"))).alias("__some")
     )
+    table = W.partitionBy(key)
+    earlier = table.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(
+        key, "__cell", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__some").over(table)))).alias("__cols"),
+    )
+    both = marked.unionByName(sums, allowMissingColumns=True).repartition(key, "__cell")
+    line = W.partitionBy(key, "__cell", "row")
+    both = both.withColumn("__live", F.col("__before").isNotNull() | F.max("__solid").over(line)).where("__live")
+    stretch = W.partitionBy(key, "__cell").orderBy(F.col("__before").isNull(), "row")
+    both = both.withColumns(
+        {"__before": F.first("__before").over(stretch), "__cols": F.first("__cols").over(stretch), "__row": F.dense_rank().over(stretch), "__sum": F.col("__before").isNotNull()}
+    )
+    at = F.array_position("__cols", F.col("col"))
+    kept = both.where(~F.col("__sum") & (at > 0))
+    return kept.withColumns({"row": (F.col("__before") + F.col("__row") - 2).cast("int"), "col": (at - 1).cast("int")}).select(*names)
 
 
 def dense_rows(cells: DataFrame, key: str = KEY) -> DataFrame:

@@ -42,7 +42,9 @@ def stamp_plan(pages: DataFrame, template: str, values: Column, spec: Column, po
                opacity: float = 0.35, color: str = "#FFFFFF", font_ratio: float = 0.07, margin: float = 0.05, gap: float = 0.6,
                x_ratio: float = 0.5, y_ratio: float = 0.5) -> DataFrame:
     """``doc_id, page_no, text, font, font_size, cx, cy, angle, opacity, r, g, b``; blank texts give an error row."""
-    chosen = pages.where(page_selected(F.col("page_no"), page_ranges(spec, F.col("page_count"))))
+    # as a generator's output the list is parsed once a page, however often the test names it
+    listed = pages.withColumn("__r", F.explode(F.array(page_ranges(spec, F.col("page_count")))))
+    chosen = listed.where(page_selected(F.col("page_no"), F.col("__r")))
     size = F.greatest(F.lit(MIN_FONT), F.least("width", "height") * clamp(F.lit(font_ratio), *FONT_RATIO))
     told = chosen.select(
         "doc_id", "page_no", "width", "height", expand_template(F.lit(template), values).alias("text"), size.alias("font_size")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridleaf.functions import text as T
-from gridleaf.operators import chain, evaluate, files, jobs, pages, store
+from gridleaf.operators import chain, evaluate, files, grids, jobs, pages, store
 from gridleaf.operators.scan import number_rows, running_total
 from gridleaf.sources import inventory
 
@@ -64,6 +64,28 @@ def test_resolve_names(spark):
     assert skipped["/x/a.txt"] == "skipped" and skipped["/x/b.txt"] == "queued"
 
 
+def test_trim_empty_over_stretches(spark, monkeypatch):
+    """Blank rows at and over the borders of stretches, a wholly blank table, a null key, repeated cells, extra columns."""
+    monkeypatch.setattr(grids, "CHUNK", 4)
+    draw = random.Random(8)
+    cells = [
+        (case, r, c, draw.choice(["", " ", None, "x"]) if r % 7 < 4 and c != 2 and case != "blank" else "", r * 10 + c)
+        for case in ("a", None, "blank") for r in range(30) for c in range(5)
+    ]
+    cells += [("a", 1, 1, "again", -1), ("a", 9, 4, "far", -2)]
+    frame = spark.createDataFrame(cells, "image_id string, row int, col int, text string, __id int").repartition(3)
+    want = []
+    for case in ("a", None, "blank"):
+        mine = [c for c in cells if c[0] == case]
+        rows = sorted({c[1] for c in mine if (c[3] or "").strip()})
+        cols = sorted({c[2] for c in mine if (c[3] or "").strip()})
+        want += [(case, rows.index(c[1]), cols.index(c[2]), c[3], c[4]) for c in mine if c[1] in rows and c[2] in cols]
+    got = grids.trim_empty(frame)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert grids.trim_empty(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("chunk", [3, 65536])
 def test_resolve_names_against_a_loop(spark, monkeypatch, chunk):
     """Families with gaps, runs over the borders of cells, own numbers, null folders, repeated rows."""
