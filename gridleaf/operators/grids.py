@@ -23,6 +23,7 @@ SHEET_FORBIDDEN = r"[\[\]:*?/\\]"
 # --------------------------------------------------------------------------
 
 KEY = "image_id"
+NOTHING = "nothing was recognised"
 
 
 def _overlaps(a: Column, b: Column, tolerance: float) -> Column:
@@ -448,6 +449,18 @@ def image_to_table(blocks: DataFrame, answers: DataFrame | None = None, header_m
     return model.unionByName(image_to_table(left_over, None, header_mode))
 
 
+def tables_of_images(images: DataFrame, blocks: DataFrame, answers: DataFrame | None = None, header_mode: str = "auto") -> DataFrame:
+    """The rows of ``image_to_table`` with ``error`` for all of ``images`` (``image_id``): none comes back without an answer.
+
+    An image without a single cell (no boxes and no model table, or model rows without cells) gives one row that has only
+    ``image_id`` and the reason in ``error``. An image listed twice counts once, a null id is an image like any other, and
+    boxes and answers of images that are not listed are left out. Other columns of ``images`` are not read.
+    """
+    cells = image_to_table(blocks, answers, header_mode)
+    joined = null_safe_join(images.select(KEY).distinct(), cells, [KEY], "left")
+    return joined.withColumn("error", F.when(F.col("source").isNull(), F.lit(NOTHING)))
+
+
 def table_summary(cells: DataFrame) -> DataFrame:
     """Tables and rows per image."""
     tables = cells.groupBy(KEY, "table_no").agg((F.max("row") + 1).alias("rows"), F.max("source").alias("source"))

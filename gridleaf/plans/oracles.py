@@ -156,6 +156,11 @@ oracle("sheet_name", """SELECT p_partkey, CASE WHEN p_size = 1 THEN 'Sheet1' ELS
 oracle("image_to_table", f"""{BLOCKS} SELECT image_id, 0 AS table_no, CAST(r AS INT) AS row, 0 AS col, text, r = 0 AS is_header, 'model' AS source FROM blocks WHERE image_id % 4 < 3 AND c = 0
   UNION ALL SELECT image_id, 0, CAST(r AS INT), 1, text, r = 0, 'model' FROM blocks WHERE image_id % 4 < 3 AND c = 3
   UNION ALL SELECT image_id, 0, CAST(r AS INT), c, text, r = 0, 'grid' FROM blocks WHERE image_id % 4 = 3""")
+oracle("tables_of_images", f"""{BLOCKS}, t AS (SELECT image_id, 0 AS table_no, CAST(r AS INT) AS row, CASE c WHEN 3 THEN 1 ELSE 0 END AS col, text, r = 0 AS is_header, 'model' AS source
+    FROM blocks WHERE image_id % 4 < 3 AND c IN (0, 3)
+  UNION ALL SELECT image_id, 0, CAST(r AS INT), c, text, r = 0, 'grid' FROM blocks WHERE image_id % 4 = 3)
+  SELECT o_orderkey AS image_id, table_no, row, col, text, is_header, source, CASE WHEN source IS NULL THEN 'nothing was recognised' END AS error
+  FROM orders LEFT JOIN t ON o_orderkey = image_id""")
 oracle("table_summary", "SELECT l_orderkey AS image_id, CAST(1 AS BIGINT) AS tables, count(*) + 1 AS rows, true AS rebuilt FROM lineitem GROUP BY 1")
 
 # cells and text

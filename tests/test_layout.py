@@ -241,6 +241,24 @@ def test_model_tables_and_fallback(spark):
     assert cells[(2, 0, 0)] == ("cell", True, "grid") and cells[(3, 0, 0)][2] == "grid"
 
 
+def test_every_image_has_an_answer(spark):
+    bare = '{"tables":[{"headers":[],"rows":[[]]}]}'
+    answers = spark.createDataFrame([(2, 0, '{"tables":[{"headers":["a"],"rows":[["1"]]}]}'), (3, 0, bare), (4, 0, "cut {"), (9, 0, bare)], "image_id long, tile_id int, answer string")
+    blocks = spark.createDataFrame([(i, 0, "cell", 0, 0, 50, 20, 1.0) for i in (1, 3, None, 8)], BLOCK)
+    images = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (3, "x"), (4, "x"), (5, None), (None, "x")], "image_id long, error string")
+    for given in (answers, None):
+        rows = G.tables_of_images(images, blocks, given).collect()
+        assert {r.image_id for r in rows} == {1, 2, 3, 4, 5, None}
+        blank = [r for r in rows if r.error]
+        assert all(r.error == G.NOTHING and (r.table_no, r.row, r.col, r.text, r.is_header, r.source) == (None,) * 6 for r in blank)
+        told = given is answers  # image 3 has a model table without a cell, so its boxes don't count
+        assert sorted(r.image_id for r in blank) == ([3, 4, 5] if told else [2, 4, 5])
+        cells = sorted(((r.image_id, r.row, r.text, r.source) for r in rows if not r.error), key=repr)
+        model = [(2, 0, "a", "model"), (2, 1, "1", "model")] if told else [(3, 0, "cell", "grid")]
+        assert cells == sorted([(1, 0, "cell", "grid"), (None, 0, "cell", "grid"), *model], key=repr)
+    assert G.tables_of_images(images.where("false"), blocks, answers).count() == 0
+
+
 def test_sheet_names(spark):
     rows = spark.createDataFrame([("a[b]:c", 1, 2), (None, 2, 2), ("  ", 1, 1), ("x" * 40, 1, 1)], "t string, p int, n int")
     got = [r[0] for r in rows.select(G.sheet_name(F.col("t"), F.col("p"), F.col("n"))).collect()]
