@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import DIGIT, cell_key, display_width, is_blank, strip
+from ..functions.text import DIGIT, SPACE_CHARS, cell_key, display_width, is_blank, strip
 from ..session import ship
+from .images import by_group, numbers, running_max, whole_groups
 from .scan import CHUNK, islands, null_safe_join
 
 # --- fixed values ---------------------------------------------------------
@@ -26,13 +33,6 @@ KEY = "image_id"
 NOTHING = "nothing was recognised"
 
 
-def _overlaps(a: Column, b: Column, tolerance: float) -> Column:
-    """Vertical overlap of at least ``tolerance`` of the shorter interval."""
-    shared = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
-    shorter = F.greatest(F.lit(1), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"]))
-    return (shared > 0) & (shared / shorter >= tolerance)
-
-
 def first_rows(items: list[dict], tolerance: float) -> list[int]:
     """Rows (from 1) of a band's boxes, in their order, by the greedy rule in one pass.
 
@@ -71,44 +71,54 @@ def first_rows(items: list[dict], tolerance: float) -> list[int]:
     return out
 
 
-def _folded(tolerance: float):
-    @F.pandas_udf("array<int>")
-    def fold(bands: pd.Series) -> pd.Series:
-        return bands.map(lambda items: None if items is None else first_rows(list(items), tolerance))
+def rows_of_images(y0: np.ndarray, x0: np.ndarray, y1: np.ndarray, null: np.ndarray, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    """Rows (from 0) of the boxes of many images, each in the order of (y0, x0, y1).
 
-    return fold
+    No row crosses a height that no box crosses, so an image is cut into bands there. A band in which every box overlaps
+    the first is one row; the others, and images with a missing edge (``null``), are folded.
+    """
+    n = len(y0)
+    image = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    opens = np.zeros(n, bool)
+    opens[1:] = (y0[1:] >= running_max(y1, image)[:-1]) & (y0[1:] > y0[:-1])
+    opens &= ~np.logical_or.reduceat(null.any(axis=0), starts)[image]  # one band
+    opens[starts] = True
+    begin = np.flatnonzero(opens)
+    band = np.cumsum(opens) - 1
+    first = begin[band]
+    shared = np.minimum(y1, y1[first]) - np.maximum(y0, y0[first])
+    shorter = np.maximum(1, np.minimum(y1 - y0, (y1 - y0)[first]))
+    single = np.logical_and.reduceat((shared > 0) & (shared / shorter >= tolerance) & ~null.any(axis=0), begin)
+    at, rows = np.ones(n, np.int64), np.ones(len(begin), np.int64)
+    ends = np.append(begin[1:], n)
+    for k in np.flatnonzero(~single).tolist():
+        part = slice(begin[k], ends[k])
+        edges = [np.where(gone[part], None, v[part].astype(object)).tolist() for v, gone in zip((y0, x0, y1), null)]
+        at[part] = first_rows([dict(zip(("y0", "x0", "y1"), e)) for e in zip(*edges)], tolerance)
+        rows[k] = at[part].max()
+    before = np.cumsum(rows) - rows
+    return before[band] - before[band[starts]][image] + at - 1
+
+
+def _rows(batch: pa.RecordBatch, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    image = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+    edges, null = zip(*(numbers(batch, c) for c in ("y0", "x0", "y1")))
+    null = np.array(null)
+    keys = [k for v, gone in zip(edges[::-1], null[::-1]) for k in ((v, ~gone) if gone.any() else (v,))]
+    order = np.lexsort((*keys, image))
+    row = np.empty(batch.num_rows, np.int64)
+    row[order] = rows_of_images(*(v[order] for v in edges), null[:, order], starts, tolerance)
+    return row
 
 
 def group_rows(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
     """Adds ``row`` (from 0, top to bottom).
 
-    Rows are greedy: by (y0, x0, y1), a box joins the first row with a member it overlaps; equal ones share a row. No row
-    crosses a height that no box crosses, so an image is cut into bands there. The boxes travel in their band's array, on
-    the one exchange by image; a box without a height is a row of its own.
+    Rows are greedy: by (y0, x0, y1), a box joins the first row with a member it overlaps; equal ones share a row. A box
+    without a height is a row of its own. The boxes of an image meet on one exchange and one sort by image.
     """
-    ship(blocks.sparkSession)  # the fold runs in Python workers
-    names = blocks.columns
-    image = W.partitionBy(KEY)
-    down = image.orderBy("y0", "x0", "y1")
-    opens = F.coalesce(F.col("y0") >= F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    later = F.coalesce(F.col("y0") > F.lag("y0").over(down), F.lit(False))
-    marked = blocks.withColumn("__open", (opens & later).cast("int"))
-    marked = marked.withColumns({"__band": F.sum("__open").over(down.rowsBetween(W.unboundedPreceding, 0)), "__n": F.row_number().over(down)})
-    rest = F.struct(*[c for c in names if c != KEY]).alias("box")
-    bands = marked.groupBy(KEY, "__band").agg(F.array_sort(F.collect_list(F.struct("__n", rest))).alias("__items"))
-    boxes = F.transform("__items", lambda i: F.struct(*[i["box"][c].alias(c) for c in ("y0", "x0", "y1")]))
-    bands = bands.withColumn("__boxes", boxes)
-    # A band in which every box overlaps the first is one row; the others are folded.
-    single = F.coalesce(F.forall("__boxes", lambda m: _overlaps(m, F.element_at("__boxes", 1), tolerance)), F.lit(False))
-    bands = bands.withColumn("__hard", F.when(~single, F.col("__boxes"))).drop("__boxes")
-    at = F.coalesce(_folded(tolerance)("__hard"), F.transform("__items", lambda _: F.lit(1)))
-    placed = bands.withColumn("__at", at).drop("__hard")
-    before = F.sum(F.array_max("__at")).over(image.orderBy("__band").rowsBetween(W.unboundedPreceding, -1))
-    flat = placed.withColumn("__first", F.coalesce(before, F.lit(0)).cast("int")).select(
-        KEY, "__first", F.explode(F.arrays_zip("__items", "__at")).alias("e")
-    )
-    kept = [F.col(KEY) if c == KEY else F.col("e.__items.box")[c].alias(c) for c in names]
-    return flat.select(*kept, (F.col("__first") + F.col("e.__at") - 1).cast("int").alias("row"))
+    schema = StructType([*blocks.schema.fields, StructField("row", IntegerType())])
+    return by_group(blocks, [KEY], [], schema, lambda batch, starts: [*batch.columns, pa.array(_rows(batch, starts, tolerance), pa.int32())])
 
 
 def detect_columns(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
@@ -150,22 +160,115 @@ def assign_column(blocks: DataFrame, columns: DataFrame) -> DataFrame:
     return joined.withColumn("col", _column_of(F.col("spans"))).drop("spans")
 
 
+def _nearest_column(x0: int | None, x1: int | None, spans: list[tuple[int, int]]) -> int:
+    """``_column_of`` for one box without a width; an edge that is missing does not cut."""
+    if len(spans) <= 1:
+        return 0
+    width = max(1, x1 - x0) if None not in (x0, x1) else 1
+    shared = [max(0, (b if x1 is None else min(x1, b)) - (a if x0 is None else max(x0, a))) for a, b in spans]
+    best = max(range(len(spans)), key=lambda i: (shared[i], -i))
+    if shared[best] / width >= COLUMN_OVERLAP:
+        return best
+    return 0 if None in (x0, x1) else min(range(len(spans)), key=lambda i: (abs(spans[i][0] + spans[i][1] - x0 - x1), i))
+
+
+def _stretches(batch: pa.RecordBatch, starts: np.ndarray, min_gap: int) -> np.ndarray:
+    """The column of each box: the stretch of x in which a box with a width lies, the nearest column for one without."""
+    n = batch.num_rows
+    image = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    (x0, no0), (x1, no1) = numbers(batch, "x0"), numbers(batch, "x1")
+    wide = ~no0 & ~no1 & (x1 > x0)
+    order = np.flatnonzero(wide)
+    order = order[np.lexsort((x0[order], image[order]))]
+    col = np.zeros(n, np.int64)
+    if len(order):
+        left, right, own = x0[order], x1[order], image[order]
+        new = np.append(True, own[1:] != own[:-1])
+        opens = np.zeros(len(order), bool)
+        opens[1:] = left[1:] - running_max(right, own)[:-1] >= min_gap
+        opens |= new
+        stretch = np.cumsum(opens) - 1
+        col[order] = stretch - stretch[new][np.cumsum(new) - 1]
+    loose = np.flatnonzero(~wide)
+    if len(loose):
+        spans: dict[int, list[tuple[int, int]]] = {}
+        if len(order):
+            begin = np.flatnonzero(opens)
+            for i, a, b in zip(own[begin].tolist(), left[begin].tolist(), np.maximum.reduceat(right, begin).tolist()):
+                spans.setdefault(i, []).append((a, b))
+        for k in loose.tolist():
+            col[k] = _nearest_column(None if no0[k] else x0[k], None if no1[k] else x1[k], spans.get(int(image[k]), []))
+    return col
+
+
 def place_blocks(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     """Adds ``row`` and ``col`` on one exchange by image.
 
     A box with a width lies inside the stretch of x that it belongs to; only one without goes by the nearest column.
     """
-    image = W.partitionBy(KEY)
-    across = image.orderBy("x0")
-    wide = F.col("x1") > F.col("x0")
-    reach = F.max(F.when(wide, F.col("x1"))).over(across.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.coalesce(wide & (F.col("x0") - reach >= min_gap), F.lit(False)).cast("int")
-    marked = blocks.withColumn("__opens", opens).withColumn("__stretch", F.sum("__opens").over(across.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    stretch = W.partitionBy(KEY, "__stretch")
-    span = F.struct(F.col("__stretch").alias("col"), F.min(F.when(wide, F.col("x0"))).over(stretch).alias("x0"), F.max(F.when(wide, F.col("x1"))).over(stretch).alias("x1"))
-    marked = marked.withColumn("__span", span).withColumn("__spans", F.sort_array(F.collect_set("__span").over(image)))
-    col = F.when(wide, F.col("__stretch")).otherwise(_column_of(F.filter("__spans", lambda s: s["x0"].isNotNull())))
-    return group_rows(marked.withColumn("col", col).drop("__opens", "__stretch", "__span", "__spans"))
+    schema = StructType([*blocks.schema.fields, StructField("col", IntegerType()), StructField("row", IntegerType())])
+    return by_group(
+        blocks, [KEY], [], schema,
+        lambda batch, starts: [*batch.columns, pa.array(_stretches(batch, starts, min_gap), pa.int32()), pa.array(_rows(batch, starts, ROW_OVERLAP), pa.int32())],
+    )
+
+
+def _ranks(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Dense rank (from 0) of a value in its group; groups ascend."""
+    if not len(group):
+        return group
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    new = np.append(True, g[1:] != g[:-1])
+    rank = np.cumsum(np.append(True, (v[1:] != v[:-1]) | new[1:])) - 1
+    out = np.empty(len(group), np.int64)
+    out[order] = rank - rank[new][np.cumsum(new) - 1]
+    return out
+
+
+def _cells(batch: pa.RecordBatch, starts: np.ndarray, min_gap: int) -> list[pa.Array]:
+    """Cells of many images: image, row, col, text and, where boxes tell of digits, whether the row is the header and whether one was met."""
+    image = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+    row, col = _rows(batch, starts, ROW_OVERLAP), _stretches(batch, starts, min_gap)
+    order = np.lexsort((col, row, image))
+    i, r, c = image[order], row[order], col[order]
+    begin = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])))
+    sizes = np.diff(np.append(begin, len(order)))
+    text = pc.fill_null(batch.column("text"), "").take(pa.array(order[begin]))
+    several = np.flatnonzero(sizes > 1)
+    if len(several):
+        inside = order[np.repeat(begin[several] - np.cumsum(sizes[several]) + sizes[several], sizes[several]) + np.arange(sizes[several].sum())]
+        named = [batch.column(n).take(pa.array(inside)).to_pylist() for n in ("x0", "y0", "block_id", "text")]
+        joined, at = text.to_pylist(), 0
+        for k, size in zip(several.tolist(), sizes[several].tolist()):
+            parts = sorted(zip(*(n[at : at + size] for n in named)), key=lambda p: [(v is not None, v) if v is not None else (False,) for v in p])
+            joined[k], at = " ".join(p[3] for p in parts if p[3] is not None), at + size
+        text = pa.array(joined, text.type)
+    text = pc.utf8_trim(text, SPACE_CHARS)
+    long = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(long > 0)
+    i, r, c = i[begin][kept], r[begin][kept], c[begin][kept]
+    row, col = _ranks(i, r), _ranks(i, c)
+    out = [batch.column(KEY).take(pa.array(starts[i])), pa.array(row, pa.int32()), pa.array(col, pa.int32()), text.take(pa.array(kept))]
+    if "__digit" in batch.schema.names and len(i):
+        digit = np.logical_or.reduceat(pc.fill_null(batch.column("__digit"), False).to_numpy(zero_copy_only=False)[order], begin)[kept]
+        line = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (row[1:] != row[:-1])))
+        fits = np.logical_and.reduceat(~digit & (long[kept] <= HEADER_CHARS), line) & (row[line] < HEADER_ROWS)
+        header = np.full(len(starts), HEADER_ROWS, np.int64)
+        np.minimum.at(header, i[line][fits], row[line][fits])
+        met = header < HEADER_ROWS
+        out += [pa.array(row == np.where(met, header, 0)[i]), pa.array(met[i])]
+    elif "__digit" in batch.schema.names:
+        out += [pa.array([], pa.bool_())] * 2
+    return out
+
+
+def _grid(blocks: DataFrame, min_gap: int, header: bool) -> DataFrame:
+    """Cells of the grids, with ``is_header`` and ``met`` (see ``mark_header``) where they are asked for: all of it in one pass over the boxes of an image."""
+    used = blocks.select(KEY, "block_id", "text", "x0", "y0", "x1", "y1", *([F.col("text").rlike(DIGIT).alias("__digit")] if header else []))
+    flags = [StructField(c, BooleanType()) for c in ("is_header", "met")] if header else []
+    schema = StructType([blocks.schema[KEY], StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("text", StringType()), *flags])
+    return by_group(used, [KEY], [], schema, lambda batch, starts: _cells(batch, starts, min_gap))
 
 
 def blocks_to_grid(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
@@ -174,19 +277,12 @@ def blocks_to_grid(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
     A missing (row, col) is the empty cell; ``dense_rows`` fills it in. The cells of one image are
     bounded by its size in pixels, whatever its number of boxes.
     """
-    parts = F.array_sort(F.collect_list(F.struct("x0", "y0", "block_id", "text")))
-    text = strip(F.array_join(F.transform(parts, lambda p: p["text"]), " "))
-    cells = (
-        place_blocks(blocks, min_gap)
-        .groupBy(KEY, "row", "col")
-        .agg(text.alias("text"))
-        .where(F.length("text") > 0)
-    )
-    row = F.dense_rank().over(W.partitionBy(KEY).orderBy("row")) - 1
-    used = F.sort_array(F.collect_set("col").over(W.partitionBy(KEY)))
-    return cells.select(
-        KEY, row.cast("int").alias("row"), (F.array_position(used, F.col("col")) - 1).cast("int").alias("col"), "text"
-    )
+    return _grid(blocks, min_gap, False)
+
+
+def grid_with_header(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
+    """``mark_header(blocks_to_grid(blocks), grid=True)`` in the pass that makes the grid, so the cells need no exchange."""
+    return _grid(blocks, min_gap, True)
 
 
 def trim_empty(cells: DataFrame, key: str = KEY) -> DataFrame:
@@ -219,25 +315,61 @@ def trim_empty(cells: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def dense_rows(cells: DataFrame, key: str = KEY) -> DataFrame:
-    """Wide form, one row per table row: ``key, row, cells array<string>`` with empty cells filled in."""
-    widths = cells.groupBy(key).agg((F.max("col") + 1).alias("__w"))
-    rows = cells.groupBy(key, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("__m"))
-    filled = F.transform(
-        F.sequence(F.lit(0), F.col("__w") - 1), lambda c: F.coalesce(F.try_element_at("__m", c.cast("int")), F.lit(""))
-    )
-    return null_safe_join(rows, widths, [key]).select(key, "row", filled.alias("cells"))
+    """Wide form, one row per table row: ``key, row, cells array<string>`` with empty cells filled in.
+
+    The width of a table comes ahead of its cells on their one exchange, so a task holds a few rows whatever the table's length.
+    """
+    ship(cells.sparkSession)
+    widths = cells.groupBy(key).agg((F.max("col") + 1).cast("bigint").alias("__w"))
+    both = cells.select(key, "row", "col", "text").unionByName(widths, allowMissingColumns=True)
+    placed = both.repartition(key).sortWithinPartitions(key, F.col("__w").isNull(), "row")
+    schema = StructType([cells.schema[key], cells.schema["row"], StructField("cells", ArrayType(StringType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 0
+        for batch, starts in whole_groups(batches, [key, "__w", "row"]):
+            ahead = batch.column("__w").is_valid().to_numpy(zero_copy_only=False)
+            w, _ = numbers(batch, "__w")
+            told = np.maximum.accumulate(np.where(ahead, np.arange(len(w)), -1))
+            w = np.where(told >= 0, w[told], width)
+            width = int(w[-1])
+            lines = starts[~ahead[starts]]
+            if not len(lines):
+                continue
+            at = np.flatnonzero(~ahead)
+            ends = np.cumsum(w[lines])
+            col, missing = numbers(batch, "col")
+            if missing[at].any():
+                raise ValueError("a cell without a column")
+            line = np.searchsorted(lines, at, "right") - 1
+            seen = at[col[at] >= 0]
+            spot = (ends - w[lines])[line[col[at] >= 0]] + col[seen]
+            if len(np.unique(spot)) < len(spot):
+                raise ValueError("two cells at one place of a table")
+            source = np.full(int(ends[-1]), len(w), np.int64)
+            source[spot] = seen
+            texts = pa.concat_arrays([pc.fill_null(batch.column("text"), ""), pa.array([""], batch.column("text").type)])
+            made = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), texts.take(pa.array(source)))
+            first = pa.array(lines)
+            made = [batch.column(key).take(first), batch.column("row").take(first), made]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+
+    return placed.mapInArrow(run, schema)
 
 
 def guess_header_row(cells: DataFrame, key: str = KEY) -> DataFrame:
-    """``key, header, met``: first of rows 0-4 with text, no digit and only short cells; else 0, and ``met`` is false."""
+    """``key, header, met``: first of rows 0-4 with text, no digit and only short cells; else 0, and ``met`` is false.
+
+    One row for a table already before the exchange.
+    """
     solid = ~is_blank(F.col("text"))
     plain = ~F.col("text").rlike(DIGIT) & (F.length("text") <= HEADER_CHARS)
-    zone = F.least(F.col("row"), F.lit(HEADER_ROWS))
-    rows = cells.groupBy(key, zone.alias("__row")).agg(
-        F.coalesce(F.bool_and(F.when(solid, plain)), F.lit(False)).alias("__ok")
-    )
-    first = F.min(F.when((F.col("__row") < HEADER_ROWS) & F.col("__ok"), F.col("__row")))
-    return rows.groupBy(key).agg(F.coalesce(first, F.lit(0)).cast("int").alias("header"), first.isNotNull().alias("met"))
+    marked = cells.select(key, "row", F.when(F.col("row") < HEADER_ROWS, F.when(solid, plain)).alias("__plain"))
+    fits = [F.bool_and(F.when(F.col("row") == k, F.col("__plain"))).alias(f"__ok{k}") for k in range(HEADER_ROWS)]
+    rows = marked.groupBy(key).agg(*fits)
+    first = F.coalesce(*[F.when(F.col(f"__ok{k}"), F.lit(k)) for k in range(HEADER_ROWS)])
+    return rows.select(key, F.coalesce(first, F.lit(0)).cast("int").alias("header"), first.isNotNull().alias("met"))
 
 
 def mark_header(cells: DataFrame, key: str = KEY, mode: str = "auto", grid: bool = False) -> DataFrame:
@@ -432,7 +564,7 @@ def image_to_table(blocks: DataFrame, answers: DataFrame | None = None, header_m
     else the grid rebuilt from the boxes. No row is lost.
     """
     if answers is None:
-        grid = mark_header(blocks_to_grid(blocks), mode=header_mode, grid=True)
+        grid = grid_with_header(blocks) if header_mode == "auto" else mark_header(blocks_to_grid(blocks), mode=header_mode)
         return grid.select(KEY, F.lit(0).alias("table_no"), "row", "col", "text", "is_header", F.lit("grid").alias("source"))
     pieces = model_tables(answers)
     merged = merge_fragments(pieces)
@@ -462,8 +594,8 @@ def tables_of_images(images: DataFrame, blocks: DataFrame, answers: DataFrame |
 
 
 def table_summary(cells: DataFrame) -> DataFrame:
-    """Tables and rows per image."""
-    tables = cells.groupBy(KEY, "table_no").agg((F.max("row") + 1).alias("rows"), F.max("source").alias("source"))
-    return tables.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"), F.max(F.col("source") == "grid").alias("rebuilt")
-    )
+    """Tables and rows per image. Flags instead of the greatest ``source``, so that no aggregate has to sort the cells."""
+    source = F.col("source")
+    rebuilt = F.when(F.count(source) > 0, F.bool_or(source == "grid") & ~F.bool_or(source > "grid"))
+    tables = cells.groupBy(KEY, "table_no").agg((F.max("row") + 1).alias("rows"), rebuilt.alias("rebuilt"))
+    return tables.groupBy(KEY).agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"), F.max("rebuilt").alias("rebuilt"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import parse_cell
-from ..operators.grids import blocks_to_grid, mark_header
+from ..operators.grids import grid_with_header
 
 
 def invoice_totals(blocks: DataFrame, amount_col: int = 3) -> DataFrame:
@@ -14,7 +14,7 @@ def invoice_totals(blocks: DataFrame, amount_col: int = 3) -> DataFrame:
 
     Only a row that looks like a header is left out; an invoice without one keeps all its rows.
     """
-    cells = mark_header(blocks_to_grid(blocks), grid=True).where(~(F.col("is_header") & F.col("met")) & (F.col("col") == amount_col))
+    cells = grid_with_header(blocks).where(~(F.col("is_header") & F.col("met")) & (F.col("col") == amount_col))
     cell = parse_cell(F.col("text"))
     amount = F.coalesce(cell["whole"].cast("decimal(38,2)"), cell["num"].cast("decimal(18,2)"))
     return cells.groupBy("image_id").agg(
