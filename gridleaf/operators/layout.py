@@ -7,11 +7,14 @@ is cut wherever no box reaches across.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.geometry import (
     MAX_TILES, READABLE_LINE, TILE_OVERLAP, max_tile_side, model_scale, sanity_line_height,
@@ -19,6 +22,7 @@ from ..functions.geometry import (
 from ..functions.text import LINE_BREAK, compact, is_blank, needs_cjk
 from ..session import ship
 from .folds import without_overlap
+from .images import by_group, numbers
 from .scan import CHUNK, null_safe_join
 
 # --- fixed values ---------------------------------------------------------
@@ -213,92 +217,86 @@ def dedupe_overlap(blocks: DataFrame) -> DataFrame:
     return placed.mapInArrow(lambda batches: without_overlap(batches, arrow, SAME_IOU, NEAR_RATIO, NEAR_MIN), StructType([StructField(f.name, f.dataType) for f in kind]))
 
 
-def reading_order(blocks: DataFrame) -> DataFrame:
-    """Adds ``line`` and ``pos`` (both from 0): lines by running mean of y-centres, then x.
+def _lines(cy: np.ndarray, tol: float) -> np.ndarray:
+    """Lines (from 0) of ascending centres: a centre joins the open line unless it lies more than ``tol`` below the line's mean.
 
-    Blocks with one y-centre always fall on one line, so the fold keeps open lines only and runs over counted positions
-    (centre, height), cut where two centres are further apart than the tolerance. Only the counted
-    positions of an image are put in order; blocks get theirs back by an equi join.
+    Centres ascend, so a line whose mean has fallen behind by the tolerance never takes another: one line is open at a time.
     """
-    cells = ["__cy", "__cx", "__h", "__chunk"]
-    marked = blocks.select(
-        "*",
-        (F.col("y0") + F.col("y1")).alias("__cy"),
-        (F.col("x0") + F.col("x1")).alias("__cx"),
-        _height().alias("__h"),
-        F.floor(F.col("block_id") / CHUNK).alias("__chunk"),
-    )
-    counted = marked.groupBy("image_id", *cells).agg(F.count(F.lit(1)).alias("n"))
-    image = W.partitionBy("image_id")
-    so_far = image.orderBy("__h").rowsBetween(W.unboundedPreceding, 0)
-    counted = counted.withColumn("upto", F.sum("n").over(so_far)).withColumn("total", F.sum("n").over(image))
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("__h"))).over(image)
+    values, counts = np.unique(cy, return_counts=True)
+    out, line, total, n = [], -1, 0.0, 0
+    for v, k in zip(values.tolist(), counts.tolist()):
+        if line < 0 or v - total / n > tol:
+            line, total, n = line + 1, 0.0, 0
+        total, n = total + v * k, n + k
+        out.append(line)
+    return np.repeat(out, counts)
+
+
+def _read(batch: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``line`` and ``pos`` of the blocks of many images."""
+    n = batch.num_rows
+    sizes = np.diff(np.append(starts, n))
+    image = np.repeat(np.arange(len(starts)), sizes)
+    (x0, nx0), (y0, ny0), (x1, nx1), (y1, ny1), (block, nb) = (numbers(batch, c) for c in (*BOX, "block_id"))
     # Centres are kept doubled (whole numbers), hence twice the tolerance.
-    counted = counted.withColumn("tol", 2 * F.greatest(F.lit(MIN_TOLERANCE), median * ROW_TOLERANCE))
-    down = image.orderBy("__cy")
-    gap = F.coalesce(F.col("__cy") - F.lag("__cy").over(down) > F.col("tol"), F.lit(False))
-    counted = counted.withColumn("gap", gap.cast("int")).withColumn(
-        "zone", F.sum("gap").over(down.rangeBetween(W.unboundedPreceding, 0))
-    )
-    zones = counted.groupBy("image_id", "zone").agg(
-        F.first("tol").alias("tol"), F.array_sort(F.collect_list(F.struct(*cells, "n"))).alias("items")
-    )
-    line = "struct<k:int,s:double,n:bigint>"
-    state = f"struct<open:array<{line}>,lines:int,at:array<int>>"
-    empty = F.struct(F.array().cast(f"array<{line}>").alias("open"), F.lit(0).alias("lines"), F.array().cast("array<int>").alias("at"))
-
-    def place(acc: Column, item: Column) -> Column:
-        # Centres ascend, so a line whose mean has fallen behind by the tolerance never takes another.
-        open_ = F.filter(acc["open"], lambda r: item["__cy"] - r["s"] / r["n"] <= F.col("tol"))
-        first, found = F.get(open_, F.lit(0)), F.size(open_) > 0
-        number = F.when(found, first["k"]).otherwise(acc["lines"] + 1)
-        grown = F.struct(
-            number.alias("k"), (F.coalesce(first["s"], F.lit(0.0)) + item["__cy"] * item["n"]).alias("s"), (F.coalesce(first["n"], F.lit(0)) + item["n"]).alias("n")
-        )
-        return F.struct(
-            F.concat(F.array(grown), F.slice(open_, 2, F.greatest(F.size(open_) - 1, F.lit(0)))).alias("open"),
-            (acc["lines"] + F.when(found, 0).otherwise(1)).alias("lines"),
-            F.concat(acc["at"], F.array(number)).alias("at"),
-        ).cast(state)
-
-    folded = F.aggregate("items", empty.cast(state), place, lambda acc: acc["at"])
-    one_row = F.transform("items", lambda _: F.lit(1))
+    no_x, no_y = nx0 | nx1, ny0 | ny1
+    cy, cx, height = np.where(no_y, 0, y0 + y1), np.where(no_x, 0, x0 + x1), np.maximum(1, np.where(no_y, 1, y1 - y0))
+    chunk = np.where(nb, -1, block // CHUNK)
+    median = height[np.lexsort((height, image))][starts + sizes // 2]
+    tol = (2 * np.maximum(MIN_TOLERANCE, median * ROW_TOLERANCE))[image]
+    # Boxes without a y-centre come first, each place a line of its own.
+    order = np.lexsort((np.where(no_y, chunk, 0), np.where(no_y, cx, 0), no_y & ~no_x, cy, ~no_y, image))
+    i, c, none = image[order], cy[order], no_y[order]
+    new = np.append(True, i[1:] != i[:-1])
+    opens = new.copy()
+    opens[1:] |= ~none[1:] & (none[:-1] | (c[1:] - c[:-1] > tol[order][1:]))
+    spot = [a[order] for a in (cx, no_x, chunk, nb)]
+    opens[1:] |= none[1:] & np.logical_or.reduce([a[1:] != a[:-1] for a in spot])
+    begin = np.flatnonzero(opens)
+    ends = np.append(begin[1:], n) - 1
+    inside = np.zeros(n, np.int64)
+    lines = np.ones(len(begin), np.int64)
     # A zone no taller than the tolerance is one line: a mean never leaves the span of its members.
-    within = F.element_at("items", -1)["__cy"] - F.element_at("items", 1)["__cy"] <= F.col("tol")
-    placed = zones.withColumn("at", F.when(within, one_row).otherwise(folded))
-    before = F.sum(F.array_max("at")).over(image.orderBy("zone").rowsBetween(W.unboundedPreceding, -1))
-    placed = placed.withColumn("first", F.coalesce(before, F.lit(0)))
-    lines = placed.select("image_id", "first", F.explode(F.arrays_zip("items", "at")).alias("e")).select(
-        "image_id", *[F.col(f"e.items.{c}").alias(c) for c in cells], F.col("e.items.n").alias("n"),
-        (F.col("first") + F.col("e.at") - 1).alias("line"),
-    )
-    ahead = image.orderBy("line", "__cx", "__cy", "__chunk", "__h").rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.withColumn("__first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    # Equal centres with different heights stay in input order inside one (cx, cy, chunk).
-    spot = ["image_id", "__cy", "__cx", "__chunk"]
-    lines = lines.groupBy(*spot).agg(F.min("line").alias("line"), F.min("__first").alias("__first"))
-    inside = F.row_number().over(W.partitionBy(*spot).orderBy("block_id")) - 1
-    return (
-        null_safe_join(marked, lines, spot)
-        .withColumn("pos", (F.col("__first") + inside).cast("bigint"))
-        .withColumn("line", F.col("line").cast("bigint"))
-        .drop(*cells, "__first")
-    )
+    for k in np.flatnonzero(~none[begin] & (c[ends] - c[begin] > tol[order][begin])).tolist():
+        part = slice(begin[k], ends[k] + 1)
+        inside[part] = _lines(c[part], tol[order[begin[k]]])
+        lines[k] = inside[ends[k]] + 1
+    zone = np.cumsum(opens) - 1
+    before = np.cumsum(lines) - lines
+    line = np.empty(n, np.int64)
+    line[order] = before[zone] - before[zone[new]][i] + inside
+    order = np.lexsort((block, ~nb, cy, cx, ~no_x, line, image))
+    pos = np.empty(n, np.int64)
+    pos[order] = np.arange(n) - np.repeat(starts, sizes)
+    return line, pos
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """Adds ``line`` and ``pos`` (both from 0): lines by running mean of y-centres, then x, y and input order.
+
+    The boxes of an image meet on one exchange and one sort by image; blocks with one y-centre always fall on one line. Boxes without a
+    y-centre come first.
+    """
+    schema = StructType([*blocks.schema.fields, StructField("line", LongType()), StructField("pos", LongType())])
+    return by_group(blocks, ["image_id"], [], schema, lambda batch, starts: [*batch.columns, *map(pa.array, _read(batch, starts))])
 
 
 def page_text(ordered: DataFrame, key: str = "image_id", part_lines: int = PART_LINES) -> DataFrame:
     """``key, part, text``: non-blank texts in order, joined by line ends.
 
     An ordinary page is one part. A page beyond ``part_lines`` goes on in further parts, so no page
-    is gathered whole in one task and no text is lost.
+    is gathered whole in one task and no text is lost. Lines are sorted by part and joined in the batch; no list of them is built.
     """
-    part = F.floor(F.col("pos") / part_lines)
-    lines = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return (
-        ordered.where(~is_blank(F.col("text")))
-        .groupBy(key, part.alias("part"))
-        .agg(F.array_join(F.transform(lines, lambda e: e["text"]), "\n").alias("text"))
-    )
+    rows = ordered.where(~is_blank(F.col("text"))).select(key, F.floor(F.col("pos") / part_lines).alias("part"), "pos", "text")
+    schema = StructType([ordered.schema[key], StructField("part", LongType()), StructField("text", StringType())])
+
+    def join(batch: pa.RecordBatch, starts: np.ndarray) -> list[pa.Array]:
+        texts = batch.column("text").cast(pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, batch.num_rows), pa.int32()), texts)
+        first = pa.array(starts)
+        return [batch.column(key).take(first), batch.column("part").take(first), pc.binary_join(lists, "\n")]
+
+    return by_group(rows, [key, "part"], ["pos", "text"], schema, join)
 
 
 def _mean_confidence() -> Column:
