@@ -127,8 +127,13 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[rows]
         return rows, (w / np.linalg.norm(w)).astype(np.float32)
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k examples with the greatest cosine above zero (ties: the smaller place), nearest first; and the cosines."""
+    def nearest(self, queries, k, only: int | None = None):
+        """For each query the k examples with the greatest cosine above zero (ties: the smaller place), nearest first; and the cosines.
+
+        ``queries`` are vectors (rows, weights); ``nearest(rows, weights, k)`` gives the answer for one vector.
+        """
+        if only is not None:
+            return self.nearest([(queries, k)], only)[0]
         common = np.zeros((len(queries), len(self.tops)), np.float32)
         total = np.empty((len(queries), len(self.names)))
         for i, (rows, w) in enumerate(queries):
