@@ -15,8 +15,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from ..functions.text import DIGIT, SPACE_CHARS, cell_key, display_width, is_blank, strip
 from ..session import ship
-from .images import by_group, numbers, running_max, whole_groups
-from .scan import CHUNK, islands, null_safe_join
+from .images import by_group, numbers, running_max, starts_of, whole_groups
+from .scan import CHUNK, null_safe_join
 
 # --- fixed values ---------------------------------------------------------
 ROW_OVERLAP = 0.35
@@ -122,12 +122,38 @@ def group_rows(blocks: DataFrame, tolerance: float = ROW_OVERLAP) -> DataFrame:
 
 
 def detect_columns(blocks: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
-    """``image_id, col, x0, x1``: stretches of x separated by at least ``min_gap`` uncovered pixels."""
-    wide = blocks.where(F.col("x1") > F.col("x0"))
-    spans = islands(wide, [KEY], "x0", "x1", min_gap)
-    return spans.groupBy(KEY, F.col("island").cast("int").alias("col")).agg(
-        F.min("x0").alias("x0"), F.max("__high").alias("x1")
-    )
+    """``image_id, col, x0, x1``: stretches of x separated by at least ``min_gap`` uncovered pixels.
+
+    Spans are read from left to right; a task holds a batch and the last stretch, whatever an image's number of boxes.
+    """
+    ship(blocks.sparkSession)
+    spans = blocks.where(F.col("x1") > F.col("x0")).select(KEY, "x0", "x1").repartition(KEY).sortWithinPartitions(KEY, "x0")
+    schema = StructType([blocks.schema[KEY], StructField("col", IntegerType()), blocks.schema["x0"], blocks.schema["x1"]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number = None, 0  # the stretch that is still open: a row of its own; and its number
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c) for c in (KEY, "x0", "x1")]
+            if last is not None:
+                columns = [pa.concat_arrays([a, b]) for a, b in zip(last, columns)]
+            begin = starts_of(columns[0])
+            image = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(columns[0]))))
+            left, right = (c.to_numpy(zero_copy_only=False) for c in columns[1:])
+            opens = np.zeros(len(left), bool)
+            opens[1:] = left[1:] - running_max(right, image)[:-1] >= min_gap
+            opens[begin] = True
+            at = np.flatnonzero(opens)
+            col = np.arange(len(at)) - np.searchsorted(at, begin)[image[at]] + np.where(image[at] == 0, number, 0)
+            made = [columns[0].take(pa.array(at)), pa.array(col), pa.array(left[at]), pa.array(np.maximum.reduceat(right, at))]
+            last, number = [made[k].slice(len(at) - 1) for k in (0, 2, 3)], int(col[-1])
+            yield pa.RecordBatch.from_arrays([c.slice(0, len(at) - 1).cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([last[0], pa.array([number]), *last[1:]], arrow)], schema=arrow)
+
+    return spans.mapInArrow(run, schema)
 
 
 def column_spans(columns: DataFrame) -> DataFrame:
