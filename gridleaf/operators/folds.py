@@ -6,10 +6,12 @@ from collections.abc import Iterable, Iterator
 from math import floor
 from statistics import median
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from .images import numbers, running_max
 
-#: Rows of a result batch.
-ROWS = 8192
 #: Heads of clusters up to which a zone needs no grid.
 FEW = 12
 
@@ -88,46 +90,90 @@ def kept_readings(boxes: list[tuple], iou: float, ratio: float, least: int) -> l
     return clusters.best
 
 
-def without_overlap(batches: Iterable[pa.RecordBatch], schema: pa.Schema, iou: float, ratio: float, least: int) -> Iterator[pa.RecordBatch]:
-    """From rows ``image_id, block_id, text, x0, y0, x1, y1, confidence, key`` in the order of image and y0 (nulls first) to those kept.
+def _reach(low: np.ndarray, high: np.ndarray, height: np.ndarray, ratio: float, least: int) -> np.ndarray:
+    """Where, along one axis, a later box can no longer be at the place of this one."""
+    return np.maximum(high, low + np.maximum(least, np.floor(height * ratio).astype(np.int64)))
+
+
+def zones(group: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, ratio: float, least: int) -> np.ndarray:
+    """A zone's number for each box: groups cut where no box reaches in y, then in x. Boxes of two zones are never at one place."""
+    zone = group
+    for low, high in ((y0, y1), (x0, x1)):
+        order = np.lexsort((low, zone))
+        z, start = zone[order], low[order]
+        new = np.append(True, z[1:] != z[:-1])
+        cut = new.copy()
+        cut[1:] |= start[1:] > running_max(_reach(start, high[order], (y1 - y0)[order], ratio, least), np.cumsum(new) - 1)[:-1]
+        zone = np.empty(len(order), np.int64)
+        zone[order] = np.cumsum(cut) - 1
+    return zone
+
+
+def same_place(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], iou: float, ratio: float, least: int) -> np.ndarray:
+    """``Readings._same_place`` for many pairs of (x0, y0, x1, y1)."""
+    shared = np.maximum(0, np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])) * np.maximum(0, np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]))
+    area = sum(np.maximum(1, (e[2] - e[0]) * (e[3] - e[1])) for e in (a, b)) - shared
+    near = np.maximum(least, np.floor(np.minimum(a[3] - a[1], b[3] - b[1]) * ratio))
+    close = np.logical_and.reduce([np.abs(p - q) <= near for p, q in zip(a, b)])
+    return ((shared > 0) & (shared / np.where(shared > 0, area, 1) >= iou)) | close
+
+
+def kept_of_images(batch: pa.RecordBatch, starts: np.ndarray, iou: float, ratio: float, least: int) -> np.ndarray:
+    """Places of the boxes that stay, for rows ``image_id, block_id, text, x0, y0, x1, y1, confidence, key`` of whole images.
 
-    A zone ends where no box reaches, so a zone is all that is held. A box without an edge is at no place: it stays, its
-    copies apart.
+    Zones of one or two boxes, which is nearly all, are decided together; the others one by one. A box without an edge is at no
+    place: it stays, its copies apart.
     """
-    out: list[tuple] = []
-    zone: list[tuple] = []
-    loose: dict[tuple, tuple] = {}
-    image, bottom = object(), 0
-
-    def solved() -> None:
-        nonlocal zone, loose
-        for c, i, _, text, *box in [*(v[:-1] for v in loose.values()), *(kept_readings(zone, iou, ratio, least) if zone else [])]:
-            out.append((image, i, text, *box, c))
-        zone, loose = [], {}
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    for held in batches:
-        for image_id, i, text, x0, y0, x1, y1, c, key in zip(*(col.to_pylist() for col in held.columns)):
-            if image_id != image:
-                solved()
-                image, bottom = image_id, None
-            if None in (x0, y0, x1, y1):
-                spot, order = (key, x0, y0, x1, y1), (c is not None, -(c or 0.0), i is not None, i or 0)
-                if spot not in loose or order < loose[spot][-1]:
-                    loose[spot] = (c, i, key, text, x0, y0, x1, y1, order)
-                continue
-            if bottom is not None and y0 > bottom:
-                loose_now, loose = loose, {}
-                solved()
-                loose = loose_now
-            zone.append((c, i, key, text, x0, y0, x1, y1))
-            low = max(y1, y0 + max(least, floor((y1 - y0) * ratio)))
-            bottom = low if bottom is None else max(bottom, low)
-            if len(out) >= ROWS:
-                yield batch(out)
-                out.clear()
-    solved()
-    if out:
-        yield batch(out)
+    n = batch.num_rows
+    image = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    edges, missing = zip(*(numbers(batch, c) for c in ("x0", "y0", "x1", "y1")))
+    loose = np.logical_or.reduce(missing)
+    keys = batch.column("key")
+    kept: list[np.ndarray] = []
+
+    def boxes(at: np.ndarray) -> list[tuple]:
+        c, i, key, *box = (batch.column(name).take(pa.array(at)).to_pylist() for name in ("confidence", "block_id", "key", "x0", "y0", "x1", "y1"))
+        return [*zip(c, i, key, at.tolist(), *box)]
+
+    at = np.flatnonzero(loose)
+    if len(at):
+        first: dict[tuple, tuple] = {}
+        for own, (c, i, key, place, *box) in zip(image[at].tolist(), boxes(at)):
+            order = (c is not None, -(c or 0.0), i is not None, i or 0)
+            spot = (own, key, *box)
+            if spot not in first or order < first[spot][0]:
+                first[spot] = (order, place)
+        kept.append(np.array([place for _, place in first.values()], np.int64))
+    at = np.flatnonzero(~loose)
+    if len(at):
+        zone = zones(image[at], *(e[at] for e in edges), ratio, least)
+        (sure, unsure), (block, unnamed) = numbers(batch, "confidence"), numbers(batch, "block_id")
+        # From the most confident on, nulls first, as in ``kept_readings``.
+        order = np.lexsort((block[at], ~unnamed[at], -sure[at], ~unsure[at], zone))
+        at, zone = at[order], zone[order]
+        begin = np.flatnonzero(np.append(True, zone[1:] != zone[:-1]))
+        sizes = np.diff(np.append(begin, len(at)))
+        kept.append(at[begin[sizes == 1]])
+        a, b = at[begin[sizes == 2]], at[begin[sizes == 2] + 1]
+        if len(a):
+            ka, kb = keys.take(pa.array(a)), keys.take(pa.array(b))
+            near = same_place(tuple(e[a] for e in edges), tuple(e[b] for e in edges), iou, ratio, least)
+            fits = pc.equal(ka, kb).to_numpy(zero_copy_only=False).copy()
+            longer = (pc.utf8_length(kb).to_numpy(zero_copy_only=False) > pc.utf8_length(ka).to_numpy(zero_copy_only=False))
+            # Copies of one text at one box are one, wherever "place" stands.
+            twins = fits & np.logical_and.reduce([e[a] == e[b] for e in edges])
+            for k in np.flatnonzero(near & ~fits).tolist():
+                p, q = ka[k].as_py(), kb[k].as_py()
+                fits[k] = p in q or q in p
+            joined = twins | (near & fits)
+            kept += [np.where(joined & longer, b, a), b[~joined]]
+        rest = np.flatnonzero(sizes > 2)
+        if len(rest):
+            found = []
+            crowd = boxes(at[np.repeat(sizes > 2, sizes)])
+            done = 0
+            for size in sizes[rest].tolist():
+                found += [box[3] for box in kept_readings(crowd[done : done + size], iou, ratio, least)]
+                done += size
+            kept.append(np.array(found, np.int64))
+    return np.sort(np.concatenate(kept)) if kept else np.empty(0, np.int64)

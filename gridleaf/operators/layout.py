@@ -13,15 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.geometry import (
     MAX_TILES, READABLE_LINE, TILE_OVERLAP, max_tile_side, model_scale, sanity_line_height,
 )
 from ..functions.text import LINE_BREAK, compact, is_blank, needs_cjk
-from ..session import ship
-from .folds import without_overlap
+from .folds import kept_of_images
 from .images import by_group, numbers
 from .scan import CHUNK, null_safe_join
 
@@ -204,17 +202,19 @@ def dedupe_overlap(blocks: DataFrame) -> DataFrame:
 
     Greedy from the most confident block on: a block joins the first cluster whose first member has
     a compatible text at the same place; the longest text of a cluster stays. Copies (same text, same
-    box) always share a cluster. The boxes of an image meet on one exchange in the order of their tops; a zone
-    ends where no box reaches, and inside a zone candidates come from a uniform grid, so dense images cost
-    what they hold.
+    box) always share a cluster. The boxes of an image meet on one exchange and one sort by image; a zone ends where no box
+    reaches in y or x. Zones of one or two boxes are decided together, and inside a larger one candidates come from a uniform
+    grid, so dense images cost what they hold.
     """
-    ship(blocks.sparkSession)
     names = ["image_id", "block_id", "text", *BOX, "confidence"]
-    kind = StructType([blocks.schema[c] for c in names])
-    arrow = to_arrow_schema(StructType([StructField(f.name, f.dataType) for f in kind]))
     rows = blocks.where(~is_blank(F.col("text"))).select(*names, compact(F.col("text")).alias("key"))
-    placed = rows.repartition("image_id").sortWithinPartitions("image_id", "y0")
-    return placed.mapInArrow(lambda batches: without_overlap(batches, arrow, SAME_IOU, NEAR_RATIO, NEAR_MIN), StructType([StructField(f.name, f.dataType) for f in kind]))
+    schema = StructType([StructField(c, blocks.schema[c].dataType) for c in names])
+
+    def stay(batch: pa.RecordBatch, starts: np.ndarray) -> list[pa.Array]:
+        at = pa.array(kept_of_images(batch, starts, SAME_IOU, NEAR_RATIO, NEAR_MIN))
+        return [batch.column(c).take(at) for c in names]
+
+    return by_group(rows, ["image_id"], [], schema, stay)
 
 
 def _lines(cy: np.ndarray, tol: float) -> np.ndarray:

@@ -17,7 +17,7 @@ def steps(frame):
 
 
 #: Exchanges of each query (the first one numbers the lines) and sorts of boxes or cells.
-PLANS = {"table_summary": (3, 2), "guess_header_row": (2, 2), "invoice_totals": (2, 2), "blocks_to_grid": (1, 2), "group_rows": (1, 2), "reading_order": (1, 2), "page_text": (2, 3)}
+PLANS = {"table_summary": (3, 2), "guess_header_row": (2, 2), "invoice_totals": (2, 2), "blocks_to_grid": (1, 2), "group_rows": (1, 2), "reading_order": (1, 2), "page_text": (2, 3), "detect_columns": (1, 2)}
 
 
 @pytest.mark.parametrize("name", PLANS)
@@ -55,3 +55,49 @@ def test_images_across_batches(spark):
     assert placed.where("row <> block_id div 4 or col <> block_id % 4").count() == 0 and placed.count() == 40_000
     ordered = layout.reading_order(frame).where("image_id = 7")
     assert ordered.where("pos <> block_id or line <> block_id div 4").count() == 0 and ordered.count() == 40_000
+
+
+def test_columns_across_batches(spark):
+    """One image of many batches; copies of a span and a gap of exactly six pixels. The plan keeps no map of all spans."""
+    rows = spark.range(50_000).select((F.col("id") % 2).alias("image_id"), (F.col("id") % 5000 * 20).cast("int").alias("x0")).withColumn("x1", F.col("x0") + F.when(F.col("x0") % 40 == 0, 14).otherwise(15))
+    wide = grids.detect_columns(rows)
+    got = {(r.image_id, r.col): (r.x0, r.x1) for r in wide.collect()}
+    want, spans = {}, {}
+    for r in rows.distinct().orderBy("image_id", "x0").collect():
+        mine = spans.setdefault(r.image_id, [])
+        if mine and r.x0 - mine[-1][1] < 6:
+            mine[-1][1] = r.x1
+        else:
+            mine.append([r.x0, r.x1])
+    want = {(i, k): tuple(s) for i, mine in spans.items() for k, s in enumerate(mine)}
+    assert got == want and len(want) == 5000 and steps(wide)["Window"] == 0
+
+
+def test_readings_over_whole_images_match_the_fold():
+    """Zones of two are decided together as the fold of each image decides them; it was the only way before."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gridleaf.operators.folds import kept_of_images, kept_readings
+
+    random.seed(11)
+    rows = []
+    for image in range(300):
+        for b in range(random.choice([1, 2, 2, 3, 20])):
+            x, y = random.randrange(120), random.randrange(120)
+            box = (x, y, x + random.choice([3, 10, 20]), y + random.choice([8, 12, 30]))
+            key = random.choice(["a", "ab", "It", "Item", "7x"])
+            rows.append((image, 2 * b, key, *box, random.choice([0.5, 0.9, None]), key))
+            if random.random() < 0.5:
+                rows.append((image, 2 * b + 1, key, *[v + random.choice([0, 1]) for v in box], 0.25, key))
+    names = ["image_id", "block_id", "text", "x0", "y0", "x1", "y1", "confidence", "key"]
+    batch = pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows))})
+    starts = np.unique([r[0] for r in rows], return_index=True)[1]
+    got = {rows[k][:2] for k in kept_of_images(batch, starts, 0.3, 0.75, 6).tolist()}
+    want = set()
+    for image in range(300):
+        boxes = [(r[7], r[1], r[8], r[2], *r[3:7]) for r in rows if r[0] == image]
+        want |= {(image, b[1]) for b in kept_readings(boxes, 0.3, 0.75, 6)}
+    assert got == want and len(got) < len(rows)
