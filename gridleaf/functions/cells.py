@@ -86,30 +86,49 @@ def coerce_simple(raw: Column) -> Column:
     return F.struct(value.alias("num"), F.when(value.isNull() | lost, raw).alias("text"), exact.alias("whole"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_param(raw: Column) -> Column:
-    """``key=value`` to ``struct(key, kind, flag, whole, real, text, error)``."""
-    at = F.instr(raw, "=")
-    key = strip(F.when(at > 0, F.substring(raw, 1, at - 1)))
-    value = strip(F.substring(raw, at + 1, F.length(raw)))
-    word = F.lower(value)
-    error = F.when(at == 0, "no equals sign").when(F.length(key) == 0, "empty key")
-    kind = (
-        F.when(error.isNotNull(), None)
-        .when(word.isin(*YES, *NO), "bool")
-        .when(_leading_zero(value), "text")
-        .when(value.rlike(WHOLE), "int")
-        .when(value.rlike(ANY_FLOAT) | value.rlike(FLOAT_WORD), "float")
-        .otherwise("text")
-    )
-    return F.struct(
-        F.when(error.isNull(), key).alias("key"),
-        kind.alias("kind"),
-        F.when(kind == "bool", word.isin(*YES)).alias("flag"),
-        F.when(kind == "int", value.try_cast("decimal(38,0)")).alias("whole"),
-        F.when(kind == "float", value.try_cast("double")).alias("real"),
-        F.when(kind == "text", value).alias("text"),
-        error.alias("error"),
-    )
+    """``key=value`` to ``struct(key, kind, flag, whole, real, text, error)``.
+
+    Key and value are cut and stripped once, and the kind is found once; each output refers to these.
+    """
+
+    def cut(pair: Column) -> Column:
+        raw, at = pair["raw"], pair["at"]
+        value = strip(F.substring(raw, at + 1, F.length(raw)))
+        return F.struct(strip(F.when(at > 0, F.substring(raw, 1, at - 1))).alias("key"), value.alias("value"), F.lower(value).alias("word"), at.alias("at"))
+
+    def told(p: Column) -> Column:
+        value, word = p["value"], p["word"]
+        error = F.when(p["at"] == 0, "no equals sign").when(F.length(p["key"]) == 0, "empty key")
+        kind = (
+            F.when(error.isNotNull(), None)
+            .when(word.isin(*YES, *NO), "bool")
+            .when(_leading_zero(value), "text")
+            .when(value.rlike(WHOLE), "int")
+            .when(value.rlike(ANY_FLOAT) | value.rlike(FLOAT_WORD), "float")
+            .otherwise("text")
+        )
+        return F.struct(p["key"].alias("key"), value.alias("value"), word.alias("word"), error.alias("error"), kind.alias("kind"))
+
+    def typed(p: Column) -> Column:
+        value, kind = p["value"], p["kind"]
+        return F.struct(
+            F.when(p["error"].isNull(), p["key"]).alias("key"),
+            kind.alias("kind"),
+            F.when(kind == "bool", p["word"].isin(*YES)).alias("flag"),
+            F.when(kind == "int", value.try_cast("decimal(38,0)")).alias("whole"),
+            F.when(kind == "float", value.try_cast("double")).alias("real"),
+            F.when(kind == "text", value).alias("text"),
+            p["error"].alias("error"),
+        )
+
+    pair = F.struct(raw.alias("raw"), F.instr(raw, "=").alias("at"))
+    return _once(_once(_once(pair, cut), told), typed)
 
 
 def value_key(raw: Column, unicode_forms: bool = True) -> Column:

@@ -384,8 +384,8 @@ def coerce_simple(spark, d):
 @query
 def parse_param(spark, d):
     raw = F.concat(F.lit(" c"), F.col("col").cast("string"), F.when(F.col("col") == 5, F.lit("")).otherwise(F.lit(" = ")), F.col("text"))
-    p = C.parse_param(raw)
-    return samples.raw_cells(spark, d).select(
+    p = F.col("p")
+    return samples.raw_cells(spark, d).withColumn("p", C.parse_param(raw)).select(
         "case_id", "row", "col", p["key"].alias("key"), p["kind"].alias("kind"), p["whole"].cast("bigint").alias("whole"), p["text"].alias("text"), p["error"].alias("error")
     )
 

@@ -101,3 +101,9 @@ def test_readings_over_whole_images_match_the_fold():
         boxes = [(r[7], r[1], r[8], r[2], *r[3:7]) for r in rows if r[0] == image]
         want |= {(image, b[1]) for b in kept_readings(boxes, 0.3, 0.75, 6)}
     assert got == want and len(got) < len(rows)
+
+
+def test_a_parameter_is_cut_and_stripped_once(spark):
+    """Each output used to cut, strip and match the text again."""
+    plan = QUERIES["parse_param"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") <= 3 and plan.count("RLIKE") <= 4 and plan.count("instr(") == 1
