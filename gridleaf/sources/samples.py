@@ -26,24 +26,19 @@ def invoice_lines(spark: SparkSession, folder: str) -> DataFrame:
 def invoice_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Text boxes of one invoice scan per order: a header line and four columns, slightly shaken."""
     lines = invoice_lines(spark, folder)
-
-    def cell(col: int, text: Column) -> Column:
-        return F.struct(F.col("rn").alias("r"), F.lit(col).alias("c"), text.alias("text"))
-
-    body = [
-        cell(0, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))),
-        cell(1, F.col("l_returnflag")),
-        cell(2, F.col("l_quantity").cast("int").cast("string")),
-        cell(3, F.format_number("l_extendedprice", 2)),
-    ]
-    head = [
-        F.struct(F.lit(0).alias("r"), F.lit(i).alias("c"), F.lit(t).alias("text"))
-        for i, t in enumerate(("Item", "Flag", "Qty", "Amount"))
-    ]
-    cells = F.when(F.col("rn") == 1, F.array(*head, *body)).otherwise(F.array(*body))
-    flat = lines.select(F.col("l_orderkey").alias("image_id"), F.explode(cells).alias("e")).select(
-        "image_id", F.col("e.r").alias("rn"), F.col("e.c").alias("c"), F.col("e.text").alias("text")
+    # Eight places beside each line, the header's four for the first line only: a broadcast join keeps the order of the lines, so
+    # the boxes of an image come together and are not sorted again, which ``explode`` would ask for.
+    place = spark.range(8).select((F.col("id") >= 4).alias("head"), (F.col("id") % 4).cast("int").alias("c"))
+    spread = lines.join(F.broadcast(place), ~F.col("head") | (F.col("rn") == 1))
+    c, title = F.col("c"), F.col("head")
+    text = (
+        F.when(title, F.element_at(F.array(*[F.lit(t) for t in ("Item", "Flag", "Qty", "Amount")]), c + 1))
+        .when(c == 0, F.concat(F.lit("P"), F.col("l_partkey").cast("string")))
+        .when(c == 1, F.col("l_returnflag"))
+        .when(c == 2, F.col("l_quantity").cast("int").cast("string"))
+        .otherwise(F.format_number("l_extendedprice", 2))
     )
+    flat = spread.select(F.col("l_orderkey").alias("image_id"), F.when(title, 0).otherwise(F.col("rn")).alias("rn"), "c", text.alias("text"))
     shake = ((F.col("image_id") * 7 + F.col("rn") * 3 + F.col("c") * 5) % 6).cast("int")
     boxed = flat.select(
         "image_id", "rn", "c",
