@@ -36,20 +36,25 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 
 def polygon_to_box(polygons: DataFrame) -> DataFrame:
-    """``points array<struct<x,y>>, text, score, scale`` to blocks; unusable rows are left out."""
-    points = F.col("points")
-    usable = (F.size(points) > 0) & ~F.exists(points, lambda p: p["x"].isNull() | p["y"].isNull())
+    """``points array<struct<x,y>>, text, score, scale`` to blocks; unusable rows are left out.
 
-    def edge(pick, axis: str) -> Column:
-        return F.bround(pick(F.transform(points, lambda p: p[axis])) * F.col("scale")).cast("int")
+    The coordinates are put in order once (nulls first, so the first one tells of a missing point) and each edge is read from
+    there; the box is made once, and the row goes where there is none.
+    """
 
-    boxed = polygons.where(~is_blank(F.col("text")) & usable).select(
-        "image_id", "block_id", "text",
-        edge(F.array_min, "x").alias("x0"), edge(F.array_min, "y").alias("y0"),
-        edge(F.array_max, "x").alias("x1"), edge(F.array_max, "y").alias("y1"),
-        F.coalesce(F.col("score").cast("string").try_cast("double"), F.lit(1.0)).alias("confidence"),
+    def ends(q: Column) -> Column:
+        xs, ys = q["xs"], q["ys"]
+        edges = {"x0": F.get(xs, F.lit(0)), "y0": F.get(ys, F.lit(0)), "x1": F.array_max(xs), "y1": F.array_max(ys)}
+        usable = edges["x0"].isNotNull() & edges["y0"].isNotNull()
+        return F.when(usable, F.struct(*[F.rint(v * F.col("scale")).cast("int").alias(c) for c, v in edges.items()]))
+
+    points = F.col("points")
+    sides = F.transform(F.array(points), lambda p: F.struct(F.sort_array(p["x"]).alias("xs"), F.sort_array(p["y"]).alias("ys")))
+    wide = F.filter(F.transform(sides, ends), lambda e: (e["x1"] > e["x0"]) & (e["y1"] > e["y0"]))
+    boxed = polygons.where(~is_blank(F.col("text"))).select(
+        "image_id", "block_id", "text", F.coalesce(F.col("score").cast("string").try_cast("double"), F.lit(1.0)).alias("confidence"), F.inline(wide)
     )
-    return boxed.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    return boxed.select("image_id", "block_id", "text", *BOX, "confidence")
 
 
 def lines_to_blocks(regions: DataFrame) -> DataFrame:

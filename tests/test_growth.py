@@ -3,6 +3,7 @@
 import pytest
 from conftest import DATA
 
+from gridleaf.operators import layout
 from gridleaf.plans.queries import QUERIES
 
 
@@ -12,3 +13,20 @@ def test_boxes_are_not_sorted_again(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1, plan
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1, plan
+
+
+def test_an_edge_is_made_once(spark):
+    """``polygon_to_box`` rounds four edges of a polygon, each once, also where a box without a width is left out."""
+    plan = QUERIES["polygon_to_box"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rint(") + plan.count("bround(") == 4, plan
+
+
+def test_unusable_polygons(spark):
+    point = "array<struct<x:double,y:double>>"
+    rows = [
+        (1, [(1.0, 2.0), (4.0, 9.0)], 0.5), (2, [], 1.0), (3, None, 1.0), (4, [(1.0, None), (4.0, 9.0)], 1.0), (5, [None, (4.0, 9.0)], 1.0),
+        (6, [(1.0, 2.0), (4.0, 9.0)], None), (7, [(1.0, 2.0), (1.4, 9.0)], 1.0), (8, [(3.0, -5.0), (5.0, 5.0), (4.0, 9.0)], 0.5),
+    ]
+    frame = spark.createDataFrame([(1, i, "t", p, s, "x") for i, p, s in rows], f"image_id long, block_id long, text string, points {point}, scale double, score string")
+    got = {r.block_id: (r.x0, r.y0, r.x1, r.y1, r.confidence) for r in layout.polygon_to_box(frame).collect()}
+    assert got == {1: (0, 1, 2, 4, 1.0)}  # the last: 1.5 and 2.5 are both 2, no width
