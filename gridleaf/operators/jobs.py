@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -146,18 +147,32 @@ def run_isolated(rows: DataFrame, work: Callable[[dict], str], result: str = "re
         + [StructField(result, StringType()), StructField("status", StringType()), StructField("error", StringType()), StructField("duration_ms", DoubleType())]
     )
 
+    def values_of(column: pa.Array) -> list:  # inside, so that it travels to the workers by value
+        """``column.to_pylist()``; whole numbers and texts go through numpy, which takes a tenth of the time."""
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_large_string(kind) or (pa.types.is_integer(kind) and not column.null_count):
+            return column.to_numpy(zero_copy_only=False).tolist()
+        return column.to_pylist()
+
     def outcomes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clock = time.monotonic
         for batch in batches:
-            outcomes = []
-            for record in batch.to_pylist():
-                start = time.monotonic()
+            if not batch.num_rows:
+                continue
+            names, got, errors, took = batch.schema.names, [], [], []
+            for values in zip(*map(values_of, batch.columns)):
+                record = dict(zip(names, values))
+                start = clock()
                 try:
-                    got, status, error = work(record), "succeeded", None
+                    out, error = work(record), None
                 except Exception as problem:  # a row must never take its batch with it
-                    got, status, error = None, "failed", f"{type(problem).__name__}: {problem}"
-                outcomes.append((got, status, error, (time.monotonic() - start) * 1000))
-            extra = [pa.array(c, pa.float64() if i == 3 else pa.string()) for i, c in enumerate(zip(*outcomes))]
-            if extra:  # the columns of the row pass as they are
-                yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
+                    out, error = None, f"{type(problem).__name__}: {problem}"
+                took.append((clock() - start) * 1000)
+                got.append(out)
+                errors.append(error)
+            text = pa.array(errors, pa.string())
+            status = pc.if_else(text.is_null(), "succeeded", "failed")
+            # the columns of the row pass as they are
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string()), status, text, pa.array(took, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(outcomes_of, schema)

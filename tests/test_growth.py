@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA
 
-from gridleaf.operators import layout
+from gridleaf.operators import jobs, layout
 from gridleaf.plans.queries import QUERIES
 
 
@@ -30,3 +30,14 @@ def test_unusable_polygons(spark):
     frame = spark.createDataFrame([(1, i, "t", p, s, "x") for i, p, s in rows], f"image_id long, block_id long, text string, points {point}, scale double, score string")
     got = {r.block_id: (r.x0, r.y0, r.x1, r.y1, r.confidence) for r in layout.polygon_to_box(frame).collect()}
     assert got == {1: (0, 1, 2, 4, 1.0)}  # the last: 1.5 and 2.5 are both 2, no width
+
+
+def test_records_of_isolated_rows(spark):
+    """A record has plain Python values, whatever way its columns are read."""
+    rows = [(1, None, "a", 1.5, [1, None], True), (None, 2, None, None, None, None), (3, 4, "", 0.0, [], False)]
+    frame = spark.createDataFrame(rows, "a long, b int, c string, d double, e array<int>, f boolean").repartition(1)
+    got = jobs.run_isolated(frame, repr).orderBy("result").collect()
+    assert sorted(r.result for r in got) == sorted(repr(dict(zip("abcdef", r))) for r in rows)
+    assert {r.status for r in got} == {"succeeded"} and all(r.error is None and r.duration_ms >= 0 for r in got)
+    failed = jobs.run_isolated(frame, lambda r: str(1 / r["a"])).collect()
+    assert [r.error for r in failed if r.a is None] == ["TypeError: unsupported operand type(s) for /: 'int' and 'NoneType'"]
