@@ -21,6 +21,8 @@ from .batches import map_rows
 from .grams import gram_counts
 
 SIZE, BITS = 3, 14
+#: Dense vectors that are copied at once.
+PART = 32
 #: Size classes of texts, by the power of two of their distinct grams.
 CLASSES = BITS + 1
 #: Sampled texts of a language and size class from which their lowest cosine is taken as a floor.
@@ -53,6 +55,14 @@ def size_class(n: int) -> int:
     return max(0, int(n).bit_length() - 1)
 
 
+def _total(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``rows[at].sum(axis=0)``, added in the same order, without a copy of all those rows."""
+    total = rows[at[:1]].sum(axis=0)
+    for i in range(1, len(at), PART):
+        total = np.concatenate([total[None], rows[at[i : i + PART]]]).sum(axis=0)
+    return total
+
+
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means from far-apart starts: ``centroids, labels``. Fewer rows or equal rows give fewer centroids."""
     picks = [0]
@@ -63,7 +73,7 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
     centres = rows[picks]
     for _ in range(rounds):
         labels = (rows @ centres.T).argmax(axis=1)
-        means = [rows[labels == i].sum(axis=0) for i in range(len(centres)) if (labels == i).any()]
+        means = [_total(rows, np.flatnonzero(labels == i)) for i in range(len(centres)) if (labels == i).any()]
         centres = np.stack([m / max(np.linalg.norm(m), 1e-9) for m in means])
     return centres, (rows @ centres.T).argmax(axis=1)
 
@@ -128,7 +138,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = 1000, clusters: int = 4) -
             dense[i, at] = np.frombuffer(weights, "<f4")
             sizes.append(size_class(len(at)))
         found, labels = cluster(dense, clusters)
-        cosines, sizes = (dense * found[labels]).sum(axis=1), np.array(sizes)
+        cosines = np.concatenate([(dense[i : i + PART] * found[labels[i : i + PART]]).sum(axis=1) for i in range(0, len(dense), PART)])
+        sizes = np.array(sizes)
         # longer texts come nearer: a size class with too few texts in the sample has the floor of the next smaller one
         line, held = [], 0.0
         for k in range(CLASSES):

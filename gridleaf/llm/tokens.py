@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Entries that the cache of one worker holds at most; texts beyond are encoded without it.
-CACHE = 1_000_000
+#: Entries that the cache of one worker holds at most, some 22 MB; words beyond are encoded without it.
+CACHE = 1 << 17
 
 #: Lower-case words, digits and punctuation on which normalisation has no effect.
 _PLAIN = re.compile("[!-@\\[-~ß-öø-ÿ]*")
