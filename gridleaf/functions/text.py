@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -52,12 +54,13 @@ def count_matches(text: Column, char_class: str) -> Column:
 
 
 def _nfkc_arrow(text: Column) -> Column:
-    # Defined inside, so that it travels to the workers by value.
-    def normalize(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
+    # Defined inside, so that it travels to the workers by value. A few texts at a time are Python objects, not the batch.
+    def normalize(values: pa.Array) -> pa.Array:
+        out = [pa.array([v and unicodedata.normalize("NFKC", v) for v in values.slice(i, 64).to_pylist()], values.type) for i in range(0, len(values), 64)]
+        return pa.concat_arrays(out) if out else values
 
-    normalize.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(normalize, StringType())(text)
+    normalize.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(normalize, StringType())(text)
 
 
 def nfkc(text: Column) -> Column:

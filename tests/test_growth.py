@@ -1,8 +1,12 @@
 """What keeps a query's memory and time in proportion to its input: plans, and steps that ran more than once for a row."""
 
+import unicodedata
+
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
+from gridleaf.functions import text
 from gridleaf.operators import jobs, layout
 from gridleaf.plans.queries import QUERIES
 
@@ -41,3 +45,11 @@ def test_records_of_isolated_rows(spark):
     assert {r.status for r in got} == {"succeeded"} and all(r.error is None and r.duration_ms >= 0 for r in got)
     failed = jobs.run_isolated(frame, lambda r: str(1 / r["a"])).collect()
     assert [r.error for r in failed if r.a is None] == ["TypeError: unsupported operand type(s) for /: 'int' and 'NoneType'"]
+
+
+def test_nfkc_takes_arrow_arrays(spark):
+    """The texts of a batch are not all Python objects at once: the function gets Arrow arrays, in pieces."""
+    rows = [(i, None if i % 7 == 0 else "Ａ①é" * (i % 3) + "ﬁ") for i in range(500)]
+    frame = spark.createDataFrame(rows, "i long, t string").repartition(1).withColumn("k", text.nfkc(F.col("t")))
+    assert {r.i: r.k for r in frame.collect()} == {i: t and unicodedata.normalize("NFKC", t) for i, t in rows}
+    assert not hasattr(text, "pd")
