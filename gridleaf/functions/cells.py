@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIGIT, SPACE, compact, nfkc, strip
+from .text import DIGIT, SPACE, SPACE_CHARS, nfkc, strip
 
 # --- fixed values ---------------------------------------------------------
 CURRENCY = ("¥", "￥", "$", "€", "£")  # first one found wins
@@ -131,16 +131,43 @@ def parse_param(raw: Column) -> Column:
     return _once(_once(_once(pair, cut), told), typed)
 
 
+def _bare(text: Column) -> Column:
+    return F.translate(text, SPACE_CHARS + ",¥￥", "")
+
+
+def _any_number(text: Column) -> Column:
+    return F.when(text.rlike(ANY_FLOAT) | text.rlike(FLOAT_WORD), text.try_cast("double"))
+
+
+def _ten_digits(number: Column) -> Column:
+    return F.format_string("%.9e", number)
+
+
 def value_key(raw: Column, unicode_forms: bool = True) -> Column:
     """Identity of the value: numbers by their first ten digits, other text without spaces and case."""
     text = F.coalesce(raw, F.lit(""))
-    text = F.translate(compact(nfkc(text) if unicode_forms else text), ",¥￥", "")
-    number = F.when(text.rlike(ANY_FLOAT) | text.rlike(FLOAT_WORD), text.try_cast("double"))
-    return F.when(number.isNotNull(), F.concat(F.lit("num:"), F.format_string("%.9e", number))).otherwise(
+    text = _bare(nfkc(text) if unicode_forms else text)
+    number = _any_number(text)
+    return F.when(number.isNotNull(), F.concat(F.lit("num:"), _ten_digits(number))).otherwise(
         F.concat(F.lit("txt:"), F.lower(text))
     )
 
 
+def same_value(one: Column, other: Column) -> Column:
+    """Whether two texts (not null, in NFKC) have one ``value_key``. Digits are written out only for numbers that are close but not equal."""
+
+    def told(p: Column) -> Column:
+        a, b, x, y = (p[c] for c in "abxy")
+        far = F.abs(x - y) > 1e-8 * F.greatest(F.abs(x), F.abs(y))
+        numbers = F.when((x == y) & (x != 0), True).when(far, False).otherwise(_ten_digits(x) == _ten_digits(y))
+        return F.when(x.isNotNull() & y.isNotNull(), numbers).otherwise(x.isNull() & y.isNull() & (F.lower(a) == F.lower(b)))
+
+    def read(p: Column) -> Column:
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), _any_number(p["a"]).alias("x"), _any_number(p["b"]).alias("y"))
+
+    return (one == other) | _once(_once(F.struct(_bare(one).alias("a"), _bare(other).alias("b")), read), told)
+
+
 def format_key(raw: Column, unicode_forms: bool = True) -> Column:
     """Identity of the writing: only white space is evened out."""
     text = F.coalesce(raw, F.lit(""))
@@ -151,15 +178,20 @@ def format_key(raw: Column, unicode_forms: bool = True) -> Column:
 def display_matches(source: Column, fmt: Column, unicode_forms: bool = True) -> Column:
     """Does a number format show thousands, decimals, currency and percent as the source writes them?"""
     text = F.coalesce(source, F.lit(""))
-    text = strip(nfkc(text) if unicode_forms else text)
+    text = nfkc(text) if unicode_forms else text
     fmt = F.coalesce(fmt, F.lit(""))
-    tail = F.get(F.split(text, r"\."), F.lit(1))
-    wanted = F.when(tail.rlike(f"^{DIGIT}+$"), F.length(tail)).otherwise(0)
-    shown = F.length(F.coalesce(F.regexp_extract(F.get(F.split(fmt, r"\."), F.lit(1)), "^0*", 0), F.lit("")))
+    # White space around the text only counts where it ends. A line break before a second point counts as a digit.
+    digits = rf"^[^.]*\.({DIGIT}+(?={SPACE}*\z)|{DIGIT}+(?:\r\n|[\n\r\x85\u2028\u2029])?(?=\.))"
+    wanted = F.when(F.contains(text, F.lit(".")), F.length(F.regexp_extract(text, digits, 1))).otherwise(0)
+    shown = F.when(F.contains(fmt, F.lit(".")), F.length(F.regexp_extract(fmt, r"^[^.]*\.(0*)", 1))).otherwise(0)
     money = "[" + "".join(CURRENCY) + "]"
+
+    def percent(of: Column) -> Column:
+        return F.contains(of, F.lit("%")) & of.rlike(f"%{SPACE}*\\z")
+
     return (
         (F.contains(text, F.lit(",")) == F.contains(fmt, F.lit(GROUPED)))
-        & (F.coalesce(wanted, F.lit(0)) == shown)
+        & (wanted == shown)
+        & (percent(text) == percent(fmt))
         & (text.rlike(money) == fmt.rlike(money))
-        & (text.endswith("%") == strip(fmt).endswith("%"))
     )

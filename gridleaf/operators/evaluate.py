@@ -1,68 +1,205 @@
-"""Scoring a rebuilt grid against the expected one, cell by cell."""
+"""Scoring a rebuilt grid against the expected one, cell by cell.
+
+Both grids meet on one exchange, by case and band of rows: runs of cells travel as one row, and a band's cells are put
+together over whole Arrow batches. Verdicts and scores are native.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.cells import display_matches, value_key
-from ..functions.text import nfkc, normalize_text
+from ..functions.cells import display_matches, same_value
+from ..functions.text import SPACE, normalize_text
+from ..session import ship
+from .images import numbers, starts_of, whole_groups
 
 # --- fixed values ---------------------------------------------------------
 TOP = 8
+NO_SPACE = "[^" + SPACE[1:]
 # --------------------------------------------------------------------------
 
+SPOT = ["case_id", "row", "col"]
+#: Rows of a band, cells and bytes of text of a run, runs and pairs that are worked on together.
+BAND, CELLS, BYTES, RUNS, PAIRS = 256, 64, 4096, 8192, 262144
+
+
+def _joined(texts: pa.Array, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Texts of each run put together, and the bytes of every text (null: -1)."""
+    texts = texts.cast(pa.string())
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    cuts = pa.py_buffer(ends[np.append(at, len(texts))].astype(np.int32))
+    return pa.Array.from_buffers(pa.string(), len(at), [None, cuts, texts.buffers()[2] or pa.py_buffer(b"")]), np.where(null, -1, np.diff(ends)).astype(np.int32)
+
+
+def _cut(texts: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The single texts again."""
+    if not len(sizes):
+        return pa.array([], pa.string())
+    first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
+    ends = pa.py_buffer((first + np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])).astype(np.int32))
+    single = pa.Array.from_buffers(pa.string(), len(sizes), [None, ends, texts.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(pa.array(sizes < 0), pa.scalar(None, pa.string()), single) if (sizes < 0).any() else single
+
+
+def _runs(cells: DataFrame) -> DataFrame:
+    """Cells that follow each other in one band of a case as one row; cells in no order make short runs, nothing more."""
+    lists = [StructField(f"{c}s", ArrayType(cells.schema[c].dataType)) for c in ("row", "col")]
+    texts = [StructField(f"{c}{end}", kind) for c in ("text", "fmt") for end, kind in (("", StringType()), ("_bytes", ArrayType(IntegerType())))]
+    schema = StructType([cells.schema["case_id"], StructField("band", LongType()), StructField("got", BooleanType()), *lists, *texts])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, place = numbers(batch, "row")[0] // BAND, np.arange(batch.num_rows)
+            turns = np.union1d(starts_of(batch.column("case_id")), np.flatnonzero(np.diff(band, prepend=band[0] - 1)))
+            whole = np.zeros(1, np.int64)
+            size = sum(_joined(batch.column(c), whole)[1].clip(0).astype(np.int64) for c in ("text", "fmt"))
+            before, since = np.cumsum(size) - size, np.repeat(turns, np.diff(np.append(turns, len(place))))
+            for cut in ((place - since) // CELLS, (before - before[since]) // BYTES):
+                turns = np.union1d(turns, np.flatnonzero(np.diff(cut, prepend=0)))
+            ends = pa.array(np.append(turns, batch.num_rows).astype(np.int32))
+            made = [batch.column("case_id").take(pa.array(turns)), pa.array(band[turns]), batch.column("got").take(pa.array(turns))]
+            made += [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("row", "col")]
+            for c in ("text", "fmt"):
+                texts, sizes = _joined(batch.column(c), turns)
+                made += [texts, pa.ListArray.from_arrays(ends, pa.array(sizes))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+
+    return cells.mapInArrow(run, schema)
+
+
+def _foreign(texts: pa.Array) -> pa.Array:
+    """NFKC forms of the texts that are not ASCII, null for the others."""
+    plain = pc.fill_null(pc.string_is_ascii(texts), True)
+    if pc.all(plain).as_py() in (True, None):
+        return pa.nulls(len(texts), pa.string())
+    forms = [[None if p else unicodedata.normalize("NFKC", t) for t, p in zip(texts.slice(i, 64).to_pylist(), plain.slice(i, 64).to_pylist())] for i in range(0, len(texts), 64)]
+    return pa.concat_arrays([pa.array(f, pa.string()) for f in forms])
+
+
+def _keys(band: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """One number for each place of a band."""
+    _, row = np.unique(row, return_inverse=True)
+    _, col = np.unique(col, return_inverse=True)
+    return (band * (row.max(initial=0) + 1) + row) * (col.max(initial=0) + 1) + col
+
+
+def _meet(want: np.ndarray, got: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of equal numbers on both sides, each with each, then those without a partner (-1); a number below 0 has none."""
+    left, right = np.argsort(want, kind="stable"), np.argsort(got, kind="stable")
+    sought, known = want[left], got[right]
+    low = np.searchsorted(known, sought, "left")
+    many = np.where(sought < 0, 0, np.searchsorted(known, sought, "right") - low)
+    upto = np.cumsum(many)
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] - many[i] + PAIRS, "right")))
+        n = many[i:j]
+        yield np.repeat(left[i:j], n), right[np.repeat(low[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        i = j
+    alone = left[many == 0]
+    yield alone, np.full(len(alone), -1)
+    alone = right[(known < 0) | (np.searchsorted(sought, known, "left") == np.searchsorted(sought, known, "right"))]
+    yield np.full(len(alone), -1), alone
+
+
+def _pairs(expected: DataFrame, actual: DataFrame, unicode_forms: bool) -> DataFrame:
+    """A full outer join on ``case_id, row, col``: ``want, got, fmt``, the NFKC forms of what is not ASCII, and which sides there are."""
+    spot = expected.select(*SPOT).join(actual.select(*SPOT), SPOT, "full_outer").schema
+    place = [F.col(f.name).cast(f.dataType) for f in spot]
+    ship(expected.sparkSession)
+    want = expected.select(*place, F.lit(False).alias("got"), F.col("text").cast("string"), F.lit(None).cast("string").alias("fmt"))
+    got = actual.select(*place, F.lit(True).alias("got"), F.col("value").cast("string").alias("text"), F.col("fmt").cast("string"))
+    both = _runs(want).unionByName(_runs(got)).repartition("case_id", "band").sortWithinPartitions("case_id", "band")
+    texts = [StructField(c, StringType()) for c in ("want", "got", "fmt", "want_form", "got_form")]
+    schema = StructType([*spot.fields, *texts, StructField("has_want", BooleanType()), StructField("has_got", BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def sides(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        band = np.repeat(np.arange(len(at)), np.diff(np.append(at, batch.num_rows)))
+        right = batch.column("got").to_numpy(zero_copy_only=False)
+        found = []
+        for side in (~right, right):
+            part = batch.filter(pa.array(side))
+            count = part.column("rows").value_lengths().to_numpy(zero_copy_only=False)
+            cells = pa.RecordBatch.from_arrays([part.column(c).flatten() for c in ("rows", "cols")], names=["row", "col"])
+            cut = [_cut(part.column(c), part.column(f"{c}_bytes").flatten().to_numpy(zero_copy_only=False)) for c in ("text", "fmt")]
+            found.append((np.repeat(band[side], count), cells, *cut, _foreign(cut[0]) if unicode_forms else pa.nulls(len(cut[0]), pa.string())))
+        (wband, wcells, want, _, wform), (gband, gcells, got, fmt, gform) = found
+        case = batch.column("case_id").take(pa.array(at))
+        bands = np.concatenate([wband, gband])
+        row, no_row = (np.concatenate(x) for x in zip(numbers(wcells, "row"), numbers(gcells, "row")))
+        col, no_col = (np.concatenate(x) for x in zip(numbers(wcells, "col"), numbers(gcells, "col")))
+        keys = np.where(no_row | no_col | case.is_null().to_numpy(zero_copy_only=False)[bands], -1, _keys(bands, row, col))
+        places = [pa.concat_arrays([wcells.column(c), gcells.column(c)]) for c in ("row", "col")]
+        for w, g in _meet(keys[: len(wband)], keys[len(wband) :]):
+            if not len(w):
+                continue
+            cell = np.where(w < 0, g + len(wband), w)
+            of_want, of_got = pa.array(w, mask=w < 0), pa.array(g, mask=g < 0)
+            made = [case.take(pa.array(bands[cell])), *[p.take(pa.array(cell)) for p in places]]
+            made += [want.take(of_want), got.take(of_got), fmt.take(of_got), wform.take(of_want), gform.take(of_got), pa.array(w >= 0), pa.array(g >= 0)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at in whole_groups(batches, ["case_id", "band"], RUNS):
+            yield from sides(batch, at)
+
+    return both.mapInArrow(run, schema)
+
 
 def paired_cells(expected: DataFrame, actual: DataFrame, unicode_forms: bool = True) -> DataFrame:
-    """``case_id, row, col, verdict`` of every cell on either side.
+    """``case_id, row, col, want, got, fmt, has_want, has_got, verdict`` of every cell on either side.
 
-    ``expected``: ``case_id, row, col, text``; ``actual`` has ``value`` and ``fmt`` instead of text.
+    ``expected``: ``case_id, row, col, text``; ``actual`` has ``value`` and ``fmt`` instead of text. Cells listed more than
+    once meet each with each; a cell without case, row or column meets none.
     """
-    spot = ["case_id", "row", "col"]
-    want = expected.select(*spot, F.col("text").alias("want"), F.lit(True).alias("has_want"))
-    got = actual.select(*spot, F.col("value").alias("got"), F.col("fmt"), F.lit(True).alias("has_got"))
-    both = want.join(got, spot, "full_outer")
-    # The NFKC forms once, then plain native expressions on them.
-    form = nfkc if unicode_forms else (lambda c: c)
-    both = both.withColumns({f"__{c}": form(F.coalesce(c, F.lit(""))) for c in ("want", "got")})
-    same = value_key(F.col("__want"), False) == value_key(F.col("__got"), False)
-    keyed = both.withColumns(
-        {
-            "__same": same,
-            "__shown": display_matches(F.col("__want"), F.col("fmt"), False),
-            "__nwant": normalize_text(F.col("__want"), False),
-            "__ngot": normalize_text(F.col("__got"), False),
-        }
-    )
-    verdict = (
-        F.when(F.col("__same") & F.col("__shown"), "exact")
-        .when(F.col("__same") & (F.col("__nwant") != F.col("__ngot")), "format")
-        .when(F.col("__same"), "value")
-        .when(F.length("__ngot") == 0, "missing")
-        .otherwise("wrong")
-    )
-    return keyed.withColumn("verdict", verdict).drop("__want", "__got", "__same", "__shown", "__nwant", "__ngot")
+    both = _pairs(expected, actual, unicode_forms)
+    want, got = (F.coalesce(f"{c}_form", c, F.lit("")) for c in ("want", "got"))
+    # Nested, so that each part is asked only where it decides.
+    verdict = F.when(
+        same_value(want, got),
+        F.when(display_matches(want, F.col("fmt"), False), "exact").when(normalize_text(want, False) != normalize_text(got, False), "format").otherwise("value"),
+    ).otherwise(F.when(got.rlike(NO_SPACE), "wrong").otherwise("missing"))
+    # Out of a generator, so that a filter on the verdict does not work it out once more.
+    return both.select(*SPOT, "want", "got", "fmt", "has_want", "has_got", F.explode(F.array(verdict)).alias("verdict"))
 
 
 def compare_grids(expected: DataFrame, actual: DataFrame, unicode_forms: bool = True) -> DataFrame:
     """Scores per case. Cells on neither side are blank on both and match, so the grid is never filled in.
 
-    The frame of a case is the greatest expected row and column, a window on the partitioning that the scores need anyway.
+    The frame of a case is the greatest expected row and column. Only cells that were not expected wait for it: the others are
+    one row per case before the exchange.
     """
-    case = W.partitionBy("case_id")
     pairs = paired_cells(expected, actual, unicode_forms)
-    size = {f"{side}_{axis}s": F.coalesce(F.max(F.when(F.col(has), F.col(axis))).over(case) + 1, F.lit(0)) for has, side in (("has_want", "exp"), ("has_got", "act")) for axis in ("row", "col")}
-    framed = pairs.withColumns(size)
+    wanted, verdict = F.col("has_want"), F.col("verdict")
+    more = [F.when(~wanted, F.col(c)).alias(f"more_{c}") for c in ("row", "col")]
+    last = {f"{side}_{axis}s": F.max(F.when(F.col(has), F.col(axis))) for has, side in (("has_want", "exp"), ("has_got", "act")) for axis in ("row", "col")}
+    counts = {
+        "listed": F.count(F.lit(1)), "ok_in": F.count_if(verdict.isin("exact", "format", "value")), "exact_in": F.count_if(verdict == "exact"),
+        "missing": F.count_if(wanted & (verdict == "missing")), "wrong": F.count_if(verdict == "wrong"),
+    }
+    few = pairs.groupBy("case_id", wanted.alias("wanted"), *more).agg(*[c.alias(n) for n, c in {**last, **counts}.items()])
+    case = W.partitionBy("case_id")
+    framed = few.withColumns({c: F.coalesce(F.max(c).over(case) + 1, F.lit(0)) for c in last})
     # Actual cells inside the frame without an expected cell are compared with blank; those outside are extra rows and columns.
-    inside = F.col("has_want").isNotNull() | ((F.col("row") < F.col("exp_rows")) & (F.col("col") < F.col("exp_cols")))
+    inside = F.col("wanted") | ((F.col("more_row") < F.col("exp_rows")) & (F.col("more_col") < F.col("exp_cols")))
     scored = framed.groupBy("case_id").agg(
-        *[F.max(c).alias(c) for c in size],
-        F.count_if(inside).alias("listed"),
-        F.count_if(inside & F.col("verdict").isin("exact", "format", "value")).alias("ok_in"),
-        F.count_if(inside & (F.col("verdict") == "exact")).alias("exact_in"),
-        F.count_if(F.col("has_want") & (F.col("verdict") == "missing")).alias("missing"),
-        F.count_if(inside & (F.col("verdict") == "wrong")).alias("wrong"),
+        *[F.max(c).alias(c) for c in last], *[F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(c) for c in counts]
     )
     rows, cols = F.col("exp_rows"), F.col("exp_cols")
     total = (rows * cols).cast("bigint")

@@ -35,7 +35,7 @@ def _one(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
     return rows[0] if len(rows) == 1 else pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches in which every group is whole, from rows sorted by ``keys``, with the places where groups begin."""
     held: list[pa.RecordBatch] = []
     size = limit = 0
@@ -44,7 +44,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
             continue
         held.append(batch)
         size += batch.num_rows
-        if size < max(ROWS, limit):
+        if size < max(rows, limit):
             continue
         full = _one(held)
         at = groups_of(full, keys)

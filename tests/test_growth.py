@@ -7,7 +7,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from gridleaf.functions import text
-from gridleaf.operators import jobs, layout
+from gridleaf.operators import evaluate, jobs, layout
 from gridleaf.plans.queries import QUERIES
 
 
@@ -53,3 +53,23 @@ def test_nfkc_takes_arrow_arrays(spark):
     frame = spark.createDataFrame(rows, "i long, t string").repartition(1).withColumn("k", text.nfkc(F.col("t")))
     assert {r.i: r.k for r in frame.collect()} == {i: t and unicodedata.normalize("NFKC", t) for i, t in rows}
     assert not hasattr(text, "pd")
+
+
+@pytest.mark.parametrize("name", ["compare_grids", "top_mismatches", "eval_summary"])
+def test_grids_meet_without_a_join_of_cells(spark, name):
+    """Cells travel in runs by case and band of rows: no sorted join of single cells."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(case_id#") >= 1 and ", band#" in plan, plan
+
+
+def test_cells_that_repeat_or_have_no_place(spark):
+    """Cells meet as in a full outer join: repeats each with each, nulls with nothing; cells beyond a band and a run too."""
+    want = [(1, 0, 0, "1,250"), (1, 0, 0, "b"), (None, 0, 0, "n"), (1, None, 0, "r"), (2, 0, 0, None), *[(3, r, 0, f"Ａ{r}" * (r % 90)) for r in range(600)]]
+    got = [(1, 0, 0, "1250", "#,##0"), (1, 0, 0, "B", None), (None, 0, 0, "n", None), (1, None, 0, "r", None), (2, 1, 1, "x", ""), *[(3, r, 0, f"A{r}" * (r % 90), "") for r in range(599, -1, -1)]]
+    expected = spark.createDataFrame(want, "case_id int, row int, col int, text string")
+    actual = spark.createDataFrame(got, "case_id int, row int, col int, value string, fmt string")
+    cells = evaluate.paired_cells(expected, actual)
+    keys = ["case_id", "row", "col"]
+    joined = expected.withColumnRenamed("text", "want").join(actual.withColumnRenamed("value", "got"), keys, "full_outer").select(*keys, "want", "got", "fmt")
+    assert sorted(map(repr, cells.select(joined.columns).collect())) == sorted(map(repr, joined.collect()))
+    assert {r.verdict for r in cells.where("case_id = 3").collect()} == {"exact"}
