@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from ..functions.text import DIGIT, SPACE_CHARS, cell_key, display_width, is_blank, strip
 from ..session import ship
+from .answers import images_with_tables, model_cells
 from .images import by_group, numbers, running_max, starts_of, whole_groups
 from .scan import CHUNK, null_safe_join
 
@@ -588,22 +589,16 @@ def sheet_name(title: Column, position: Column, count: Column) -> Column:
 def image_to_table(blocks: DataFrame, answers: DataFrame | None = None, header_mode: str = "auto") -> DataFrame:
     """``image_id, table_no, row, col, text, is_header, source``: model tables where there are any,
     else the grid rebuilt from the boxes. No row is lost.
+
+    An answer is read twice: for its cells, and for whether it has a table at all, so that boxes which are not used leave Spark's
+    rows before they reach Python.
     """
     if answers is None:
         grid = grid_with_header(blocks) if header_mode == "auto" else mark_header(blocks_to_grid(blocks), mode=header_mode)
         return grid.select(KEY, F.lit(0).alias("table_no"), "row", "col", "text", "is_header", F.lit("grid").alias("source"))
-    pieces = model_tables(answers)
-    merged = merge_fragments(pieces)
-    titled = F.exists("headers", lambda h: ~is_blank(h))
-    # A titled table opens with its header row; the other pieces move down by one.
-    lines = F.when(titled & F.col("opens"), F.concat(F.array("headers"), F.col("rows"))).otherwise(F.col("rows"))
-    start = F.col("first_row") + F.when(titled & ~F.col("opens"), 1).otherwise(0)
-    spread = merged.select(KEY, "table_no", start.alias("__start"), (titled & F.col("opens")).alias("__top"), F.posexplode(lines).alias("__i", "cells"))
-    model = spread.select(
-        KEY, "table_no", (F.col("__start") + F.col("__i")).alias("row"), F.posexplode("cells").alias("col", "text"),
-        (F.col("__top") & (F.col("__i") == 0) & F.lit(header_mode == "auto")).alias("is_header"), F.lit("model").alias("source"),
-    )
-    left_over = blocks.join(pieces.select(KEY).distinct(), KEY, "left_anti")
+    model = model_cells(answers, header_mode == "auto").withColumn("source", F.lit("model"))
+    # The ids of images with a table are as many as the answers: never broadcast on a guess. The boxes keep their order.
+    left_over = blocks.join(images_with_tables(answers).hint("merge"), KEY, "left_anti")
     return model.unionByName(image_to_table(left_over, None, header_mode))
 
 

@@ -180,11 +180,14 @@ def fragments(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_answers(spark: SparkSession, folder: str) -> DataFrame:
     """A model's JSON per order: plain, fenced, with words around it, or cut off."""
-    lines = invoice_lines(spark, folder)
-    row = F.struct("rn", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item"), F.format_number("l_extendedprice", 2).alias("amount"))
-    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: F.concat(F.lit('["'), r["item"], F.lit('","'), r["amount"], F.lit('"]'))), ",")
-    text = F.concat(F.lit('{"tables":[{"title":"Invoice","headers":["Item","Amount"],"rows":['), body, F.lit("]}]}"))
+    row = F.concat(F.lit('["P'), F.col("l_partkey").cast("string"), F.lit('","'), F.format_number("l_extendedprice", 2), F.lit('"]'))
+    # The rows of an order are collected beside its first line, on the sort that numbers the lines: no aggregate, and the answers
+    # come in order. Numbered first, or the texts would be made ahead of the exchange.
+    order = W.partitionBy("l_orderkey").orderBy(*LINE_ORDER).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    orders = invoice_lines(spark, folder).withColumn("rows", F.collect_list(row).over(order)).where("rn = 1")
+    body = F.array_join("rows", ",")
+    orders = orders.withColumn("text", F.concat(F.lit('{"tables":[{"title":"Invoice","headers":["Item","Amount"],"rows":['), body, F.lit("]}]}")))
+    text = F.col("text")
     kind = F.col("l_orderkey") % 4
     return orders.select(
         F.col("l_orderkey").alias("image_id"), F.lit(0).alias("tile_id"),
