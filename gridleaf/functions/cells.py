@@ -13,8 +13,12 @@ THOUSANDS = r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"
 WHOLE = r"^[+-]?\d+$"
 POINTED = r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"
 ANY_FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-FLOAT_WORD = r"(?i)^[+-]?(inf|infinity|nan)$"
+FLOAT_WORD = r"^[+-]?(?i:inf|infinity|nan)$"
 GROUPED = "#,##0"
+# Numbers written in a common way, within the digits a double and a bigint keep; texts that are no number whatever their marks.
+_COMMON = r"-?(?:\d{1,3}(?:,\d{3}){1,4}|\d{1,15})(?:\.\d{1,15})?"
+COMMON = rf"\A(?!0\d)(?:[{''.join(CURRENCY)}]?{_COMMON}|\({_COMMON}\))%?\z"
+NEVER = rf"[^0-9+\-.eE,%(){''.join(CURRENCY)}{SPACE[1:-1]}]|\A0[0-9]|\A[^0-9]*\z"
 YES, NO = ("true", "yes", "on"), ("false", "no", "off")
 # --------------------------------------------------------------------------
 
@@ -33,48 +37,103 @@ def _whole(text: Column) -> Column:
     return F.when(text.rlike(WHOLE), text.try_cast("decimal(38,0)"))
 
 
+def _trimmed(text: Column) -> Column:
+    """``strip`` of a text that can be named often; one that begins and ends with a visible ASCII character is left alone."""
+    last = F.substring(text, -1, 1)
+    return F.when((text >= "!") & (text < "\x7f") & (last >= "!") & (last < "\x7f"), text).otherwise(strip(text))
+
+
+def _parts(raw: Column) -> Column:
+    """``struct(num, text, fmt, whole)`` of any text, step by step; each step is worked out once."""
+
+    def amount(text: Column) -> Column:
+        symbol = F.lit(None).cast("string")
+        for sign in reversed(CURRENCY):
+            symbol = F.when(F.contains(text, F.lit(sign)), F.lit(sign)).otherwise(symbol)
+        return F.struct(text.alias("text"), symbol.alias("symbol"))
+
+    def inner(p: Column) -> Column:
+        text = F.when(p["symbol"].isNull(), p["text"]).otherwise(strip(F.replace(p["text"], p["symbol"], F.lit(""))))
+        return F.struct(p.alias("of"), text.alias("amount"), text.endswith("%").alias("percent"))
+
+    def body(p: Column) -> Column:
+        text = F.when(p["percent"], strip(F.regexp_replace(p["amount"], "%$", ""))).otherwise(p["amount"])
+        return F.struct(p.alias("of"), text.alias("inner"), text.rlike(r"(?s)^\(.*\)$").alias("bracketed"))
+
+    def plain(p: Column) -> Column:
+        text = F.when(p["bracketed"], strip(F.regexp_replace(p["inner"], r"(?s)^\((.*)\)$", "$1"))).otherwise(p["inner"])
+        return F.struct(p.alias("of"), text.alias("body"))
+
+    def typed(p: Column) -> Column:
+        text, plain = p["of"]["of"]["of"]["text"], F.replace(p["body"], F.lit(","), F.lit(""))
+        keep = text.rlike("^0" + DIGIT) | ~p["body"].rlike(f"^[^,]*$|{THOUSANDS}")
+        percent, bracketed = p["of"]["of"]["percent"], p["of"]["bracketed"]
+        value = F.when(~keep, _number(plain))
+        exact = F.when(~keep & ~percent, _whole(plain))
+        return F.struct(p.alias("of"), plain.alias("plain"), value.alias("value"), exact.alias("exact"), percent.alias("percent"), bracketed.alias("bracketed"))
+
+    def cell(p: Column) -> Column:
+        plain, percent, bracketed, symbol = p["plain"], p["percent"], p["bracketed"], p["of"]["of"]["of"]["of"]["symbol"]
+        value = F.when(bracketed, 0 - F.abs(p["value"])).otherwise(p["value"]) / F.when(percent, 100).otherwise(1)
+        exact = F.when(bracketed, 0 - F.abs(p["exact"])).otherwise(p["exact"]).cast("decimal(38,0)")
+        lost = p["value"].isNotNull() & p["exact"].isNull() & plain.rlike(WHOLE) & ~percent
+        zeros = F.regexp_replace(F.regexp_extract(plain, r"^[^.]*(\.[^.]+)", 1), r"[^.]", "0")
+        fmt = F.concat(
+            F.coalesce(F.concat(F.lit('"'), symbol, F.lit('"')), F.lit("")),
+            F.when(F.contains(p["of"]["body"], F.lit(",")), GROUPED).otherwise("0"),
+            zeros,
+            F.when(percent, "%").otherwise(""),
+            F.when(bracketed, F.concat(F.lit(";" + GROUPED), zeros)).otherwise(""),
+        )
+        return F.struct(
+            value.alias("num"),
+            F.when(p["value"].isNull() | lost, raw).alias("text"),
+            F.when(p["value"].isNotNull(), fmt).alias("fmt"),
+            exact.alias("whole"),
+        )
+
+    step = F.array(raw)
+    for use in (_trimmed, amount, inner, body, plain, typed, cell):
+        step = F.transform(step, use)
+    return F.get(step, F.lit(0))
+
+
 def parse_cell(raw: Column) -> Column:
     """``struct(num, text, fmt, whole)``: a number with the format that shows it as written, or the text.
 
     ``whole`` has all digits of a whole number, of which a double keeps about 16; one that no ``whole`` can hold keeps
     its text beside ``num``. A percentage has no ``whole``.
 
-    Every step refers to the one before only once, so the expression stays small.
+    Most texts are numbers written in a common way, or no numbers for a character that none can have; those are told by
+    one pattern. Only the others go through all steps.
     """
-    text = strip(raw)
-    symbol = F.lit(None).cast("string")
-    for sign in reversed(CURRENCY):
-        symbol = F.when(F.contains(text, F.lit(sign)), F.lit(sign)).otherwise(symbol)
-    amount = strip(F.replace(text, F.coalesce(symbol, F.lit("")), F.lit("")))
-    inner = strip(F.regexp_replace(amount, "%$", ""))
-    body = strip(F.regexp_replace(inner, r"(?s)^\((.*)\)$", "$1"))
-    plain = F.replace(body, F.lit(","), F.lit(""))
-    percent = amount.endswith("%")
-    bracketed = inner.rlike(r"(?s)^\(.*\)$")
-    grouped = F.contains(body, F.lit(","))
-
-    keep = text.rlike("^0" + DIGIT) | ~body.rlike(f"^[^,]*$|{THOUSANDS}")
-    value = F.when(~keep, _number(plain))
-    value = F.when(bracketed, 0 - F.abs(value)).otherwise(value) / F.when(percent, 100).otherwise(1)
+    first, percent = F.substring(raw, 1, 1), raw.endswith("%")
+    signed, bracketed = first.isin(*CURRENCY), first == "("
+    plain = F.when(signed, F.substring(raw, 2, 64)).otherwise(raw)
+    for mark in ",%()":
+        plain = F.replace(plain, F.lit(mark), F.lit(""))
 
-    exact = F.when(~keep & ~percent, _whole(plain))
-    exact = F.when(bracketed, 0 - F.abs(exact)).otherwise(exact).cast("decimal(38,0)")
-    lost = value.isNotNull() & exact.isNull() & plain.rlike(WHOLE) & ~percent
-
-    zeros = F.regexp_replace(F.regexp_extract(plain, r"^[^.]*(\.[^.]+)", 1), r"[^.]", "0")
+    value = plain.try_cast("double")
+    value = F.when(bracketed, 0 - F.abs(value)).otherwise(value) / F.when(percent, 100).otherwise(1)
+    pointed = F.contains(raw, F.lit("."))
+    whole = F.when(~pointed & ~percent, plain.try_cast("bigint"))
+    whole = F.when(bracketed, 0 - F.abs(whole)).otherwise(whole).cast("decimal(38,0)")
+    decimals = F.length(raw) - F.instr(raw, ".") - percent.cast("int") - bracketed.cast("int")
+    zeros = F.when(pointed, F.rpad(F.lit("."), decimals + 1, F.lit("0"))).otherwise("")
     fmt = F.concat(
-        F.coalesce(F.concat(F.lit('"'), symbol, F.lit('"')), F.lit("")),
-        F.when(grouped, GROUPED).otherwise("0"),
+        F.when(signed, F.concat(F.lit('"'), first, F.lit('"'))).otherwise(""),
+        F.when(F.contains(raw, F.lit(",")), GROUPED).otherwise("0"),
         zeros,
         F.when(percent, "%").otherwise(""),
         F.when(bracketed, F.concat(F.lit(";" + GROUPED), zeros)).otherwise(""),
     )
-    return F.struct(
-        value.alias("num"),
-        F.when(value.isNull() | lost, raw).alias("text"),
-        F.when(value.isNotNull(), fmt).alias("fmt"),
-        exact.alias("whole"),
-    )
+    none = {"num": "double", "text": "string", "fmt": "string", "whole": "decimal(38,0)"}
+    common = {"num": value, "fmt": fmt, "whole": whole}
+
+    def cell(known: dict[str, Column]) -> Column:
+        return F.struct(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in none.items()])
+
+    return F.when(raw.rlike(COMMON), cell(common)).when(raw.rlike(NEVER), cell({"text": raw})).otherwise(_parts(raw))
 
 
 def coerce_simple(raw: Column) -> Column:
@@ -131,12 +190,14 @@ def parse_param(raw: Column) -> Column:
     return _once(_once(_once(pair, cut), told), typed)
 
 
-def _bare(text: Column) -> Column:
-    return F.translate(text, SPACE_CHARS + ",¥￥", "")
+def bare_text(text: Column) -> Column:
+    """A text without what makes no other value: white space, commas, the sign of the yen."""
+    return F.when(text.rlike("[^!-~]"), F.translate(text, SPACE_CHARS + ",¥￥", "")).otherwise(F.replace(text, F.lit(","), F.lit("")))
 
 
-def _any_number(text: Column) -> Column:
-    return F.when(text.rlike(ANY_FLOAT) | text.rlike(FLOAT_WORD), text.try_cast("double"))
+def any_number(text: Column) -> Column:
+    """The number that a bare text writes, exponents and words for infinity included, else null."""
+    return F.when(text.rlike(f"{ANY_FLOAT}|{FLOAT_WORD}"), text.try_cast("double"))
 
 
 def _ten_digits(number: Column) -> Column:
@@ -146,26 +207,21 @@ def _ten_digits(number: Column) -> Column:
 def value_key(raw: Column, unicode_forms: bool = True) -> Column:
     """Identity of the value: numbers by their first ten digits, other text without spaces and case."""
     text = F.coalesce(raw, F.lit(""))
-    text = _bare(nfkc(text) if unicode_forms else text)
-    number = _any_number(text)
+    text = bare_text(nfkc(text) if unicode_forms else text)
+    number = any_number(text)
     return F.when(number.isNotNull(), F.concat(F.lit("num:"), _ten_digits(number))).otherwise(
         F.concat(F.lit("txt:"), F.lower(text))
     )
 
 
-def same_value(one: Column, other: Column) -> Column:
-    """Whether two texts (not null, in NFKC) have one ``value_key``. Digits are written out only for numbers that are close but not equal."""
-
-    def told(p: Column) -> Column:
-        a, b, x, y = (p[c] for c in "abxy")
-        far = F.abs(x - y) > 1e-8 * F.greatest(F.abs(x), F.abs(y))
-        numbers = F.when((x == y) & (x != 0), True).when(far, False).otherwise(_ten_digits(x) == _ten_digits(y))
-        return F.when(x.isNotNull() & y.isNotNull(), numbers).otherwise(x.isNull() & y.isNull() & (F.lower(a) == F.lower(b)))
-
-    def read(p: Column) -> Column:
-        return F.struct(p["a"].alias("a"), p["b"].alias("b"), _any_number(p["a"]).alias("x"), _any_number(p["b"]).alias("y"))
+def same_value(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Whether two bare texts ``a``, ``b`` have one ``value_key``; ``x`` and ``y`` are their numbers, ``y`` asked for only beside an ``x``.
 
-    return (one == other) | _once(_once(F.struct(_bare(one).alias("a"), _bare(other).alias("b")), read), told)
+    Texts that are equal but for case are both numbers or both none. Digits are written out only for numbers that are close but not equal.
+    """
+    far = F.abs(x - y) > 1e-8 * F.greatest(F.abs(x), F.abs(y))
+    numbers = F.when(y.isNull(), False).when((x == y) & (x != 0), True).when(far, False).otherwise(_ten_digits(x) == _ten_digits(y))
+    return F.when(x.isNull(), (a == b) | (F.lower(a) == F.lower(b))).otherwise(numbers)
 
 
 def format_key(raw: Column, unicode_forms: bool = True) -> Column:

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.cells import display_matches, same_value
+from ..functions.cells import any_number, bare_text, display_matches, same_value
 from ..functions.text import SPACE, normalize_text
 from ..session import ship
 from .images import numbers, starts_of, whole_groups
@@ -53,30 +53,51 @@ def _cut(texts: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(sizes < 0), pa.scalar(None, pa.string()), single) if (sizes < 0).any() else single
 
 
-def _runs(cells: DataFrame) -> DataFrame:
-    """Cells that follow each other in one band of a case as one row; cells in no order make short runs, nothing more."""
-    lists = [StructField(f"{c}s", ArrayType(cells.schema[c].dataType)) for c in ("row", "col")]
+def _single(cells: DataFrame, name: str) -> DataType:
+    kind = cells.schema[name].dataType
+    return kind.elementType if isinstance(kind, ArrayType) else kind
+
+
+def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Single cells of rows that hold theirs as lists; a row without lists has none."""
+    sizes = [pc.fill_null(batch.column(c).value_lengths(), 0) for c in batch.schema.names if c not in ("case_id", "row")]
+    if not all(s.equals(sizes[0]) for s in sizes):
+        raise ValueError("the lists of a row of cells differ in length")
+    owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes[0].to_numpy(zero_copy_only=False)))
+    flat = [c.take(owner) if name in ("case_id", "row") else c.flatten() for name, c in zip(batch.schema.names, batch.columns)]
+    return pa.RecordBatch.from_arrays(flat, names=batch.schema.names)
+
+
+def _runs(cells: DataFrame, got: bool) -> DataFrame:
+    """Cells that follow each other in one band of a case as one row; cells in no order make short runs, nothing more.
+
+    Every column of single cells takes its time on the way to Python, so there are only those that the side has: ``fmt`` for ``got``.
+    """
+    lists = [StructField(f"{c}s", ArrayType(_single(cells, c))) for c in ("row", "col")]
     texts = [StructField(f"{c}{end}", kind) for c in ("text", "fmt") for end, kind in (("", StringType()), ("_bytes", ArrayType(IntegerType())))]
     schema = StructType([cells.schema["case_id"], StructField("band", LongType()), StructField("got", BooleanType()), *lists, *texts])
     arrow = to_arrow_schema(schema)
+    told, listed = ("text", "fmt") if got else ("text",), isinstance(cells.schema["col"].dataType, ArrayType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _flat(batch) if listed else batch
             if not batch.num_rows:
                 continue
             band, place = numbers(batch, "row")[0] // BAND, np.arange(batch.num_rows)
             turns = np.union1d(starts_of(batch.column("case_id")), np.flatnonzero(np.diff(band, prepend=band[0] - 1)))
             whole = np.zeros(1, np.int64)
-            size = sum(_joined(batch.column(c), whole)[1].clip(0).astype(np.int64) for c in ("text", "fmt"))
+            size = sum(_joined(batch.column(c), whole)[1].clip(0).astype(np.int64) for c in told)
             before, since = np.cumsum(size) - size, np.repeat(turns, np.diff(np.append(turns, len(place))))
             for cut in ((place - since) // CELLS, (before - before[since]) // BYTES):
                 turns = np.union1d(turns, np.flatnonzero(np.diff(cut, prepend=0)))
             ends = pa.array(np.append(turns, batch.num_rows).astype(np.int32))
-            made = [batch.column("case_id").take(pa.array(turns)), pa.array(band[turns]), batch.column("got").take(pa.array(turns))]
+            made = [batch.column("case_id").take(pa.array(turns)), pa.array(band[turns]), pa.array(np.full(len(turns), got))]
             made += [pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("row", "col")]
-            for c in ("text", "fmt"):
+            for c in told:
                 texts, sizes = _joined(batch.column(c), turns)
                 made += [texts, pa.ListArray.from_arrays(ends, pa.array(sizes))]
+            made += [pa.nulls(len(turns), f.type) for f in list(arrow)[len(made) :]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
 
     return cells.mapInArrow(run, schema)
@@ -117,14 +138,22 @@ def _meet(want: np.ndarray, got: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     yield np.full(len(alone), -1), alone
 
 
-def _pairs(expected: DataFrame, actual: DataFrame, unicode_forms: bool) -> DataFrame:
-    """A full outer join on ``case_id, row, col``: ``want, got, fmt``, the NFKC forms of what is not ASCII, and which sides there are."""
-    spot = expected.select(*SPOT).join(actual.select(*SPOT), SPOT, "full_outer").schema
-    place = [F.col(f.name).cast(f.dataType) for f in spot]
+def _pairs(expected: DataFrame, actual: DataFrame, unicode_forms: bool, differ: bool = False) -> DataFrame:
+    """A full outer join on ``case_id, row, col``: ``want, got, fmt``, the NFKC forms of what is not ASCII, and which sides there are.
+
+    ``differ``: of these, only expected cells whose text is not the actual one.
+    """
+    want, got = (frame.select("case_id", "row", F.lit(None).cast(_single(frame, "col")).alias("col")) for frame in (expected, actual))
+    spot = want.join(got, SPOT, "full_outer").schema
     ship(expected.sparkSession)
-    want = expected.select(*place, F.lit(False).alias("got"), F.col("text").cast("string"), F.lit(None).cast("string").alias("fmt"))
-    got = actual.select(*place, F.lit(True).alias("got"), F.col("value").cast("string").alias("text"), F.col("fmt").cast("string"))
-    both = _runs(want).unionByName(_runs(got)).repartition("case_id", "band").sortWithinPartitions("case_id", "band")
+
+    def placed(frame: DataFrame, **texts: str) -> DataFrame:
+        lists = isinstance(frame.schema["col"].dataType, ArrayType)
+        kinds = {"case_id": spot["case_id"].dataType, "row": spot["row"].dataType, "col": spot["col"].dataType, **dict.fromkeys(texts, StringType())}
+        return frame.select(*[F.col(texts.get(n, n)).cast(ArrayType(k) if lists and n not in ("case_id", "row") else k).alias(n) for n, k in kinds.items()])
+
+    want, got = placed(expected, text="text"), placed(actual, text="value", fmt="fmt")
+    both = _runs(want, False).unionByName(_runs(got, True)).repartition("case_id", "band").sortWithinPartitions("case_id", "band")
     texts = [StructField(c, StringType()) for c in ("want", "got", "fmt", "want_form", "got_form")]
     schema = StructType([*spot.fields, *texts, StructField("has_want", BooleanType()), StructField("has_got", BooleanType())])
     arrow = to_arrow_schema(schema)
@@ -138,8 +167,9 @@ def _pairs(expected: DataFrame, actual: DataFrame, unicode_forms: bool) -> DataF
             count = part.column("rows").value_lengths().to_numpy(zero_copy_only=False)
             cells = pa.RecordBatch.from_arrays([part.column(c).flatten() for c in ("rows", "cols")], names=["row", "col"])
             cut = [_cut(part.column(c), part.column(f"{c}_bytes").flatten().to_numpy(zero_copy_only=False)) for c in ("text", "fmt")]
-            found.append((np.repeat(band[side], count), cells, *cut, _foreign(cut[0]) if unicode_forms else pa.nulls(len(cut[0]), pa.string())))
-        (wband, wcells, want, _, wform), (gband, gcells, got, fmt, gform) = found
+            form = _foreign(cut[0]) if unicode_forms else pa.nulls(len(cut[0]), pa.string())
+            found.append((np.repeat(band[side], count), cells, *cut, form, pc.coalesce(form, cut[0], "") if differ else None))
+        (wband, wcells, want, _, wform, wtext), (gband, gcells, got, fmt, gform, gtext) = found
         case = batch.column("case_id").take(pa.array(at))
         bands = np.concatenate([wband, gband])
         row, no_row = (np.concatenate(x) for x in zip(numbers(wcells, "row"), numbers(gcells, "row")))
@@ -147,6 +177,10 @@ def _pairs(expected: DataFrame, actual: DataFrame, unicode_forms: bool) -> DataF
         keys = np.where(no_row | no_col | case.is_null().to_numpy(zero_copy_only=False)[bands], -1, _keys(bands, row, col))
         places = [pa.concat_arrays([wcells.column(c), gcells.column(c)]) for c in ("row", "col")]
         for w, g in _meet(keys[: len(wband)], keys[len(wband) :]):
+            if differ:
+                w, g = w[w >= 0], g[w >= 0]
+                other = pc.not_equal(wtext.take(pa.array(w)), pc.fill_null(gtext.take(pa.array(g, mask=g < 0)), "")).to_numpy(zero_copy_only=False)
+                w, g = w[other], g[other]
             if not len(w):
                 continue
             cell = np.where(w < 0, g + len(wband), w)
@@ -166,17 +200,25 @@ def paired_cells(expected: DataFrame, actual: DataFrame, unicode_forms: bool = T
     """``case_id, row, col, want, got, fmt, has_want, has_got, verdict`` of every cell on either side.
 
     ``expected``: ``case_id, row, col, text``; ``actual`` has ``value`` and ``fmt`` instead of text. Cells listed more than
-    once meet each with each; a cell without case, row or column meets none.
+    once meet each with each; a cell without case, row or column meets none. On either side ``col`` and the texts may be
+    lists: cells of one row that are at hand together, which spares the way into Arrow cell by cell.
     """
-    both = _pairs(expected, actual, unicode_forms)
-    want, got = (F.coalesce(f"{c}_form", c, F.lit("")) for c in ("want", "got"))
-    # Nested, so that each part is asked only where it decides.
+    return _judged(_pairs(expected, actual, unicode_forms))
+
+
+def _judged(both: DataFrame) -> DataFrame:
+    """Pairs with their ``verdict``. Each step is a column of its own: worked out once, in generated code, and not where the texts are equal."""
+    texts = both.withColumns({f"{c}_form": F.coalesce(f"{c}_form", c, F.lit("")) for c in ("want", "got")})
+    want, got = F.col("want_form"), F.col("got_form")
+    bare = texts.withColumns({c: F.when(want != got, bare_text(t)) for c, t in (("a", want), ("b", got))})
+    read = bare.withColumn("x", any_number(F.col("a"))).withColumn("y", F.when(F.col("x").isNotNull(), any_number(F.col("b"))))
     verdict = F.when(
-        same_value(want, got),
+        (want == got) | same_value(*map(F.col, "abxy")),
         F.when(display_matches(want, F.col("fmt"), False), "exact").when(normalize_text(want, False) != normalize_text(got, False), "format").otherwise("value"),
-    ).otherwise(F.when(got.rlike(NO_SPACE), "wrong").otherwise("missing"))
+    ).otherwise(F.when(((got >= "!") & (got < "\x7f")) | got.rlike(NO_SPACE), "wrong").otherwise("missing"))
+    cells = [*SPOT, "want", "got", "fmt", "has_want", "has_got"]
     # Out of a generator, so that a filter on the verdict does not work it out once more.
-    return both.select(*SPOT, "want", "got", "fmt", "has_want", "has_got", F.explode(F.array(verdict)).alias("verdict"))
+    return read.select(*cells, verdict.alias("verdict")).select(*cells, F.explode(F.array("verdict")).alias("verdict"))
 
 
 def compare_grids(expected: DataFrame, actual: DataFrame, unicode_forms: bool = True) -> DataFrame:
@@ -220,9 +262,8 @@ def top_mismatches(expected: DataFrame, actual: DataFrame, k: int = TOP, unicode
 
     A top-k report: Spark keeps ``k`` rows per group before the shuffle already.
     """
-    pairs = paired_cells(expected, actual, unicode_forms).where(
-        F.col("has_want") & F.col("verdict").isin("missing", "wrong", "format")
-    )
+    # Two equal texts are none of the three, so such pairs stay where they met.
+    pairs = _judged(_pairs(expected, actual, unicode_forms, differ=True)).where(F.col("verdict").isin("missing", "wrong", "format"))
     nth = F.row_number().over(W.partitionBy("case_id", "verdict").orderBy("row", "col"))
     return pairs.withColumn("nth", nth).where(F.col("nth") <= k).select("case_id", "verdict", "nth", "row", "col", "want", "got")
 

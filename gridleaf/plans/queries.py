@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
@@ -839,11 +839,20 @@ def run_chain(spark, d):
 
 
 def _grids(spark, d):
-    expected = samples.raw_cells(spark, d)
-    typed = samples.damaged_cells(expected).withColumn("cell", C.parse_cell(F.col("text")))
-    num = F.col("cell.num")
-    number = F.when(num == F.floor(num), num.cast("bigint").cast("string")).otherwise(num.cast("string"))
-    return expected, typed.select("case_id", "row", "col", F.coalesce(number, F.col("text")).alias("value"), F.col("cell.fmt").alias("fmt"))
+    """Both grids by lines, the cells of a line as lists."""
+    rows = samples.raw_rows(spark, d)
+    texts = rows.columns[2:]
+    place = ["case_id", "row", F.array(*map(F.lit, range(len(texts)))).alias("col")]
+    read = samples.damaged_rows(rows)
+    # Texts, typed cells and values are columns of their own, so each is worked out once.
+    typed = read.withColumns({f"cell_{t}": C.parse_cell(F.col(t)) for t in texts})
+
+    def value(t: str) -> Column:
+        num = F.col(f"cell_{t}.num")
+        return F.coalesce(F.when(num == F.floor(num), num.cast("bigint").cast("string")).otherwise(num.cast("string")), F.col(t))
+
+    values, fmts = [value(t) for t in texts], [F.col(f"cell_{t}.fmt") for t in texts]
+    return rows.select(*place, F.array(*texts).alias("text")), typed.select(*place, F.array(*values).alias("value"), F.array(*fmts).alias("fmt"))
 
 
 @query

@@ -198,10 +198,9 @@ def model_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
+def raw_texts() -> list[Column]:
     """Six texts per line: grouped price, percent, plain number, id with a zero, bracketed number, word."""
-    lines = invoice_lines(spark, folder)
-    texts = [
+    return [
         F.format_number("l_extendedprice", 2),
         F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")),
         F.col("l_quantity").cast("int").cast("string"),
@@ -209,13 +208,25 @@ def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.concat(F.lit("("), F.format_number("l_partkey", 0), F.lit(")"))).otherwise(F.format_number("l_partkey", 0)),
         F.col("l_linestatus"),
     ]
-    return lines.select(F.col("l_orderkey").alias("case_id"), F.col("rn").alias("row"), F.posexplode(F.array(*texts)).alias("col", "text"))
 
 
-def damaged_cells(cells: DataFrame) -> DataFrame:
-    """A reading of ``cells`` with faults: some texts changed, some rows lost."""
-    text = F.when(F.col("row") % 10 == 0, F.concat(F.col("text"), F.lit("x"))).otherwise(F.col("text"))
-    return cells.where(F.col("row") % 17 != 0).withColumn("text", text)
+def raw_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The six texts of every line as cells."""
+    lines = invoice_lines(spark, folder)
+    return lines.select(F.col("l_orderkey").alias("case_id"), F.col("rn").alias("row"), F.posexplode(F.array(*raw_texts())).alias("col", "text"))
+
+
+def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``raw_cells`` with the cells of a line side by side: ``case_id, row, t0 .. t5``."""
+    lines = invoice_lines(spark, folder)
+    return lines.select(F.col("l_orderkey").alias("case_id"), F.col("rn").alias("row"), *[text.alias(f"t{i}") for i, text in enumerate(raw_texts())])
+
+
+def damaged_rows(rows: DataFrame) -> DataFrame:
+    """A reading of ``raw_rows`` with faults: some texts changed, some rows lost."""
+    texts = [c for c in rows.columns if c not in ("case_id", "row")]
+    damaged = {c: F.when(F.col("row") % 10 == 0, F.concat(F.col(c), F.lit("x"))).otherwise(F.col(c)) for c in texts}
+    return rows.where(F.col("row") % 17 != 0).withColumns(damaged)
 
 
 def preset_changes(spark: SparkSession, folder: str) -> DataFrame:
