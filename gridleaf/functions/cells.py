@@ -107,11 +107,11 @@ def parse_cell(raw: Column) -> Column:
     Most texts are numbers written in a common way, or no numbers for a character that none can have; those are told by
     one pattern. Only the others go through all steps.
     """
-    first, percent = F.substring(raw, 1, 1), raw.endswith("%")
-    signed, bracketed = first.isin(*CURRENCY), first == "("
-    plain = F.when(signed, F.substring(raw, 2, 64)).otherwise(raw)
-    for mark in ",%()":
-        plain = F.replace(plain, F.lit(mark), F.lit(""))
+    # A common number begins with a digit, a minus, a bracket or a currency sign; of these only the last lies before "%" or from ":" on.
+    signed, bracketed, percent = (raw < "%") | (raw >= ":"), raw.startswith("("), raw.endswith("%")
+    plain = F.when(signed, F.substring(raw, 2, 64)).when(bracketed, F.replace(F.replace(raw, F.lit("("), F.lit("")), F.lit(")"), F.lit(""))).otherwise(raw)
+    plain = F.replace(plain, F.lit(","), F.lit(""))
+    plain = F.when(percent, F.replace(plain, F.lit("%"), F.lit(""))).otherwise(plain)
 
     value = plain.try_cast("double")
     value = F.when(bracketed, 0 - F.abs(value)).otherwise(value) / F.when(percent, 100).otherwise(1)
@@ -121,7 +121,7 @@ def parse_cell(raw: Column) -> Column:
     decimals = F.length(raw) - F.instr(raw, ".") - percent.cast("int") - bracketed.cast("int")
     zeros = F.when(pointed, F.rpad(F.lit("."), decimals + 1, F.lit("0"))).otherwise("")
     fmt = F.concat(
-        F.when(signed, F.concat(F.lit('"'), first, F.lit('"'))).otherwise(""),
+        F.when(signed, F.concat(F.lit('"'), F.substring(raw, 1, 1), F.lit('"'))).otherwise(""),
         F.when(F.contains(raw, F.lit(",")), GROUPED).otherwise("0"),
         zeros,
         F.when(percent, "%").otherwise(""),

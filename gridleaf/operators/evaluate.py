@@ -53,19 +53,26 @@ def _cut(texts: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(sizes < 0), pa.scalar(None, pa.string()), single) if (sizes < 0).any() else single
 
 
-def _single(cells: DataFrame, name: str) -> DataType:
-    kind = cells.schema[name].dataType
+def _col_type(cells: DataFrame) -> DataType:
+    """The type of a single column number, which lists of texts may leave to their order."""
+    if "col" not in cells.columns:
+        return IntegerType()
+    kind = cells.schema["col"].dataType
     return kind.elementType if isinstance(kind, ArrayType) else kind
 
 
 def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Single cells of rows that hold theirs as lists; a row without lists has none."""
-    sizes = [pc.fill_null(batch.column(c).value_lengths(), 0) for c in batch.schema.names if c not in ("case_id", "row")]
+    lists = {n: c for n, c in zip(batch.schema.names, batch.columns) if n not in ("case_id", "row")}
+    sizes = [pc.fill_null(c.value_lengths(), 0) for c in lists.values()]
     if not all(s.equals(sizes[0]) for s in sizes):
         raise ValueError("the lists of a row of cells differ in length")
-    owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes[0].to_numpy(zero_copy_only=False)))
-    flat = [c.take(owner) if name in ("case_id", "row") else c.flatten() for name, c in zip(batch.schema.names, batch.columns)]
-    return pa.RecordBatch.from_arrays(flat, names=batch.schema.names)
+    size = sizes[0].to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(batch.num_rows), size)
+    single = {n: batch.column(n).take(pa.array(owner)) for n in ("case_id", "row")}
+    single["col"] = pa.array((np.arange(len(owner)) - (np.cumsum(size) - size)[owner]).astype(np.int32))
+    single |= {n: c.flatten() for n, c in lists.items()}
+    return pa.RecordBatch.from_arrays(list(single.values()), names=list(single))
 
 
 def _runs(cells: DataFrame, got: bool) -> DataFrame:
@@ -73,11 +80,11 @@ def _runs(cells: DataFrame, got: bool) -> DataFrame:
 
     Every column of single cells takes its time on the way to Python, so there are only those that the side has: ``fmt`` for ``got``.
     """
-    lists = [StructField(f"{c}s", ArrayType(_single(cells, c))) for c in ("row", "col")]
+    lists = [StructField(f"{c}s", ArrayType(kind)) for c, kind in (("row", cells.schema["row"].dataType), ("col", _col_type(cells)))]
     texts = [StructField(f"{c}{end}", kind) for c in ("text", "fmt") for end, kind in (("", StringType()), ("_bytes", ArrayType(IntegerType())))]
     schema = StructType([cells.schema["case_id"], StructField("band", LongType()), StructField("got", BooleanType()), *lists, *texts])
     arrow = to_arrow_schema(schema)
-    told, listed = ("text", "fmt") if got else ("text",), isinstance(cells.schema["col"].dataType, ArrayType)
+    told, listed = ("text", "fmt") if got else ("text",), isinstance(cells.schema["text"].dataType, ArrayType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,14 +150,16 @@ def _pairs(expected: DataFrame, actual: DataFrame, unicode_forms: bool, differ:
 
     ``differ``: of these, only expected cells whose text is not the actual one.
     """
-    want, got = (frame.select("case_id", "row", F.lit(None).cast(_single(frame, "col")).alias("col")) for frame in (expected, actual))
+    want, got = (frame.select("case_id", "row", F.lit(None).cast(_col_type(frame)).alias("col")) for frame in (expected, actual))
     spot = want.join(got, SPOT, "full_outer").schema
     ship(expected.sparkSession)
 
     def placed(frame: DataFrame, **texts: str) -> DataFrame:
-        lists = isinstance(frame.schema["col"].dataType, ArrayType)
-        kinds = {"case_id": spot["case_id"].dataType, "row": spot["row"].dataType, "col": spot["col"].dataType, **dict.fromkeys(texts, StringType())}
-        return frame.select(*[F.col(texts.get(n, n)).cast(ArrayType(k) if lists and n not in ("case_id", "row") else k).alias(n) for n, k in kinds.items()])
+        lists = isinstance(frame.schema[texts["text"]].dataType, ArrayType)
+        kinds = {"case_id": spot["case_id"].dataType, "row": spot["row"].dataType}
+        cells = {**({"col": spot["col"].dataType} if "col" in frame.columns else {}), **dict.fromkeys(texts, StringType())}
+        kinds |= {n: ArrayType(k) if lists else k for n, k in cells.items()}
+        return frame.select(*[F.col(texts.get(n, n)).cast(k).alias(n) for n, k in kinds.items()])
 
     want, got = placed(expected, text="text"), placed(actual, text="value", fmt="fmt")
     both = _runs(want, False).unionByName(_runs(got, True)).repartition("case_id", "band").sortWithinPartitions("case_id", "band")
@@ -201,7 +210,8 @@ def paired_cells(expected: DataFrame, actual: DataFrame, unicode_forms: bool = T
 
     ``expected``: ``case_id, row, col, text``; ``actual`` has ``value`` and ``fmt`` instead of text. Cells listed more than
     once meet each with each; a cell without case, row or column meets none. On either side ``col`` and the texts may be
-    lists: cells of one row that are at hand together, which spares the way into Arrow cell by cell.
+    lists: cells of one row that are at hand together, which spares the way into Arrow cell by cell. Lists without ``col``
+    hold the columns from 0 on.
     """
     return _judged(_pairs(expected, actual, unicode_forms))
 

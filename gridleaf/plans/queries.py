@@ -839,10 +839,9 @@ def run_chain(spark, d):
 
 
 def _grids(spark, d):
-    """Both grids by lines, the cells of a line as lists."""
+    """Both grids by lines, the cells of a line as lists from column 0 on."""
     rows = samples.raw_rows(spark, d)
-    texts = rows.columns[2:]
-    place = ["case_id", "row", F.array(*map(F.lit, range(len(texts)))).alias("col")]
+    place, texts = rows.columns[:2], rows.columns[2:]
     read = samples.damaged_rows(rows)
     # Texts, typed cells and values are columns of their own, so each is worked out once.
     typed = read.withColumns({f"cell_{t}": C.parse_cell(F.col(t)) for t in texts})

@@ -99,6 +99,9 @@ def test_grids_as_lists(spark):
     for work in (evaluate.paired_cells, evaluate.compare_grids, evaluate.top_mismatches):
         rows = sorted(map(repr, work(*single).collect()))
         assert rows and sorted(map(repr, work(expected, actual).collect())) == rows == sorted(map(repr, work(single[0], actual).collect()))
+    dense = expected.where("case_id = 3").withColumn("col", F.array(F.lit(0), F.lit(1)))
+    both = [sorted(map(repr, evaluate.paired_cells(e, actual).collect())) for e in (dense, dense.drop("col"))]
+    assert both[0] == both[1]
     with pytest.raises(Exception, match="differ in length"):
         evaluate.paired_cells(expected.select(*place, "col", F.array(F.lit("x")).alias("text")), actual).collect()
 
